@@ -1,0 +1,73 @@
+"""Stata (.dta) files as a Spark data source: ``spark.read.format("dta")``."""
+
+from __future__ import annotations
+
+import glob
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class _File(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class _StataReader(DataSourceReader):
+    def __init__(self, options, schema):
+        self.path = options["path"]
+        self.chunk = int(options.get("chunkRows", 50_000))
+        self.schema = schema
+
+    def partitions(self):
+        local = self.path[5:] if self.path.startswith("file:") else self.path
+        paths = sorted(glob.glob(os.path.join(local, "*.dta"))) if os.path.isdir(local) else [local]
+        return [_File(p) for p in paths]
+
+    def read(self, partition):
+        import pandas as pd
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(self.schema)
+        names = target.names
+        with pd.read_stata(partition.path, chunksize=self.chunk, convert_categoricals=True) as chunks:
+            for frame in chunks:
+                have = pa.Table.from_pandas(
+                    frame.reindex(columns=names), preserve_index=False
+                )
+                arrays = []
+                for field in target:
+                    values = have.column(field.name).combine_chunks()
+                    if pa.types.is_dictionary(values.type):
+                        values = values.dictionary_decode()
+                    arrays.append(values.cast(field.type, safe=False))
+                yield from pa.Table.from_arrays(arrays, schema=target).to_batches()
+
+
+class StataSource(DataSource):
+    """One input partition per file, read in chunks; columns a file lacks are NULL."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "dta"
+
+    def reader(self, schema):
+        return _StataReader(self.options, schema)
+
+
+def register(spark: SparkSession) -> None:
+    # By value, so that workers need not have this package on their path.
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(StataSource)
+
+
+def read_stata(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Stata file, or every ``*.dta`` in a folder, under a declared schema."""
+    register(spark)
+    return spark.read.format("dta").schema(schema).load(path)
