@@ -113,7 +113,7 @@ def date_stats(i):
     dates="ymd first_month last_month",
 )
 def window_date_stats(i):
-    return G.attach_date_stats(V.interview_months(i.resp), WAVE, "ymd")
+    return G.attach_date_stats(G.group_count(i.resp, [*WAVE, "ymd"]), WAVE, "ymd")
 
 
 @query("group_count", "SELECT NAME_0, NAME_1, SurveyId, ymd, count(*) AS n FROM {resp} GROUP BY ALL", dates="ymd")

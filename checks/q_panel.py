@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.q_groups import PROGRAMMES, REGIONS, WAVES
+from checks.q_groups import PROGRAMMES, REGIONS, WAVES, flagged
 from checks.q_tables import CROSSWALK, CROSSWALK_SQL, PANEL, gap_free
 from checks.registry import query
 from checks.standins import FIRST_MONTH, LAST_MONTH
@@ -194,12 +194,14 @@ AT_SURVEY_DOUBLES = " ".join([*[f"{c}_mean" for c in _TFP], *SURVEY_SEASON])
 
 
 def interviews(i):
-    return [V.interview_months(i.resp), V.programme_months(i.surveys_agg, REGIONS, WAVES)]
+    from panelspark.operators.reshape import stack
 
+    months = [V.wave_months(flagged(i)), V.programme_wave_months(i.surveys_agg, REGIONS, WAVES)]
+    return V.interview_months(stack(months))
 
-def climate_waves(i):
-    panel = C.add_indicators(plain_climate(i), VARS)
-    return C.climate_at_survey(interviews(i), panel, VARS)
+
+def climate_months(i):
+    return C.add_indicators(plain_climate(i), VARS)
 
 
 @query(
@@ -209,7 +211,7 @@ def climate_waves(i):
     dates="first_month last_month",
 )
 def climate_at_survey(i):
-    return climate_waves(i)
+    return C.climate_at_survey(interviews(i), climate_months(i), VARS)
 
 
 # ---- yearly covariates ---------------------------------------------------------

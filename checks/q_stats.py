@@ -7,12 +7,12 @@ import math
 from pyspark.sql import functions as F
 
 from checks.q_groups import PREVALENCE, PREVALENCE_DOUBLES, REGIONS, ROLLUP, WAVES, flagged
-from checks.q_panel import AT_SURVEY, AT_SURVEY_DOUBLES, SURVEY_SEASON, VARS, climate_waves
-from checks.q_space import _ECOLS, _EENDS, EVENTS_AT_SURVEY, _ends_as_double, event_waves, parity
+from checks.q_panel import AT_SURVEY, AT_SURVEY_DOUBLES, VARS, climate_months
+from checks.q_space import _ECOLS, _EENDS, EVENTS_AT_SURVEY, _ends_as_double, event_panel_lags, parity
 from checks.registry import query
 from panelspark.operators import stats as T
 from panelspark.plans import survey as V
-from panelspark.plans.final import final_panel as build_final_panel
+from panelspark.plans.final import build_panel
 
 _Z = "CASE WHEN hc72 < 9995 THEN hc72 / 1e2 END"
 GRID = 80
@@ -158,11 +158,8 @@ _TFP_ENDS = " ".join(f"tfp_{v}_{e}" for v in VARS for e in ("min", "max"))
 
 def final_table(i):
     return _ends_as_double(
-        build_final_panel(
-            V.prevalence(flagged(i)),
-            V.programme_prevalence(i.surveys_agg, REGIONS, WAVES),
-            climate_waves(i),
-            event_waves(i),
+        build_panel(
+            flagged(i), i.surveys_agg, climate_months(i), VARS, event_panel_lags(i), REGIONS, WAVES
         )
     )
 

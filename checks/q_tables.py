@@ -260,7 +260,7 @@ def wide_months(i):
         i.unit_names.select(*UNIT, "UniqueID"), list(UNIT)
     )
     # One row per region, in region order, no names: the layout of the climate matrices.
-    wide.repartition(1).sortWithinPartitions("UniqueID").drop(*UNIT, "UniqueID").write.csv(
+    wide.orderBy("UniqueID").drop(*UNIT, "UniqueID").write.csv(
         path, header=False, nullValue="NaN"
     )
     named = R.name_months(

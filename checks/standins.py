@@ -15,6 +15,7 @@ BASE = ("region", "nation", "customer", "supplier", "orders", "lineitem", "event
 FIRST_MONTH, LAST_MONTH = "1995-01-01", "2001-11-01"
 
 _SQL: dict[str, str | tuple[str, str]] = {}
+_SCHEMAS: dict = {}  # footers are read once per table
 
 _SQL["resp"] = """
 SELECT r.r_name AS NAME_0, n.n_name AS NAME_1,
@@ -243,7 +244,10 @@ class Inputs:
             raise AttributeError(name)
         if name not in self._built:
             if name in BASE:
-                self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                path = f"{self.folder}/{name}.parquet"
+                if path not in _SCHEMAS:
+                    _SCHEMAS[path] = self.spark.read.parquet(path).schema
+                self._built[name] = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
             else:
                 sql = _text(name, 0)
                 args = {d: getattr(self, d) for d in _deps(sql)}

@@ -44,24 +44,21 @@ def attach_date_stats(df: DataFrame, keys: Sequence[str], date: str) -> DataFram
     return null_safe_join(df, date_stats(df, keys, date), keys, "left")
 
 
-def weighted_rates(
+def rate_parts(
     df: DataFrame,
     keys: Sequence[str],
     rates: Mapping[str, str],
     weight: Column | str,
-    date: str | None = None,
     n: Column | None = None,
 ) -> DataFrame:
-    """Weighted mean of each source column per group, with date statistics and n.
+    """Sums per group from which weighted rates of any coarser grouping follow.
 
-    Rows without a value drop out of that rate; a NULL weight beside a value makes
-    the rate NULL.  ``n`` is summed when given, else rows are counted.
+    Columns ``rows`` (records), ``n`` (records, or the sum of ``n``), and three sums
+    per rate.  This is the one pass over the records; what follows is small.
     """
     w = as_column(weight)
-    parts = [
-        F.count(F.lit(1)).alias("__rows"),
-        (F.count(F.lit(1)) if n is None else F.sum(n)).alias("__n"),
-    ]
+    rows = F.count(F.lit(1))
+    parts = [rows.alias("rows"), (rows if n is None else F.sum(n)).alias("n")]
     for out, src in rates.items():
         known = F.col(src).isNotNull()
         parts += [
@@ -69,23 +66,45 @@ def weighted_rates(
             F.sum(F.when(known, w)).alias(f"__w_{out}"),
             F.count_if(known & w.isNull()).alias(f"__bad_{out}"),
         ]
-    by_date = df.groupBy(*keys, *([date] if date else [])).agg(*parts)
-    rate_cols = [
-        F.when(
-            F.sum(f"__bad_{out}") == 0, F.try_divide(F.sum(f"__xw_{out}"), F.sum(f"__w_{out}"))
-        ).alias(out)
-        for out in rates
-    ]
-    dates = A.date_summary(date, "__rows").items() if date else ()
-    return by_date.groupBy(*keys).agg(
-        *rate_cols, *[c.alias(name) for name, c in dates], F.sum("__n").alias("n")
+    return df.groupBy(*keys).agg(*parts)
+
+
+def rates_of(
+    parts: DataFrame, keys: Sequence[str], rates: Sequence[str], date: str | None = None
+) -> DataFrame:
+    """Weighted rates, date statistics and n per group from ``rate_parts``."""
+
+    def rate(out: str) -> Column:
+        value = f"try_divide(sum(`__xw_{out}`), sum(`__w_{out}`))"
+        return F.expr(f"CASE WHEN sum(`__bad_{out}`) = 0 THEN {value} END").alias(out)
+
+    dates = A.date_summary(date, "rows").items() if date else ()
+    return parts.groupBy(*keys).agg(
+        *[rate(out) for out in rates], *[c.alias(name) for name, c in dates], F.sum("n").alias("n")
     )
 
 
-def summarise_columns(
+def weighted_rates(
     df: DataFrame,
     keys: Sequence[str],
+    rates: Mapping[str, str],
     weight: Column | str,
+    date: str | None = None,
+    n: Column | None = None,
+) -> DataFrame:
+    """Weighted mean of each source column per group, with date statistics and n.
+
+    Rows without a value drop out of that rate; a NULL weight beside a value makes
+    the rate NULL.  ``n`` is summed when given, else rows are counted.
+    """
+    fine = [*keys, *([date] if date else [])]
+    return rates_of(rate_parts(df, fine, rates, weight, n), keys, list(rates), date)
+
+
+def summarise_columns(
+    df: DataFrame,
+    keys: Sequence[str],
+    weight: str,
     means: Mapping[str, str] | None = None,
     mins: Mapping[str, str] | None = None,
     maxs: Mapping[str, str] | None = None,
@@ -96,10 +115,19 @@ def summarise_columns(
     Every output reads the source column, never an output of the same call.
     ``extra`` adds further aggregates to the same pass.
     """
+    w = f"`{weight}`"
+
+    def mean(x: str) -> Column:
+        spoiled = f"count_if((`{x}` IS NULL AND {w} <> 0) OR {w} IS NULL)"
+        return F.expr(f"CASE WHEN {spoiled} = 0 THEN try_divide(sum(`{x}` * {w}), sum({w})) END")
+
+    def end(f: str, x: str) -> Column:
+        return F.expr(f"CASE WHEN count(`{x}`) = count(1) THEN {f}(`{x}`) END")
+
     out = [c.alias(n) for n, c in (extra or {}).items()]
-    out += [A.weighted_mean_na(src, weight).alias(n) for n, src in (means or {}).items()]
-    out += [A.na_min(src).alias(n) for n, src in (mins or {}).items()]
-    out += [A.na_max(src).alias(n) for n, src in (maxs or {}).items()]
+    out += [mean(src).alias(n) for n, src in (means or {}).items()]
+    out += [end("min", src).alias(n) for n, src in (mins or {}).items()]
+    out += [end("max", src).alias(n) for n, src in (maxs or {}).items()]
     return df.groupBy(*keys).agg(*out)
 
 

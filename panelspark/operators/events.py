@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.dates import parse_date
 from panelspark.functions.nulls import as_column
-from panelspark.operators.joins import fits_broadcast, split_join
-from panelspark.session import shared_root
+from panelspark.operators.joins import lookup_join, split_join
+from panelspark.session import written
 
 EARTH_KM = 6371.0088
 SITE = ("dataset", "base_category", "date", "enddate", "longitude", "latitude")
@@ -79,10 +79,7 @@ def split_by_measure(
 
 def classify(events: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Attach the category hierarchy by source and category."""
-    keys = ["dataset", "base_category"]
-    if fits_broadcast(taxonomy):
-        return events.join(F.broadcast(taxonomy), keys, "left")
-    return split_join(events, taxonomy, keys, "left")
+    return lookup_join(events, taxonomy, ["dataset", "base_category"])
 
 
 def location_days(
@@ -195,8 +192,8 @@ def match_sites(pairs: DataFrame) -> DataFrame:
 
     Each round keeps the pairs that are each other's best, books as many copies as
     both still have, and drops exhausted sites.  Best pairs come from a mergeable
-    ``min``, not from sorting a site's pairs in a window.  Rounds are cut by
-    ``checkpoint`` (reliable storage), so a lost executor costs one round at most.
+    ``min``, not from sorting a site's pairs in a window.  Each round is written to
+    the shared folder, so a lost executor costs one round at most.
 
     Returns ``site_a, site_b, copies, used_a, used_b``; ``used`` is the number of
     copies already spent on either side before this match.
@@ -205,9 +202,12 @@ def match_sites(pairs: DataFrame) -> DataFrame:
     score = F.struct(
         "levels", "metres", "days", "site_a", "site_b", "free_a", "free_b", "used_a", "used_b"
     )
-    state = pairs.withColumn("copies", F.lit(0).cast("long")).checkpoint()
+    still_open = F.count_if(F.col("copies") == 0)
+    state, seen = written(
+        pairs.withColumn("copies", F.lit(0).cast("long")), "pairs", open=still_open
+    )
     booked = []
-    while not state.where("copies = 0").isEmpty():
+    while seen["open"]:
         live = state.where("copies = 0").drop("copies")
         best_a = live.groupBy("site_a").agg(F.min(score).alias("score")).select("score")
         best_b = live.groupBy("site_b").agg(F.min(score).alias("score")).select("score")
@@ -234,7 +234,7 @@ def match_sites(pairs: DataFrame) -> DataFrame:
             .where((F.col("free_a") > 0) & (F.col("free_b") > 0))
             .drop("q_a", "q_b")
         )
-        state = won.unionByName(rest).checkpoint()
+        state, seen = written(won.unionByName(rest), "pairs", open=still_open)
         booked.append(state.where("copies > 0"))
     out = ["site_a", "site_b", "copies", "used_a", "used_b"]
     empty = state.where("copies > 0").select(*out).limit(0)
@@ -291,28 +291,30 @@ def integrate(
     ``dataset, base_category`` and the level columns, finest first.  See the module
     text for the matching rule.  Entries without a date or place stay unique.
     """
-    shared_root(events.sparkSession)
     episode_end = F.when(F.col("enddate") > F.col("date"), F.col("enddate"))
     columns = ["event_id", *SITE]
-    copies = ranked_copies(
-        events.withColumn("enddate", episode_end).select(*columns)
-    ).checkpoint()
+    copies, _ = written(
+        ranked_copies(events.withColumn("enddate", episode_end).select(*columns)), "copies"
+    )
     sites = classify(
         copies.where("rank = 1")
         .where("date is not null and longitude is not null and latitude is not null")
         .select("site", *SITE, "n_copies"),
         taxonomy.select("dataset", "base_category", *levels),
     )
-    sites = sites.select(
-        "site", "dataset", "date", "enddate", "longitude", "latitude", *levels,
-        F.col("n_copies").alias("free"), F.lit(0).cast("long").alias("used"),
-    ).checkpoint()
+    sites, _ = written(
+        sites.select(
+            "site", "dataset", "date", "enddate", "longitude", "latitude", *levels,
+            F.col("n_copies").alias("free"), F.lit(0).cast("long").alias("used"),
+        ),
+        "sites",
+    )
 
     kept = sites.where(F.col("dataset") == order[0])
     links = []
     for source in order[1:]:
         incoming = sites.where(F.col("dataset") == source)
-        found = match_sites(candidate_pairs(kept, incoming, km, days, levels)).checkpoint()
+        found = match_sites(candidate_pairs(kept, incoming, km, days, levels))
         links.append(found)
         spent = found.groupBy(F.col("site_b").alias("site")).agg(F.sum("copies").alias("__q"))
         q = F.coalesce("__q", F.lit(0))

@@ -8,13 +8,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.session import written
+
 # A side up to this many rows is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count the side (one distributed pass over it alone) before copying it everywhere."""
-    return df.count() <= max_rows
+def sized(df: DataFrame, name: str = "lookup") -> tuple[DataFrame, int]:
+    """A side written to the shared folder and counted in the same pass.
+
+    The join then reads the written rows, so measuring a derived side costs no
+    second computation of it.
+    """
+    table, seen = written(df, name, rows=F.count(F.lit(1)))
+    return table, seen["rows"]
 
 
 def lookup_join(
@@ -29,9 +36,10 @@ def lookup_join(
     The dimension is broadcast only when its counted size is below the bound.
     Larger ones take a shuffle join with hot keys of the big side split.
     """
-    if fits_broadcast(small, max_rows):
-        return big.join(F.broadcast(small), list(on), how)
-    return split_join(big, small, on, how)
+    table, rows = sized(small)
+    if rows <= max_rows:
+        return big.join(F.broadcast(table), list(on), how)
+    return split_join(big, table, on, how)
 
 
 def split_join(
@@ -120,12 +128,14 @@ def name_mismatch(
     """Keys found on one side only, tagged with the side.
 
     Both sides shrink to distinct keys first (map-side), so a name that occurs in
-    most rows costs no more than a rare one.
+    most rows costs no more than a rare one, and each side is read once.
     """
-    da = a.select(*keys).distinct()
-    db = b.select(*keys).distinct()
+    da = a.select(*keys).distinct().withColumn("__a", F.lit(True))
+    db = b.select(*keys).distinct().withColumn("__b", F.lit(True))
+    side = F.when(F.col("__b").isNull(), sides[0]).when(F.col("__a").isNull(), sides[1])
     return (
-        da.join(db, list(keys), "left_anti")
-        .withColumn("side", F.lit(sides[0]))
-        .unionByName(db.join(da, list(keys), "left_anti").withColumn("side", F.lit(sides[1])))
+        da.join(db, list(keys), "full")
+        .withColumn("side", side)
+        .where(F.col("side").isNotNull())
+        .drop("__a", "__b")
     )

@@ -9,14 +9,12 @@ like, and a row lag equals a time lag.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions.dates import month_steps
-from panelspark.functions.nulls import all_present, peak_na
 
 BASE_OFFSETS = (*range(0, 15), 24, 36, 48, 60)
 SEASON_OFFSETS = (*range(0, 13), 24, 36, 48, 60)
@@ -78,9 +76,22 @@ def lag_name(var: str, k: int) -> str:
     return var if k == 0 else f"lag_{var}_{k}"
 
 
-def lags(var: str, offsets: Sequence[int], window: WindowSpec) -> dict[str, Column]:
+def _listed(cols: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in cols)
+
+
+def _every(cols: Sequence[str]) -> str:
+    return " AND ".join(f"`{c}` IS NOT NULL" for c in cols)
+
+
+# Generated families are SQL text: one parsed expression per column is far cheaper to
+# build than the same tree put together call by call.
+
+
+def lags(var: str, offsets: Sequence[int], keys: Sequence[str], time: str) -> dict[str, Column]:
     """One column per offset; all of them run in a single window pass."""
-    return {lag_name(var, k): F.lag(var, k).over(window) for k in offsets if k > 0}
+    window = f"(PARTITION BY {_listed(keys)} ORDER BY `{time}`)"
+    return {lag_name(var, k): F.expr(f"lag(`{var}`, {k}) OVER {window}") for k in offsets if k > 0}
 
 
 def lag_panel(
@@ -90,22 +101,20 @@ def lag_panel(
     variables: Sequence[str],
     offsets: Sequence[int] = BASE_OFFSETS,
 ) -> DataFrame:
-    window = ordered(keys, time)
     cols: dict[str, Column] = {}
     for v in variables:
-        cols |= lags(v, offsets, window)
+        cols |= lags(v, offsets, keys, time)
     return df.withColumns(cols)
 
 
 def anomalies(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Same-month mean of the five years before, and the deviation from it."""
-    means = {
-        f"{v}_5avg": reduce(lambda a, b: a + b, [F.col(lag_name(v, k)) for k in YEARLY_OFFSETS]) / 5
-        for v in variables
-    }
-    return df.withColumns(means).withColumns(
-        {f"{v}_dev5": F.col(v) - F.col(f"{v}_5avg") for v in variables}
-    )
+    cols: dict[str, Column] = {}
+    for v in variables:
+        total = " + ".join(f"`{lag_name(v, k)}`" for k in YEARLY_OFFSETS)
+        cols[f"{v}_5avg"] = F.expr(f"({total}) / {len(YEARLY_OFFSETS)}")
+        cols[f"{v}_dev5"] = F.expr(f"`{v}` - ({total}) / {len(YEARLY_OFFSETS)}")
+    return df.withColumns(cols)
 
 
 def three_month_means(
@@ -114,8 +123,7 @@ def three_month_means(
     """Mean of the lags k, k+1, k+2; NULL when one of the three is."""
 
     def mean3(v: str, k: int) -> Column:
-        a, b, c = (F.col(lag_name(v, k + i)) for i in range(3))
-        return (a + b + c) / 3
+        return F.expr("(" + " + ".join(f"`{lag_name(v, k + j)}`" for j in range(3)) + ") / 3")
 
     return df.withColumns({f"{v}_mean3_{k}": mean3(v, k) for v in variables for k in starts})
 
@@ -123,9 +131,13 @@ def three_month_means(
 def season_peaks(df: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Best three-month mean of the last year: 12-month and 14-month reach."""
     spans = {"12": range(1, 11), "14": range(1, 13)}
+
+    def best(cols: list[str]) -> Column:
+        return F.expr(f"CASE WHEN {_every(cols)} THEN greatest({_listed(cols)}) END")
+
     return df.withColumns(
         {
-            f"{v}_peak3_{reach}": peak_na(*[f"{v}_mean3_{k}" for k in ks])
+            f"{v}_peak3_{reach}": best([f"{v}_mean3_{k}" for k in ks])
             for v in variables
             for reach, ks in spans.items()
         }
@@ -134,14 +146,20 @@ def season_peaks(df: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 def time_from_peak(df: DataFrame, variables: Sequence[str], reach: int = 14) -> DataFrame:
     """Highest of the trailing months, and how many months ago; the latest month wins ties."""
-    recent = {v: [F.col(lag_name(v, k)) for k in range(1, reach + 1)] for v in variables}
-    peaks = df.withColumns({f"peak_{v}": peak_na(*recent[v]) for v in variables})
+    recent = {v: [lag_name(v, k) for k in range(1, reach + 1)] for v in variables}
+    peaks = df.withColumns(
+        {
+            f"peak_{v}": F.expr(f"CASE WHEN {_every(c)} THEN greatest({_listed(c)}) END")
+            for v, c in recent.items()
+        }
+    )
     return peaks.withColumns(
         {
-            f"tfp_{v}": F.when(
-                all_present(recent[v]), F.array_position(F.array(*recent[v]), F.col(f"peak_{v}"))
-            ).cast("int")
-            for v in variables
+            f"tfp_{v}": F.expr(
+                f"CASE WHEN `peak_{v}` IS NOT NULL "
+                f"THEN cast(array_position(array({_listed(c)}), `peak_{v}`) AS int) END"
+            )
+            for v, c in recent.items()
         }
     )
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.nulls import sentinel_null
 from panelspark.operators.joins import split_join
+from panelspark.session import written
 
 # Mean sphere radius in metres used by the sinusoidal raster grid (fixed value).
 SINUSOIDAL_RADIUS = 6371007.181
@@ -46,25 +47,30 @@ def _touches(e: Column, px: Column, py: Column) -> Column:
     return level & in_x & in_y
 
 
-def _odd_crossings(segments: Column, px: Column, py: Column) -> Column:
-    return F.size(F.filter(segments, lambda e: F.coalesce(_crosses(e, px, py), F.lit(False)))) % 2 == 1
+def _crossings(segments: Column, px: Column, py: Column) -> Column:
+    return F.size(F.filter(segments, lambda e: F.coalesce(_crosses(e, px, py), F.lit(False))))
 
 
-def _inside(segments: Column, px: Column, py: Column) -> Column:
+def _inside(segments: Column, heights: Column, px: Column, py: Column) -> Column:
     """Inside or on the border: a point on a shared border belongs to both units."""
-    return _odd_crossings(segments, px, py) | F.exists(segments, lambda e: _touches(e, px, py))
+    right_of_tile = F.size(F.filter(heights, lambda h: h > py))
+    odd = (_crossings(segments, px, py) + right_of_tile) % 2 == 1
+    return odd | F.exists(segments, lambda e: _touches(e, px, py))
 
 
 def unit_index(
     edges: DataFrame, unit: Sequence[str] = ("unit_id",), tile: float = 0.25
 ) -> DataFrame:
-    """Tiles of each unit: ``(<unit>, tx, ty, segments)``, segments NULL for inner tiles.
+    """Tiles of each unit: ``(<unit>, tx, ty, segments, heights)``; both NULL for inner tiles.
 
-    A border tile keeps the segments of its row that reach right of its left side,
-    which are all a ray to the right can meet.  Sizes follow the boundaries, never
-    the points.
+    A border tile keeps the segments that touch it.  Segments right of it are crossed
+    by a ray exactly when the point's height lies between their ends, so of those only
+    the end heights matter, and heights that occur twice cancel: a chain of any length
+    leaves its two ends.  The index therefore grows with the boundaries' detail, not
+    with their detail times the number of tiles, and never with the points.
     """
     unit = list(unit)
+    slack = tile * 1e-9
     segment = F.struct("x1", "y1", "x2", "y2")
     rows = (
         edges.withColumn(
@@ -82,31 +88,49 @@ def unit_index(
         _tile(F.min(F.least("x1", "x2")), tile).alias("tx0"),
         _tile(F.max(F.greatest("x1", "x2")), tile).alias("tx1"),
     )
-    left = F.col("tx") * F.lit(tile)
-    right = left + F.lit(tile)
+    left, bottom = F.col("tx") * F.lit(tile), F.col("ty") * F.lit(tile)
+    right, top = left + F.lit(tile), bottom + F.lit(tile)
+
+    def near(e: Column) -> Column:
+        return (F.greatest(e["x1"], e["x2"]) >= left - slack) & (
+            F.least(e["x1"], e["x2"]) <= right + slack
+        )
+
+    def beyond(e: Column) -> Column:
+        return F.least(e["x1"], e["x2"]) > right + slack
+
+    def height(v: Column) -> Column:
+        """Above the row is above every point of it; below the row never counts."""
+        return F.when(v > top + slack, F.lit(float("inf"))).otherwise(v)
+
+    far = F.filter("row_segments", beyond)
+    ends = F.filter(
+        F.concat(F.transform(far, lambda e: height(e["y1"])), F.transform(far, lambda e: height(e["y2"]))),
+        lambda v: v >= bottom - slack,
+    )
+    nothing = F.array().cast("array<double>")
+    odd_ends = F.aggregate(
+        F.array_sort(ends),
+        nothing,
+        lambda kept, v: F.when(
+            F.try_element_at(kept, F.lit(-1)) == v, F.slice(kept, F.lit(1), F.size(kept) - 1)
+        ).otherwise(F.concat(kept, F.array(v))),
+    )
     tiles = (
         rows.join(spans, unit)
         .withColumn("tx", F.explode(F.sequence("tx0", "tx1")))
-        .withColumn(
-            "border",
-            F.exists(
-                "row_segments",
-                lambda e: (F.greatest(e["x1"], e["x2"]) >= left)
-                & (F.least(e["x1"], e["x2"]) <= right),
-            ),
-        )
+        .withColumn("segments", F.filter("row_segments", near))
+        .withColumn("heights", odd_ends)
     )
-    centre_x, centre_y = left + F.lit(tile / 2), (F.col("ty") + F.lit(0.5)) * F.lit(tile)
-    return tiles.where(
-        F.col("border") | _odd_crossings(F.col("row_segments"), centre_x, centre_y)
-    ).select(
+    border = F.size("segments") > 0
+    middle = bottom + F.lit(tile / 2)
+    inner = F.size(F.filter("heights", lambda h: h > middle)) % 2 == 1
+    return tiles.where(border | inner).select(
         *unit,
         "tx",
         "ty",
-        F.when(
-            F.col("border"),
-            F.filter("row_segments", lambda e: F.greatest(e["x1"], e["x2"]) >= left),
-        ).alias("segments"),
+        F.when(border, F.col("segments")).alias("segments"),
+        F.when(border, F.col("heights")).alias("heights"),
     )
 
 
@@ -126,19 +150,19 @@ def assign_units(
     are not shuffled at all.  Beyond it, distinct locations are matched by a
     shuffle join on the tile (hot tiles split) and joined back to the points.
     """
-    index = unit_index(edges, unit, tile).withColumnRenamed("tx", "__tx").withColumnRenamed(
-        "ty", "__ty"
+    index, seen = written(
+        unit_index(edges, unit, tile).withColumnsRenamed({"tx": "__tx", "ty": "__ty"}),
+        "unit_index",
+        segments=F.sum(
+            1 + F.when(F.col("segments").isNull(), 0).otherwise(F.size("segments") + F.size("heights"))
+        ),
     )
-    size = index.agg(
-        F.coalesce(F.sum(F.coalesce(F.size("segments"), F.lit(1))), F.lit(0)).alias("n")
-    ).first()["n"]
-
-    if size <= max_segments:
+    if (seen["segments"] or 0) <= max_segments:
         px, py = points[x], points[y]
-        hit = F.col("segments").isNull() | _inside(F.col("segments"), px, py)
+        hit = F.col("segments").isNull() | _inside(F.col("segments"), F.col("heights"), px, py)
         on_tile = (_tile(px, tile) == F.col("__tx")) & (_tile(py, tile) == F.col("__ty"))
         joined = points.join(F.broadcast(index), on_tile & hit, how)
-        return joined.drop("__tx", "__ty", "segments")
+        return joined.drop("__tx", "__ty", "segments", "heights")
 
     places = (
         points.select(x, y)
@@ -148,7 +172,10 @@ def assign_units(
     )
     found = (
         split_join(places, index, ["__tx", "__ty"])
-        .where(F.col("segments").isNull() | _inside(F.col("segments"), F.col(x), F.col(y)))
+        .where(
+            F.col("segments").isNull()
+            | _inside(F.col("segments"), F.col("heights"), F.col(x), F.col(y))
+        )
         .select(x, y, *unit)
     )
     return split_join(points, found, [x, y], how)

@@ -11,7 +11,6 @@ from panelspark.functions.aggregates import date_summary
 from panelspark.operators import panel as P
 from panelspark.operators.aggregate import summarise_columns
 from panelspark.operators.joins import full_join, rename_units
-from panelspark.operators.reshape import stack
 from panelspark.plans.survey import UNIT, WAVE
 
 SEASON = "peak3_14"
@@ -56,19 +55,19 @@ def add_indicators(panel: DataFrame, variables: Sequence[str]) -> DataFrame:
 
 
 def climate_at_survey(
-    interviews: Sequence[DataFrame], climate: DataFrame, variables: Sequence[str]
+    interviews: DataFrame, climate: DataFrame, variables: Sequence[str]
 ) -> DataFrame:
     """Climate around the interview months, weighted by interviews, per unit and wave.
 
-    ``interviews`` are tables ``(NAME_0, NAME_1, SurveyId, ymd, n)``; they are stacked
-    first, so all programmes share one join and one aggregation.
+    ``interviews`` is ``(NAME_0, NAME_1, SurveyId, ymd, n)`` with the surveys of all
+    programmes stacked, so they share one join and one aggregation.
     """
     season = [
         P.lag_name(f"{v}_{SEASON}", k) for v in variables for k in SURVEY_SEASON_LAGS
     ]
     tfp = [f"tfp_{v}" for v in variables]
     needed = climate.select(*UNIT, "ymd", *tfp, *season)
-    months = stack(list(interviews)).join(needed, [*UNIT, "ymd"], "left")
+    months = interviews.join(needed, [*UNIT, "ymd"], "left")
     # A wave has one row per interview month here, so the dates need no counting.
     return summarise_columns(
         months,

@@ -12,7 +12,6 @@ from panelspark.functions.dates import month_key
 from panelspark.operators import panel as P
 from panelspark.operators.aggregate import summarise_columns
 from panelspark.operators.events import location_days
-from panelspark.operators.reshape import stack
 from panelspark.operators.spatial import assign_units
 from panelspark.plans.survey import UNIT, WAVE
 
@@ -50,11 +49,11 @@ def event_panel(
 
 
 def events_at_survey(
-    interviews: Sequence[DataFrame], panel: DataFrame, lags: Sequence[int] = SURVEY_LAGS
+    interviews: DataFrame, panel: DataFrame, lags: Sequence[int] = SURVEY_LAGS
 ) -> DataFrame:
     """Interview-weighted mean, minimum and maximum of counts and lags per unit and wave."""
     cols = [MEASURE, *[P.lag_name(MEASURE, k) for k in lags]]
-    months = stack(list(interviews)).join(
+    months = interviews.join(
         panel.select(*UNIT, "ymd", *cols), [*UNIT, "ymd"], "left"
     )
     return summarise_columns(

@@ -65,9 +65,13 @@ def yearly_covariates(
     suffix: str = "",
     unit: Sequence[str] = UNIT,
 ) -> DataFrame:
-    """Unit-year covariates: carried forward where sparse, with lags 1 and 2."""
+    """Unit-year covariates: carried forward where sparse, with lags 1 and 2.
+
+    Files that list a unit twice are averaged first, so a unit has one row per year.
+    """
     long = yearly_series(wide, unit, series, first, last, static, suffix)
-    filled = P.carry_forward(long, unit, "year", carried)
+    steps = P.one_row_per_step(long, unit, "year", [*series, *(static or {})])
+    filled = P.carry_forward(steps, unit, "year", carried)
     return P.yearly_lags(filled, unit, {n: n for n in series})
 
 

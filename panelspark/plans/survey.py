@@ -15,7 +15,7 @@ from panelspark.functions import (
     water_minutes,
     wealth_rank,
 )
-from panelspark.operators.aggregate import weighted_rates
+from panelspark.operators.aggregate import rate_parts, rates_of
 from panelspark.operators.joins import lookup_join
 from panelspark.operators.reshape import stack
 from panelspark.operators.spatial import assign_units
@@ -87,10 +87,21 @@ def household_recodes(df: DataFrame) -> DataFrame:
     )
 
 
-def prevalence(children: DataFrame, keys: Sequence[str] = WAVE) -> DataFrame:
+def wave_months(children: DataFrame) -> DataFrame:
+    """Child records summed per unit, wave and month: the one pass over the microdata.
+
+    Both the prevalence table and the interview counts follow from it.
+    """
+    return rate_parts(children, [*WAVE, "ymd"], RATES, F.col("hv005") / WEIGHT_SCALE)
+
+
+def prevalence_of(months: DataFrame) -> DataFrame:
+    return rates_of(months, WAVE, list(RATES), "ymd")
+
+
+def prevalence(children: DataFrame) -> DataFrame:
     """Weighted prevalence per unit and wave, with interview dates and record count."""
-    weight = F.col("hv005") / WEIGHT_SCALE
-    return weighted_rates(children, keys, RATES, weight, "ymd")
+    return prevalence_of(wave_months(children))
 
 
 def _programme(
@@ -122,27 +133,26 @@ def programme_records(
     )
 
 
-def programme_prevalence(
+def programme_wave_months(
     surveys: DataFrame,
     countries: Sequence[str],
     waves: Mapping[int, int] | None = PROGRAMME_WAVES,
 ) -> DataFrame:
-    """Respondent-weighted prevalence per unit and programme wave."""
+    """The pre-aggregated surveys in the shape of :func:`wave_months`, weighted by respondents."""
     records = programme_records(surveys, countries, waves)
-    return weighted_rates(
-        records, WAVE, RATES, F.col("respondents"), "ymd", n=F.col("respondents")
-    )
-
+    respondents = F.col("respondents")
+    return rate_parts(records, [*WAVE, "ymd"], RATES, respondents, n=respondents)
 
-def interview_months(children: DataFrame) -> DataFrame:
-    """Interviews per unit, wave and month."""
-    return children.groupBy(*WAVE, "ymd").agg(F.count(F.lit(1)).alias("n"))
 
-
-def programme_months(
+def programme_prevalence(
     surveys: DataFrame,
     countries: Sequence[str],
     waves: Mapping[int, int] | None = PROGRAMME_WAVES,
 ) -> DataFrame:
-    records = programme_records(surveys, countries, waves)
-    return records.groupBy(*WAVE, "ymd").agg(F.sum("respondents").alias("n"))
+    """Respondent-weighted prevalence per unit and programme wave."""
+    return prevalence_of(programme_wave_months(surveys, countries, waves))
+
+
+def interview_months(months: DataFrame) -> DataFrame:
+    """Interviews per unit, wave and month, from a table of wave months."""
+    return months.select(*WAVE, "ymd", F.col("n").cast("double"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # What the operators rely on.  Cluster sizing (executors, memory, shuffle
 # partitions) stays with whoever submits the job.
@@ -15,6 +15,8 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Capturing the Python call site of every column expression multiplies planning time.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -40,3 +42,20 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared root; never reused between runs."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Cut lineage through a table in the shared folder.
+
+    A step of a loop then starts from files: it survives lost executors, and the
+    planner sees the step's true size instead of an estimate grown over the loop.
+    ``metrics`` are aggregates observed while writing, which spares a second pass.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if not metrics:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), {}
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get

@@ -39,11 +39,11 @@ def read_wide_matrix(
 
 
 def with_row_position(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """1-based position of each row in its file.
+    """1-based position of each row in the input, files taken in name order.
 
     Works on a fresh file scan.  Rows of one file block are contiguous in a task, so
     the position is the rank inside the block plus the sizes of the blocks before
-    it; only one row per block is ever brought together.
+    it.  Only the list of blocks, one row each, is ordered as a whole.
     """
     tagged = df.select(
         "*",
@@ -52,7 +52,7 @@ def with_row_position(df: DataFrame, name: str = "row_id") -> DataFrame:
         F.monotonically_increasing_id().alias("__seq"),
     )
     before = (
-        W.partitionBy("__file").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+        W.partitionBy(F.lit(0)).orderBy("__file", "__block").rowsBetween(W.unboundedPreceding, -1)
     )
     blocks = (
         tagged.groupBy("__file", "__block")
