@@ -102,14 +102,21 @@ def _km(a_lon: str, a_lat: str, b_lon: str, b_lat: str) -> Column:
 
 
 def candidate_pairs(
-    earlier: DataFrame, later: DataFrame, km: float, days: int, levels: Sequence[str]
+    earlier: DataFrame,
+    later: DataFrame,
+    km: float,
+    days: int,
+    levels: Sequence[str],
+    metres: tuple[int, int | None] = (-1, None),
+    level: int | None = None,
 ) -> DataFrame:
     """Site pairs inside the space-time window that agree on some taxonomy level.
 
     Sites fall into buckets as large as the window, so a partner is in the same or
     an adjacent bucket.  The later side is copied to its 27 neighbours and the rest
     is an equi join, with hot buckets split; longitude buckets are as wide as the
-    window at the bucket row's latitude nearest the pole.
+    window at the bucket row's latitude nearest the pole.  ``metres`` (above, up to)
+    and ``level`` narrow the pairs to one tier of the score.
     """
     lat_step = math.degrees(km / EARTH_KM) * (1 + 1e-9)
 
@@ -172,12 +179,15 @@ def candidate_pairs(
     return (
         pairs.where(same_kind & (gap <= days))
         .withColumns({"levels": apart, "__km": distance})
-        .where((F.col("__km") <= km) & (F.col("levels") < len(levels)))
+        .withColumn("metres", F.round(F.col("__km") * 1000).cast("long"))
+        .where((F.col("__km") <= km) & (F.col("metres") > metres[0]))
+        .where(F.lit(True) if metres[1] is None else F.col("metres") <= metres[1])
+        .where(F.col("levels") < len(levels) if level is None else F.col("levels") == level)
         .select(
             F.col("a_site").alias("site_a"),
             F.col("b_site").alias("site_b"),
             F.col("levels").cast("int").alias("levels"),
-            F.round(F.col("__km") * 1000).cast("long").alias("metres"),
+            "metres",
             gap.cast("int").alias("days"),
             F.col("a_free").alias("free_a"),
             F.col("b_free").alias("free_b"),
@@ -314,22 +324,84 @@ def integrate(
     links = []
     for source in order[1:]:
         incoming = sites.where(F.col("dataset") == source)
-        found = match_sites(candidate_pairs(kept, incoming, km, days, levels))
-        links.append(found)
-        spent = found.groupBy(F.col("site_b").alias("site")).agg(F.sum("copies").alias("__q"))
-        q = F.coalesce("__q", F.lit(0))
-        fresh = (
-            incoming.join(spent, "site", "left")
-            .withColumns({"free": F.col("free") - q, "used": F.col("used") + q})
-            .where("free > 0")
-            .drop("__q")
-        )
-        kept = kept.unionByName(fresh)
+        found, spent = _match_source(kept, incoming, km, days, levels)
+        links += found
+        kept = kept.unionByName(_less(incoming, spent, "site_b", book=True))
     if not links:
         return copies.select(*columns, F.lit(None).cast("long").alias("duplicate_of"))
     return _expand(copies, reduce(DataFrame.unionByName, links))
 
 
+def _less(sites: DataFrame, links: DataFrame, side: str, book: bool) -> DataFrame:
+    """Sites with the copies that links took removed; exhausted sites go."""
+    spent = links.groupBy(F.col(side).alias("site")).agg(F.sum("copies").alias("__q"))
+    q = F.coalesce("__q", F.lit(0))
+    used = F.col("used") + q if book else F.col("used")
+    return (
+        sites.join(spent, "site", "left")
+        .withColumns({"free": F.col("free") - q, "used": used})
+        .where("free > 0")
+        .drop("__q")
+    )
+
+
+def _pair_estimate(kept: DataFrame, incoming: DataFrame, km: float, days: int) -> int:
+    """Pairs the bucket join would look at, from counts per coarse bucket."""
+    cell = math.degrees(km / EARTH_KM)
+
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(
+            F.floor(F.unix_date("date") / max(days, 1)).alias("d"),
+            F.floor(F.col("latitude") / cell).alias("r"),
+            F.floor(F.col("longitude") / cell).alias("c"),
+        ).agg(F.count(F.lit(1)).cast("double").alias(name))
+
+    shared = counts(kept, "a").join(counts(incoming, "b"), ["d", "r", "c"])
+    return int(shared.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0))).first()[0])
+
+
+# Above this many pairs per matching step, pairs are looked at tier by tier.
+PAIR_BUDGET = 50_000_000
+
+
+def _match_source(
+    kept: DataFrame, incoming: DataFrame, km: float, days: int, levels: Sequence[str]
+) -> tuple[list[DataFrame], DataFrame]:
+    """Match one later source against the entries kept so far.
+
+    Normally all pairs of the window are scored at once.  Where many sites crowd a
+    window that would be quadratic, so the score is then walked through in tiers,
+    best first: by taxonomy levels apart, and within a level by growing rings around
+    each site.  A tier sees only sites that better tiers left over.  Every pair of a
+    tier scores above every pair of the tiers before, so the result is the same, and
+    after a ring no two matchable sites closer than its radius are left.
+    """
+    if _pair_estimate(kept, incoming, km, days) <= PAIR_BUDGET:
+        found = match_sites(candidate_pairs(kept, incoming, km, days, levels))
+        return [found], found
+    links: list[DataFrame] = []
+    for level in range(len(levels)):
+        inner = -1
+        for outer in _rings(km):
+            # Half a metre of margin: whole metres decide which ring a pair is in.
+            reach = km if outer is None else (outer + 0.5) / 1000
+            pairs = candidate_pairs(kept, incoming, reach, days, levels, (inner, outer), level)
+            found = match_sites(pairs)
+            inner = outer
+            links.append(found)
+            # Kept entries may serve every later source anew, so only the copies of
+            # this step count as spent on their side.
+            kept, _ = written(_less(kept, found, "site_a", book=True), "kept")
+            incoming, _ = written(_less(incoming, found, "site_b", book=True), "incoming")
+    return links, reduce(DataFrame.unionByName, links)
+
+
+def _rings(km: float) -> list[int | None]:
+    """Outer ends of the rings in metres, doubling twice per step; None ends at the window."""
+    inner = [math.floor(km * 1000 / f) for f in (64, 16, 4)]
+    return [m for m in inner if m > 0] + [None]
+
+
 def _expand(copies: DataFrame, links: DataFrame) -> DataFrame:
     """Site links back to entry links: rank r of one side meets rank r of the other."""
     bounds = links.select(

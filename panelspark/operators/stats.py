@@ -11,19 +11,85 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.operators.joins import null_safe_join
+from panelspark.session import written
 
 
 def _value_counts(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
-    return (
+    """Distinct values with counts, written once because every statistic reads them twice."""
+    counts = (
         df.where(F.col(x).isNotNull())
         .groupBy(*by, F.col(x).cast("double").alias("x"))
         .agg(F.count(F.lit(1)).alias("w"))
     )
+    return written(counts, "value_counts")[0]
+
+
+def nth_values(
+    values: DataFrame, by: Sequence[str], targets: DataFrame, bins: int = 1024
+) -> DataFrame:
+    """Order statistics of weighted values: ``by, which, x``.
+
+    ``values`` is ``(by, x, w)``, ``targets`` is ``(by, which, target)``; the answer is
+    the smallest x whose running weight reaches the target.  A histogram names the
+    bin that holds it and only that bin's values are ordered, so a group with very
+    many distinct values is never sorted as a whole.
+    """
+    span = values.groupBy(*by).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
+    share = F.try_divide(F.col("x") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    binned = (
+        null_safe_join(values, span, by, "inner")
+        .withColumn("__bin", F.floor(F.coalesce(share, F.lit(0.0)) * (bins - 1)).cast("int"))
+        .drop("__lo", "__hi")
+    )
+    running = W.partitionBy(*by).orderBy("__bin")
+    upto = (
+        binned.groupBy(*by, "__bin")
+        .agg(F.sum("w").alias("__in"))
+        .withColumn("__upto", F.sum("__in").over(running))
+    )
+    before = F.col("__upto") - F.col("__in")
+    chosen = (
+        null_safe_join(upto, targets, by, "inner")
+        .where((F.col("__upto") >= F.col("target")) & (before < F.col("target")))
+        .select(*by, "which", "target", "__bin", before.alias("__before"))
+    )
+    in_bin = W.partitionBy(*by, "which").orderBy("x").rangeBetween(W.unboundedPreceding, 0)
+    return (
+        null_safe_join(binned, chosen, [*by, "__bin"], "inner")
+        .withColumn("__sofar", F.col("__before") + F.sum("w").over(in_bin))
+        .where(F.col("__sofar") >= F.col("target"))
+        .groupBy(*by, "which")
+        .agg(F.min("x").alias("x"))
+    )
+
+
+def quartile_spread(values: DataFrame, by: Sequence[str], totals: DataFrame) -> DataFrame:
+    """Interquartile range with linear interpolation between neighbouring values."""
+    rank = {"q1": 0.25, "q3": 0.75}
+    parts = []
+    for q, share in rank.items():
+        place = (F.col("n") - 1) * F.lit(share)
+        parts += [
+            F.struct(F.lit(f"{q}_low").alias("which"), (F.floor(place) + 1).alias("target")),
+            F.struct(F.lit(f"{q}_high").alias("which"), (F.ceil(place) + 1).alias("target")),
+        ]
+    targets = totals.select(*by, F.explode(F.array(*parts)).alias("__t")).select(*by, "__t.*")
+    found = nth_values(values, by, targets).groupBy(*by).pivot(
+        "which", [f"{q}_{end}" for q in rank for end in ("low", "high")]
+    ).agg(F.first("x"))
+    joined = null_safe_join(found, totals.select(*by, "n"), by, "inner")
+
+    def at(q: str) -> Column:
+        place = (F.col("n") - 1) * F.lit(rank[q])
+        low, high = F.col(f"{q}_low"), F.col(f"{q}_high")
+        return low + (place - F.floor(place)) * (high - low)
+
+    return joined.select(*by, (at("q3") - at("q1")).alias("iqr"))
 
 
 def kernel_density(
@@ -35,15 +101,15 @@ def kernel_density(
     falling back to sd when the quartiles coincide.
     """
     values = _value_counts(df, by, x)
-    quartile = [F.percentile("x", F.lit(q), F.col("w")) for q in (0.25, 0.75)]
     n, s1, s2 = F.sum("w"), F.sum(F.col("w") * F.col("x")), F.sum(F.col("w") * F.col("x") ** 2)
-    spread = values.groupBy(*by).agg(
+    totals = values.groupBy(*by).agg(
         n.cast("double").alias("n"),
         F.sqrt(F.greatest(F.lit(0.0), F.try_divide(s2 - s1 * s1 / n, n - 1))).alias("sd"),
-        ((quartile[1] - quartile[0]) / 1.34).alias("iqr"),
     )
-    width = F.when(F.least("sd", "iqr") > 0, F.least("sd", "iqr")).otherwise(F.col("sd"))
-    spread = spread.withColumn("bw", 0.9 * width * F.pow("n", F.lit(-0.2))).select(*by, "n", "bw")
+    spread = null_safe_join(totals, quartile_spread(values, by, totals), by, "inner")
+    robust = F.least(F.col("sd"), F.col("iqr") / 1.34)
+    width = F.when(robust > 0, robust).otherwise(F.col("sd"))
+    spread = spread.select(*by, "n", (0.9 * width * F.pow("n", F.lit(-0.2))).alias("bw"))
     step = (hi - lo) / (points - 1)
     z = (F.col("grid_x") - F.col("x")) / F.col("bw")
     return (
@@ -107,43 +173,29 @@ def local_regression(
     """Local quadratic regression with tricube weights on a fixed grid.
 
     At each grid point the window reaches to the nearest ``span`` share of the
-    records.  That distance is found exactly in two steps: a histogram of distances
-    names the bin that holds it, and only that bin's values are ordered.
+    records, a distance found exactly by :func:`nth_values`.
     """
-    xs = (
+    xs, _ = written(
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*by, F.col(x).cast("double").alias("x"))
-        .agg(F.count(F.lit(1)).alias("w"), F.sum(F.col(y).cast("double")).alias("sy"))
+        .agg(F.count(F.lit(1)).alias("w"), F.sum(F.col(y).cast("double")).alias("sy")),
+        "value_sums",
     )
     step = (hi - lo) / (points - 1)
-    # Number of neighbours and the scale of the distance bins, per group.
-    reach = xs.groupBy(*by).agg(
-        F.floor(F.sum("w") * F.lit(span) + 1e-5).alias("q"),
-        F.greatest(F.max(F.abs(F.col("x") - lo)), F.max(F.abs(F.col("x") - hi))).alias("far"),
-    )
     spread = (
-        null_safe_join(xs, reach, by, "inner")
-        .withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        xs.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("grid_x", F.lit(lo) + F.col("grid") * F.lit(step))
         .withColumn("d", F.abs(F.col("x") - F.col("grid_x")))
-        .withColumn("bin", F.floor(F.coalesce(F.try_divide("d", "far"), F.lit(0.0)) * 1023).cast("int"))
     )
     at = [*by, "grid"]
-    per_bin = spread.groupBy(*at, "bin", "q").agg(F.sum("w").alias("in_bin"))
-    running = W.partitionBy(*at).orderBy("bin")
-    chosen = (
-        per_bin.withColumn("upto", F.sum("in_bin").over(running))
-        .where((F.col("upto") >= F.col("q")) & (F.col("upto") - F.col("in_bin") < F.col("q")))
-        .select(*at, "bin", (F.col("upto") - F.col("in_bin")).alias("before"))
-    )
-    inner = W.partitionBy(*at).orderBy("d").rangeBetween(W.unboundedPreceding, 0)
-    window = (
-        null_safe_join(spread, chosen, [*at, "bin"], "inner")
-        .withColumn("upto", F.col("before") + F.sum("w").over(inner))
-        .where(F.col("upto") >= F.col("q"))
-        .groupBy(*at)
-        .agg(F.min("d").alias("h"))
+    targets = (
+        xs.groupBy(*by)
+        .agg(F.floor(F.sum("w") * F.lit(span) + 1e-5).alias("target"))
+        .withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .withColumn("which", F.lit("h"))
     )
+    distances = spread.select(*at, F.col("d").alias("x"), "w")
+    window = nth_values(distances, at, targets).select(*at, F.col("x").alias("h"))
     t = (F.col("x") - F.col("grid_x")) / F.col("h")
     kernel = F.pow(1 - F.pow(F.abs(t), F.lit(3)), F.lit(3))
     k = F.when(F.col("h") > 0, F.when(F.abs(t) < 1, kernel).otherwise(0.0)).otherwise(
@@ -236,6 +288,7 @@ def two_factor_ols(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
             F.sum(F.col(y) * F.col(y)).alias("ss"),
         )
     )
+    cells, _ = written(cells, "factor_cells")
     formula = RFormula(
         formula="y ~ " + " + ".join(factors), stringIndexerOrderType="alphabetDesc"
     ).fit(cells)
