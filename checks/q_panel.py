@@ -166,7 +166,8 @@ def climate_panel(i):
 
 
 def plain_climate(i):
-    return P.on_skeleton(i.panel, UNIT, FIRST_MONTH, LAST_MONTH, units=i.unit_names)
+    blank = P.month_skeleton(i.unit_names, UNIT, FIRST_MONTH, LAST_MONTH)
+    return P.one_row_per_step(i.panel, UNIT, "ymd", VARS, blank)
 
 
 INTERVIEWS = f"""SELECT NAME_0, NAME_1, SurveyId, ymd, cast(count(*) AS double) AS n FROM {{resp}} GROUP BY ALL

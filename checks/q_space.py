@@ -13,7 +13,6 @@ from checks.standins import FIRST_MONTH, LAST_MONTH
 from panelspark.functions import month_from_file_name
 from panelspark.functions.dates import MONTH_NAMES
 from panelspark.operators import events as E
-from panelspark.operators import panel as P
 from panelspark.operators import spatial as S
 from panelspark.plans import conflict as X
 from panelspark.plans import covariates as Y
@@ -209,9 +208,8 @@ def event_counts(i):
 
 @query("event_panel", EVENT_PANEL, dates="ymd")
 def event_panel(i):
-    counts = X.event_counts(S.assign_units(violent_points(i), i.nation_edges, UNIT, how="inner"))
-    blank = P.month_skeleton(i.nation_edges, UNIT, FIRST_MONTH, LAST_MONTH)
-    return P.zero_filled(blank, counts.drop("n_events"), [*UNIT, "ymd"], ["violent_events"])
+    located = S.assign_units(violent_points(i), i.nation_edges, UNIT, how="inner")
+    return X.zero_filled_counts(located, i.nation_edges, FIRST_MONTH, LAST_MONTH)
 
 
 @query(

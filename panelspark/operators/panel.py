@@ -26,9 +26,19 @@ def ordered(keys: Sequence[str], time: str) -> WindowSpec:
 
 
 def one_row_per_step(
-    df: DataFrame, keys: Sequence[str], time: str, values: Sequence[str]
+    df: DataFrame,
+    keys: Sequence[str],
+    time: str,
+    values: Sequence[str],
+    skeleton: DataFrame | None = None,
 ) -> DataFrame:
-    """Mean per unit and step, for sources that map several regions to one unit."""
+    """Mean per unit and step, for sources that map several regions to one unit.
+
+    With a skeleton its unit-steps are there too, NULL where nothing is known: the
+    skeleton's rows go into the same aggregation instead of a join after it.
+    """
+    if skeleton is not None:
+        df = df.unionByName(skeleton.select(*keys, time), allowMissingColumns=True)
     return df.groupBy(*keys, time).agg(*[F.avg(v).alias(v) for v in values])
 
 
@@ -66,10 +76,12 @@ def on_skeleton(
 
 
 def zero_filled(
-    skeleton: DataFrame, counts: DataFrame, keys: Sequence[str], names: Sequence[str]
+    counts: DataFrame, skeleton: DataFrame, keys: Sequence[str], name: str
 ) -> DataFrame:
-    """Counts on a skeleton, zero where nothing was counted."""
-    return skeleton.join(counts, list(keys), "full").fillna(0, subset=list(names))
+    """Sum per key with zero where a skeleton key has nothing, in one aggregation."""
+    nothing = skeleton.select(*keys, F.lit(0).cast("long").alias(name))
+    both = counts.select(*keys, F.col(name).cast("long")).unionByName(nothing)
+    return both.groupBy(*keys).agg(F.sum(name).alias(name))
 
 
 def lag_name(var: str, k: int) -> str:

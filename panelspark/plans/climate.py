@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from panelspark.functions.aggregates import date_summary
 from panelspark.operators import panel as P
 from panelspark.operators.aggregate import summarise_columns
-from panelspark.operators.joins import full_join, rename_units
+from panelspark.operators.joins import rename_units
+from panelspark.operators.reshape import stack
 from panelspark.plans.survey import UNIT, WAVE
 
 SEASON = "peak3_14"
@@ -28,22 +29,24 @@ def climate_panel(
     """Lags, five-year anomalies, three-month seasons and time from peak, per unit-month.
 
     ``sources`` maps a variable to its long table ``(NAME_0, NAME_1, ymd, <variable>)``.
-    Countries are filtered before the joins.  Unit names are aligned and several
-    regions of one unit averaged, then months are made gap-free; from there on all
-    lags run on one partitioning by unit, in two window passes (base, season).
+    Countries are filtered first.  The sources are stacked rather than joined: one
+    aggregation by unit and month lines the variables up, averages regions that share
+    a unit, and adds the months nobody reported.  From there on all lags run on one
+    partitioning by unit, in two window passes (base, season).
     """
     variables = list(sources)
     keys = [*UNIT, "ymd"]
-    parts = [
-        (df if countries is None else df.where(F.col("NAME_0").isin(list(countries)))).select(*keys, v)
-        for v, df in sources.items()
-    ]
-    joined = full_join(parts, keys)
+
+    def wanted(df: DataFrame) -> DataFrame:
+        return df if countries is None else df.where(F.col("NAME_0").isin(list(countries)))
+
+    rows = stack([wanted(df).select(*keys, v) for v, df in sources.items()])
+    units = rows if units is None else wanted(units)
     if names is not None:
-        joined = rename_units(joined, "NAME_1", names)
-        units = None if units is None else rename_units(units, "NAME_1", names)
-    steps = P.one_row_per_step(joined, UNIT, "ymd", variables)
-    return add_indicators(P.on_skeleton(steps, UNIT, start, end, units=units), variables)
+        rows = rename_units(rows, "NAME_1", names)
+        units = rename_units(units, "NAME_1", names)
+    blank = P.month_skeleton(units, UNIT, start, end)
+    return add_indicators(P.one_row_per_step(rows, UNIT, "ymd", variables, blank), variables)
 
 
 def add_indicators(panel: DataFrame, variables: Sequence[str]) -> DataFrame:

@@ -42,10 +42,16 @@ def event_panel(
 ) -> DataFrame:
     """Zero-filled unit-month counts of one event class, with lags."""
     points = location_days(events, F.col("Level_4_text") == wanted_class)
-    counts = event_counts(assign_units(points, edges, UNIT, how="inner")).drop("n_events")
-    blank = P.month_skeleton(edges, UNIT, start, end)
-    full = P.zero_filled(blank, counts, [*UNIT, "ymd"], [MEASURE])
-    return P.lag_panel(full, UNIT, "ymd", [MEASURE], lags)
+    located = assign_units(points, edges, UNIT, how="inner")
+    counts = zero_filled_counts(located, edges, start, end)
+    return P.lag_panel(counts, UNIT, "ymd", [MEASURE], lags)
+
+
+def zero_filled_counts(located: DataFrame, units: DataFrame, start: str, end: str) -> DataFrame:
+    """Location-days per unit and month, zero in quiet months: one aggregation."""
+    ones = located.select(*UNIT, month_key("date").alias("ymd"), F.lit(1).alias(MEASURE))
+    blank = P.month_skeleton(units, UNIT, start, end)
+    return P.zero_filled(ones, blank, [*UNIT, "ymd"], MEASURE)
 
 
 def events_at_survey(

@@ -79,7 +79,17 @@ def test_zero_filled(spark):
     blank = P.month_skeleton(units, ["u"], "2000-01-01", "2000-03-01")
     assert blank.count() == 6
     counts = spark.createDataFrame([("u", months(1)[0], 4)], "u string, ymd date, n int")
-    assert sorted(r["n"] for r in P.zero_filled(blank, counts, ["u", "ymd"], ["n"]).collect()) == [0] * 5 + [4]
+    filled = P.zero_filled(counts.union(counts), blank, ["u", "ymd"], "n")
+    assert sorted(r["n"] for r in filled.collect()) == [0] * 5 + [8]
+
+
+def test_one_row_per_step_with_skeleton(spark):
+    m = months(3)
+    rows = [("u", m[0], 1.0, None), ("u", m[0], 3.0, None), ("u", m[2], None, 5.0)]
+    df = spark.createDataFrame(rows, "u string, ymd date, a double, b double")
+    blank = P.month_skeleton(df, ["u"], "2000-01-01", "2000-03-01")
+    out = P.one_row_per_step(df, ["u"], "ymd", ["a", "b"], blank).orderBy("ymd").collect()
+    assert [(r["a"], r["b"]) for r in out] == [(2.0, None), (None, None), (None, 5.0)]
 
 
 def test_yearly_series_and_duplicates(spark):

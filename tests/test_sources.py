@@ -104,7 +104,8 @@ def test_shared_root_follows_the_session(spark):
     assert shared_root(Session()) == "hdfs://shared/scratch"
     assert Session.sparkContext.folder == "hdfs://shared/scratch//made-by-spark"
     assert scratch_path(Session(), "x").startswith("hdfs://shared/scratch/x-")
-    assert shared_root(spark) == spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_root(spark) == (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
 
 
 def test_survey_selection(spark):
