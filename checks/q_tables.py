@@ -75,16 +75,15 @@ def scan_dta(i):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        frames = list(batches)
-        if frames and sum(map(len, frames)):
-            os.makedirs(local, exist_ok=True)
-            target = f"{local}/part-{part:05d}.dta"
-            pd.concat(frames).to_stata(target + ".tmp", write_index=False)
+        os.makedirs(local, exist_ok=True)
+        for n, frame in enumerate(b for b in batches if len(b)):
+            target = f"{local}/part-{part:05d}-{n:05d}.dta"
+            frame.to_stata(target + ".tmp", write_index=False)
             os.replace(target + ".tmp", target)
         yield pd.DataFrame({"part": [part]})
 
-    # A retried task replaces its own file, so the folder holds each row once.
-    i.surveys_agg.repartition(4, "country").mapInPandas(write, "part int").count()
+    # One file per batch.  A retried task replaces its own files.
+    i.surveys_agg.mapInPandas(write, "part int").count()
     return stata.read_stata(
         i.spark,
         local,

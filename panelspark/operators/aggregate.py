@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from panelspark.functions import aggregates as A
 from panelspark.functions.nulls import as_column
-from panelspark.operators.joins import null_safe_join
+from panelspark.operators.joins import BROADCAST_ROWS, null_safe_join, sized
 
 
 def group_count(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
@@ -39,9 +39,11 @@ def attach_date_stats(df: DataFrame, keys: Sequence[str], date: str) -> DataFram
     """The group's date statistics beside each row.
 
     Aggregated and joined back rather than windowed: a window would move a whole
-    group into one task, while the join can broadcast or split the hot side.
+    group into one task.  The statistics are broadcast while few, so the rows stay put.
     """
-    return null_safe_join(df, date_stats(df, keys, date), keys, "left")
+    stats, groups = sized(date_stats(df, keys, date), "date_stats")
+    side = F.broadcast(stats) if groups <= BROADCAST_ROWS else stats
+    return null_safe_join(df, side, keys, "left")
 
 
 def rate_parts(

@@ -191,7 +191,8 @@ def box_units(
     """Pairs ``(box, unit)`` that intersect; boxes are ``xmin, ymin, xmax, ymax``.
 
     They intersect when a segment of the unit meets the box, or when the box lies
-    wholly inside, which one corner decides.
+    wholly inside, which one corner decides.  Segments and boxes are compared when
+    they share a tile, so a tile should be about the size of a box.
     """
     unit = list(unit)
 

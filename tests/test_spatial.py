@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import spatial as S
+from panelspark.plans.raster import raster_panel
 from panelspark.sources.boundaries import boundary_edges
 
 EDGES = "unit_id string, x1 double, y1 double, x2 double, y2 double"
@@ -164,3 +165,17 @@ def test_admin_layer(spark):
     names = {"CNTRYNAMEE": "NAME_0", "DHSREGEN": "NAME_1"}
     out = S.admin_layer(base, ["A"], [S.replacement_layer(alt, names), S.replacement_layer(alt, names, "Fixed")])
     assert sorted(map(tuple, out.collect())) == [("A", "1"), ("Fixed", "5"), ("x", "5")]
+
+
+def test_raster_panel_by_file_name_and_projection(spark):
+    edges = spark.createDataFrame(SHAPES, EDGES)
+    cells = spark.createDataFrame(
+        [(1, 1.0, 0.5, "t.August.2001.tif", 4.0), (2, 1.2, 0.5, "t.August.2001.tif", 6.0), (3, 1.0, 0.5, "t.April.2001.tif", -9999.0)],
+        "cell_id int, x double, y double, file string, value double",
+    )
+    plain = raster_panel(cells, edges, ["unit_id"], file_name="file")
+    got = sorted((r["unit_id"], str(r["ymd"]), r["value"]) for r in plain.collect())
+    assert got == [("concave", "2001-04-01", None), ("concave", "2001-08-01", 5.0)]
+    metres = S.to_sinusoidal(cells, [("x", "y")])
+    moved = raster_panel(metres, edges, ["unit_id"], file_name="file", sinusoidal=True, tile=30000.0)
+    assert sorted((r["unit_id"], str(r["ymd"]), r["value"]) for r in moved.collect()) == got
