@@ -116,7 +116,8 @@ def candidate_pairs(
     an adjacent bucket.  The later side is copied to its 27 neighbours and the rest
     is an equi join, with hot buckets split; longitude buckets are as wide as the
     window at the bucket row's latitude nearest the pole.  ``metres`` (above, up to)
-    and ``level`` narrow the pairs to one tier of the score.
+    and ``level`` narrow the pairs to one tier of the score; sites then also meet on a
+    label they share, so crowded sites of unrelated categories are never compared.
     """
     lat_step = math.degrees(km / EARTH_KM) * (1 + 1e-9)
 
@@ -167,7 +168,19 @@ def candidate_pairs(
             *[F.col(c).alias(f"b_{c}") for c in later.columns],
         )
     )
-    pairs = split_join(left, right, ["__day", "__row", "__col"], rows_per_task=100_000)
+    keys = ["__day", "__row", "__col"]
+    if level is not None:
+        left = left.select("*", _shared_labels([f"a_{c}" for c in levels], level))
+        right = right.select("*", _shared_labels([f"b_{c}" for c in levels], level))
+        keys.append("__label")
+    pairs = split_join(left, right, keys, rows_per_task=100_000)
+    if level:
+        # Met on their coarsest shared label only, so a pair comes once.
+        coarser = [
+            (F.col("__label.level") < j) & F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")) & F.col(f"a_{c}").isNotNull()
+            for j, c in enumerate(levels)
+        ]
+        pairs = pairs.where(~reduce(lambda a, b: a | b, coarser))
     apart = reduce(
         lambda a, b: a + b,
         [F.when(F.col(f"a_{c}") == F.col(f"b_{c}"), 0).otherwise(1) for c in levels],
@@ -197,6 +210,15 @@ def candidate_pairs(
     )
 
 
+def _shared_labels(labels: Sequence[str], level: int) -> Column:
+    """Join tags of a site: all labels at once where all must agree, else each one."""
+    if level == 0:
+        tags = [F.struct(F.lit(-1).alias("level"), F.concat_ws("|", *labels).alias("name"))]
+    else:
+        tags = [F.struct(F.lit(j).alias("level"), F.col(c).alias("name")) for j, c in enumerate(labels)]
+    return F.explode(F.array(*tags)).alias("__label")
+
+
 def match_sites(pairs: DataFrame) -> DataFrame:
     """Greedy one-to-one matching of copies over scored site pairs.
 
@@ -345,23 +367,25 @@ def _less(sites: DataFrame, links: DataFrame, side: str, book: bool) -> DataFram
     )
 
 
-def _pair_estimate(kept: DataFrame, incoming: DataFrame, km: float, days: int) -> int:
-    """Pairs the bucket join would look at, from counts per coarse bucket."""
-    cell = math.degrees(km / EARTH_KM)
+def _crowding(kept: DataFrame, incoming: DataFrame, km: float, days: int) -> tuple[int, int]:
+    """Rough number of pairs in the window, and number of sites, from counts per coarse bucket."""
+    cell = 2 * math.degrees(km / EARTH_KM)
 
     def counts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(
-            F.floor(F.unix_date("date") / max(days, 1)).alias("d"),
+            F.floor(F.unix_date("date") / (2 * max(days, 1))).alias("d"),
             F.floor(F.col("latitude") / cell).alias("r"),
             F.floor(F.col("longitude") / cell).alias("c"),
         ).agg(F.count(F.lit(1)).cast("double").alias(name))
 
-    shared = counts(kept, "a").join(counts(incoming, "b"), ["d", "r", "c"])
-    return int(shared.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0))).first()[0])
+    buckets = counts(kept, "a").join(counts(incoming, "b"), ["d", "r", "c"], "full").fillna(0.0)
+    row = buckets.agg(F.sum(F.col("a") * F.col("b")), F.sum(F.col("a") + F.col("b"))).first()
+    return int(row[0] or 0), int(row[1] or 0)
 
 
-# Above this many pairs per matching step, pairs are looked at tier by tier.
-PAIR_BUDGET = 50_000_000
+def _pair_budget(sites: int) -> int:
+    """Pairs worth looking at in one go: in proportion to the sites."""
+    return max(200_000, 20 * sites)
 
 
 def _match_source(
@@ -376,7 +400,8 @@ def _match_source(
     tier scores above every pair of the tiers before, so the result is the same, and
     after a ring no two matchable sites closer than its radius are left.
     """
-    if _pair_estimate(kept, incoming, km, days) <= PAIR_BUDGET:
+    pairs, size = _crowding(kept, incoming, km, days)
+    if pairs <= _pair_budget(size):
         found = match_sites(candidate_pairs(kept, incoming, km, days, levels))
         return [found], found
     links: list[DataFrame] = []

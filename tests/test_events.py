@@ -115,8 +115,8 @@ def test_equals_direct_matching(spark, case):
 
 
 def test_tiers_equal_single_step(spark, monkeypatch):
-    rows = crowd(120, seed=4, spread=0.06, hot=0.3)
-    monkeypatch.setattr(E, "PAIR_BUDGET", -1)
+    rows = crowd(160, seed=4, spread=0.06, hot=0.3)
+    monkeypatch.setattr(E, "_pair_budget", lambda sites: -1)
     assert links(integrated(spark, rows)) == direct(rows)
 
 
