@@ -8,12 +8,14 @@ in no table with probability 9e-5, at 0.85 with 3e-6.
 
 1. Equal sets become one node.  Hashes that only one node has are dropped, so isolated
    documents send no keys at all.
-2. In the tables of equal index, each bucket's members are compared with one centre: a bucket
-   gives as many pairs as rows.  This joins most groups.
-3. In all tables, buckets whose members are all in one component already are done.  Other small
-   buckets compare members of different components; members of large ones go to
-   an exact join on rare shingles (prefix filter), which also skips pairs within a component.
-4. Pairs are confirmed on the full sets, taken from the texts.
+2. In the tables of equal index, each bucket's members are compared with one centre, another one in each
+   table: a bucket gives as many pairs as rows.  This joins nearly all groups.
+3. In all tables, buckets whose members are all in one component already are done.  In the others
+   every member of another component is compared with the bucket's best linked member.
+4. Of buckets that are still mixed, small ones compare all members of different components;
+   members of large ones go to an exact join on rare shingles (prefix and position filter), which skips pairs
+   within a component.
+Pairs are confirmed on the full sets, taken from the texts.
 
 No step lists all pairs of a group, and no group has to fit one task.
 """
@@ -131,18 +133,8 @@ def _confirm(width: int, percent: int):
     return run
 
 
-class Texts:
-    """Texts by node: ``rows`` has (row, text) of all documents, ``nodes`` names one row for each node."""
-
-    def __init__(self, rows: DataFrame, nodes: DataFrame):
-        self.rows, self.nodes = rows, nodes
-
-    def join(self, wanted: DataFrame) -> DataFrame:
-        return wanted.join(self.nodes.select("node", "row"), "node").join(self.rows, "row").drop("row")
-
-
-def confirmed(pairs: DataFrame, texts: Texts, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ``texts`` has (node, text).
 
     Texts move once to their nodes and once to the centres ``a`` they are compared with; a
     centre with many members is spread over tasks by a salt.
@@ -151,7 +143,7 @@ def confirmed(pairs: DataFrame, texts: Texts, width: int, percent: int) -> DataF
     salts = F.ceil(F.col("n") / MEMBERS_PER_TASK).cast("int")
     own = degrees.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     others = pairs.join(degrees, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
-    dealt = texts.join(own.union(others)).select("a", "node", "text", "salt", (F.col("a") == F.col("node")).alias("first"))
+    dealt = own.union(others).join(texts, "node").select("a", "node", "text", "salt", (F.col("a") == F.col("node")).alias("first"))
     n_parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(n_parts, "a", "salt").sortWithinPartitions("a", "salt", F.desc("first"))
     return sorted_.select("a", "node", "text").mapInArrow(_confirm(width, percent), "a long, b long")
@@ -191,20 +183,20 @@ def _shingle_rows(width: int):
     return run
 
 
-def _rare_pairs(texts: Texts, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+def _rare_pairs(texts: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
     """Exact candidates among ``wanted`` (node, component): different components, a rare shingle in common.
 
     Of two sets this similar, the rarest shingles of each (one more than may be missing
     from the other) have one in common, rarity being counted among ``wanted``.
     """
-    rows = texts.join(wanted).select("node", "component", "text")
+    rows = wanted.join(texts, "node").select("node", "component", "text")
     rows = rows.mapInArrow(_shingle_rows(width), "node long, component long, n long, shingle long")
     rows, _ = written(rows, "shingle-rows")
     counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("df", "shingle"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = rows.join(counts, "shingle").withColumn("place", place).where((F.col("place") <= prefix) & (F.col("low") < F.col("high")))
-    rare, _ = written(ranked.select("shingle", "node", "component", "n"), "rare-shingles")
+    rare, _ = written(ranked.select("shingle", "node", "component", "n", "place"), "rare-shingles")
     x, y = rare.alias("x"), rare.alias("y")
     on = [
         F.col("x.shingle") == F.col("y.shingle"),
@@ -212,6 +204,8 @@ def _rare_pairs(texts: Texts, wanted: DataFrame, width: int, percent: int) -> Da
         F.col("x.component") != F.col("y.component"),
         F.col("x.n") * 100 >= F.col("y.n") * percent,
         F.col("y.n") * 100 >= F.col("x.n") * percent,
+        # From here on the sets can share no more than what is left of the shorter rest.
+        (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent,
     ]
     return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
@@ -222,8 +216,14 @@ def _table_rows(halves: DataFrame, *also: str) -> DataFrame:
     return tables.select("node", *also, F.xxhash64("p.value", "q.value").alias("key"), (F.col("q.place") - F.col("p.place") == HALVES).alias("diagonal"))
 
 
-def node_components(nodes: DataFrame, texts: Texts, width: int, percent: int) -> DataFrame:
-    """``node, component`` for every node with a link; ``nodes`` has (node, halves)."""
+def _mixed(keyed: DataFrame) -> DataFrame:
+    """Buckets that hold several components, with the lowest and highest of them and the size ``n``."""
+    range_ = [F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")]
+    return keyed.groupBy("key").agg(*range_).where("low < high")
+
+
+def node_components(nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """``node, component`` for every node with a link; ``nodes`` has (node, row, halves), ``rows`` (row, text)."""
     n_parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     half = nodes.select("node", F.posexplode("halves").alias("place", "value"))
     shared = half.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("value")
@@ -232,27 +232,45 @@ def node_components(nodes: DataFrame, texts: Texts, width: int, percent: int) ->
     first, second = F.filter("h", lambda x: x["place"] < HALVES), F.filter("h", lambda x: x["place"] >= HALVES)
     halves = found.select("node", first.alias("first"), second.alias("second")).where("size(first) > 0 and size(second) > 0")
     halves, _ = written(halves, "shared-halves")
+    # Only these nodes can be in a pair, so only their texts move again.
+    texts = halves.select("node").join(nodes.select("node", "row"), "node").join(rows, "row").select("node", "text")
+    texts, _ = written(texts, "candidate-texts")
 
+    # Another centre in every bucket, so that a group is compared with several.
     diagonal = _table_rows(halves).where("diagonal").select("node", "key")
-    centres = diagonal.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    pairs, _ = written(diagonal.join(centres, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "star-pairs")
+    centre = F.min_by("node", F.xxhash64("node", "key")).alias("a")
+    centres = diagonal.groupBy("key").agg(centre, F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
+    stars = diagonal.join(centres, "key").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    pairs, _ = written(stars.distinct(), "star-pairs")
     links, _ = written(confirmed(pairs, texts, width, percent), "star-links")
     groups, _ = written(components(links), "star-groups")
 
-    placed = halves.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keyed = _table_rows(placed, "component")
-    spread = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    mixed, _ = written(keyed.join(spread.where("low < high"), "key").select("key", "component", "node", "n"), "mixed-buckets")
-    few = mixed.where(f"n <= {SMALL_BUCKET}").select("key", "component", "node").repartition(n_parts, "key").sortWithinPartitions("key")
-    many = mixed.where(f"n > {SMALL_BUCKET}").select("node", "component").distinct()
+    # What is still apart meets the best linked member of each of its buckets.
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
+    placed = halves.join(groups, "node", "left").join(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "node", "left")
+    placed = placed.withColumns({"component": F.coalesce("component", "node"), "degree": F.coalesce("degree", F.lit(0))})
+    keyed = _table_rows(placed, "component", "degree").drop("diagonal")
+    open_, _ = written(keyed.join(_mixed(keyed), "key").select("key", "node", "component", "degree"), "mixed-buckets")
+    hub = F.max_by(F.struct("node", "component"), F.struct("degree", F.xxhash64("node", "key"))).alias("hub")
+    apart = open_.join(open_.groupBy("key").agg(hub), "key").where("component <> hub.component")
+    pairs2 = apart.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    pairs2, _ = written(pairs2.join(pairs, ["a", "b"], "left_anti"), "hub-pairs")
+    links2, _ = written(confirmed(pairs2, texts, width, percent), "hub-links")
+    links, _ = written(links.union(links2), "links")
+    groups, _ = written(components(links), "hub-groups")
+
+    # The rest: all pairs across components in small buckets, an exact join for members of large ones.
+    keyed = open_.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_, _ = written(keyed.join(_mixed(keyed), "key").select("key", "component", "node", "n"), "open-buckets")
+    few = open_.where(f"n <= {SMALL_BUCKET}").select("key", "component", "node").repartition(n_parts, "key").sortWithinPartitions("key")
+    many = open_.where(f"n > {SMALL_BUCKET}").select("node", "component").distinct()
     more = few.mapInArrow(_across, "a long, b long").union(_rare_pairs(texts, many, width, percent)).distinct()
-    # The stars have compared these already.
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    more, found = written(more, "more-pairs", rows=F.count(F.lit(1)))
-    if not found["rows"]:
+    more = more.join(pairs.union(pairs2), ["a", "b"], "left_anti")
+    more, seen = written(more, "rest-pairs", rows=F.count(F.lit(1)))
+    if not seen["rows"]:
         return groups
-    more_links, _ = written(confirmed(more, texts, width, percent), "more-links")
-    return components(links.union(more_links))
+    links3, _ = written(confirmed(more, texts, width, percent), "rest-links")
+    return components(links.union(links3))
 
 
 def grouped(df: DataFrame, id: str, text: str, width: int, percent: int) -> DataFrame:
@@ -267,7 +285,7 @@ def grouped(df: DataFrame, id: str, text: str, width: int, percent: int) -> Data
     signed, _ = written(signed, "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.first("halves").alias("halves"))
     nodes, _ = written(nodes, "nodes")
-    linked = node_components(nodes.select("node", "halves"), Texts(rows, nodes), width, percent)
+    linked = node_components(nodes, rows, width, percent)
     out = signed.select("row", "n_shingles", "node").join(linked, "node", "left")
     out = out.select("row", "n_shingles", F.coalesce("component", "node").alias("component"))
     return out.join(ids, "row")
