@@ -10,9 +10,11 @@ any prefix (one partial chunk more), and the longest prefix within a budget.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,41 +22,107 @@ from panelspark.llm.common import bound_batches, column, fresh
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-# Chunks remembered by a worker, and the longest chunk worth remembering.
-REMEMBERED = 300_000
+# Chunks, and pieces of chunks, that a worker remembers at least (and twice that at most), and the longest worth it.
+REMEMBERED = 200_000
 MEMO_CHARS = 64
 
-_BLANKS = str.maketrans("\t\n\r", "   ")
-_coders: dict[str, tuple] = {}
+# How this tokenizer's file cuts lower-case text into pieces.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Below this code point and printable, lower case and the classes above leave no room for doubt.
+_PLAIN_BELOW = "\u0250"
 
+_coders: dict[str, _Coder] = {}
 
-def _coder(path: str):
-    """The tokenizer at ``path`` and the memo of chunk counts, one of each per worker."""
-    if path not in _coders:
-        from tokenizers import Tokenizer
 
-        _coders[path] = Tokenizer.from_file(path), {}
-    return _coders[path]
+class _Memo:
+    """Counts by text in two generations: what is not asked for while one fills up is forgotten."""
+
+    def __init__(self):
+        self.new: dict[str, int] = {}
+        self.old: dict[str, int] = {}
+
+    def missing(self, texts) -> list[str]:
+        """Texts without a count; counts of the old generation move to the new one."""
+        out = []
+        for t in texts:
+            if t not in self.new:
+                if t in self.old:
+                    self.new[t] = self.old[t]
+                else:
+                    out.append(t)
+        return out
+
+    def age(self) -> None:
+        if len(self.new) > REMEMBERED:
+            self.new, self.old = {}, self.new
 
 
-def _encode(tokenizer, chunks: list[str]) -> list[int]:
-    return [len(e.ids) for e in tokenizer.encode_batch(chunks, add_special_tokens=False)]
+class _Coder:
+    """A tokenizer of a worker, with its memos."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks, self.pieces = _Memo(), _Memo()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+
+    def whole(self, texts: list[str]) -> list[int]:
+        """Counts by the library, text by text."""
+        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_pieces(self, pieces: list[str]) -> None:
+        """Count pieces in one run: each of them ends with a token that ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype=np.int64)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(pieces):
+            self.pieces.new.update(zip(pieces, self.whole(pieces)))
+        else:
+            self.pieces.new.update(zip(pieces, np.diff(stops, prepend=0).tolist()))
+
+    def of_chunks(self, chunks: list[str]) -> None:
+        """Count chunks that are not remembered: plain ones by their pieces, others by the library."""
+        plain, other = [], []
+        for c in chunks:
+            if c.isprintable() and max(c) < _PLAIN_BELOW and "<|" not in c and normalize("NFC", c) == c:
+                plain.append((c, _PIECE.findall(c.lower())))
+            else:
+                other.append(c)
+        if other:
+            self.chunks.new.update(zip(other, self.whole(other)))
+        if new := self.pieces.missing({p for _, pieces in plain for p in pieces}):
+            self.of_pieces(new)
+        known = self.pieces.new
+        self.chunks.new.update((c, sum([known[p] for p in pieces])) for c, pieces in plain)
+        self.pieces.age()
+
+
+def _coder(path: str) -> _Coder:
+    if path not in _coders:
+        _coders[path] = _Coder(path)
+    return _coders[path]
 
 
 def chunk_counts(chunks: list[str], path: str) -> np.ndarray:
     """Tokens of each chunk."""
-    tokenizer, memo = _coder(path)
-    long = [c for c in chunks if len(c) > MEMO_CHARS]
-    new = list({c for c in chunks if c not in memo and len(c) <= MEMO_CHARS})
-    if len(memo) + len(new) > REMEMBERED:
-        memo.clear()
-        new = list({c for c in chunks if len(c) <= MEMO_CHARS})
-    if new:
-        memo.update(zip(new, _encode(tokenizer, new)))
-    if not long:
-        return np.fromiter(map(memo.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-    rest = iter([_encode(tokenizer, [c])[0] for c in long])
-    return np.fromiter((memo[c] if len(c) <= MEMO_CHARS else next(rest) for c in chunks), dtype=np.int64, count=len(chunks))
+    coder = _coder(path)
+    kinds = set(chunks)
+    long = {c for c in kinds if len(c) > MEMO_CHARS}
+    kinds -= long
+    memo = coder.chunks
+    if new := memo.missing(kinds):
+        coder.of_chunks(new)
+    known = memo.new
+    if long:
+        own = dict(zip(long, coder.whole(list(long))))
+        counts = [own[c] if c in own else known[c] for c in chunks]
+    else:
+        counts = map(known.__getitem__, chunks)
+    out = np.fromiter(counts, dtype=np.int64, count=len(chunks))
+    memo.age()
+    return out
 
 
 class PrefixCounts:
@@ -62,7 +130,7 @@ class PrefixCounts:
 
     def __init__(self, text: str | None, path: str):
         self.text, self.path = text or "", path
-        pieces = self.text.translate(_BLANKS).split(" ")
+        pieces = self.text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 1) - 1
         used = [k for k, p in enumerate(pieces) if p]
         chunks = [pieces[k] for k in used]
