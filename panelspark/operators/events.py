@@ -274,7 +274,9 @@ def match_sites(pairs: DataFrame) -> DataFrame:
 
 
 def ranked_copies(entries: DataFrame) -> DataFrame:
-    """Give each entry its site (smallest entry id of its copies) and its rank therein.
+    """Give each entry its site (smallest entry id of its copies, and their source) and its rank therein.
+
+    Sources number their entries independently, so an id alone names nothing.
 
     The rank follows (leading hash digits, entry id).  Chunks of a site are ranked
     separately and shifted by the sizes of the chunks before them, so no task sees
@@ -290,7 +292,7 @@ def ranked_copies(entries: DataFrame) -> DataFrame:
     sizes = sizes.select(
         *SITE,
         "__chunk",
-        F.min("__first").over(site).alias("site"),
+        F.struct(F.min("__first").over(site).alias("id"), F.col("dataset").alias("of")).alias("site"),
         F.sum("__n").over(site).alias("n_copies"),
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
     )
@@ -317,7 +319,9 @@ def integrate(
     km: float = 4.0,
     days: int = 2,
 ) -> DataFrame:
-    """Mark duplicates across sources: all entries plus ``duplicate_of`` (NULL if unique).
+    """Mark duplicates across sources: all entries plus ``duplicate_of`` and ``duplicate_of_dataset``.
+
+    Both are NULL for unique entries.  An entry is known by ``(dataset, event_id)``.
 
     ``events`` is in the common form of :func:`harmonise`; ``taxonomy`` carries
     ``dataset, base_category`` and the level columns, finest first.  See the module
@@ -350,7 +354,8 @@ def integrate(
         links += found
         kept = kept.unionByName(_less(incoming, spent, "site_b", book=True))
     if not links:
-        return copies.select(*columns, F.lit(None).cast("long").alias("duplicate_of"))
+        nothing = {"duplicate_of": F.lit(None).cast("long"), "duplicate_of_dataset": F.lit(None).cast("string")}
+        return copies.select(*columns).withColumns(nothing)
     return _expand(copies, reduce(DataFrame.unionByName, links))
 
 
@@ -434,23 +439,25 @@ def _expand(copies: DataFrame, links: DataFrame) -> DataFrame:
     )
     hit = (F.col("rank") > F.col("__from")) & (F.col("rank") <= F.col("__from") + F.col("copies"))
     later = (
-        split_join(copies.select("event_id", "site", "rank"), bounds, ["site"])
+        split_join(copies.select("dataset", "event_id", "site", "rank"), bounds, ["site"])
         .where(hit)
         .select(
+            "dataset",
             "event_id",
             F.col("site_a").alias("site"),
             (F.col("rank") - F.col("__from") + F.col("used_a")).alias("rank"),
         )
     )
-    pairs = later.join(
-        copies.select(F.col("event_id").alias("duplicate_of"), "site", "rank"), ["site", "rank"]
-    ).select("event_id", "duplicate_of")
-    return copies.drop("site", "rank", "n_copies").join(pairs, "event_id", "left")
+    earlier = copies.select(
+        F.col("event_id").alias("duplicate_of"), F.col("dataset").alias("duplicate_of_dataset"), "site", "rank"
+    )
+    pairs = later.join(earlier, ["site", "rank"]).drop("site", "rank")
+    return copies.drop("site", "rank", "n_copies").join(pairs, ["dataset", "event_id"], "left")
 
 
 def unique_events(integrated: DataFrame) -> DataFrame:
     """Entries that are no duplicate of an earlier source."""
-    return integrated.where(F.col("duplicate_of").isNull()).drop("duplicate_of")
+    return integrated.where(F.col("duplicate_of").isNull()).drop("duplicate_of", "duplicate_of_dataset")
 
 
 def taxonomy_frame(spark, rows: Mapping[tuple[str, str], Sequence[str]], levels: Sequence[str]):

@@ -12,6 +12,7 @@ from panelspark.session import written
 
 # A side up to this many rows is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+KEEPS_BIG = ("inner", "left", "left_semi", "left_anti")
 
 
 def sized(df: DataFrame, name: str = "lookup") -> tuple[DataFrame, int]:
@@ -34,8 +35,11 @@ def lookup_join(
     """Join a table against a dimension without shuffling the table.
 
     The dimension is broadcast only when its counted size is below the bound.
-    Larger ones take a shuffle join with hot keys of the big side split.
+    Larger ones take a shuffle join with hot keys of the big side split.  At either size
+    unmatched rows of ``small`` cannot be kept.
     """
+    if how not in KEEPS_BIG:
+        raise ValueError(f"lookup_join cannot keep unmatched rows of the lookup for how={how!r}")
     table, rows = sized(small)
     if rows <= max_rows:
         return big.join(F.broadcast(table), list(on), how)
@@ -57,7 +61,7 @@ def split_join(
     bounds the list by (rows of big) / rows_per_task.  ``how`` may keep unmatched
     rows of ``big`` (left, semi, anti), not of ``other``.
     """
-    if how not in ("inner", "left", "left_semi", "left_anti"):
+    if how not in KEEPS_BIG:
         raise ValueError(f"split_join cannot keep unmatched rows for how={how!r}")
     keys = list(on)
     hot = (
@@ -96,7 +100,9 @@ def natural_full_join(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi join in which a NULL key matches a NULL key."""
+    """Equi join in which a NULL key matches a NULL key; without keys ``b`` is a single row of totals."""
+    if not keys:
+        return a.join(F.broadcast(b), how="cross")
     renamed = b.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = reduce(lambda x, y: x & y, [a[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
     joined = a.join(renamed, cond, how)

@@ -90,9 +90,11 @@ def household_recodes(df: DataFrame) -> DataFrame:
 def wave_months(children: DataFrame) -> DataFrame:
     """Child records summed per unit, wave and month: the one pass over the microdata.
 
-    Both the prevalence table and the interview counts follow from it.
+    Both the prevalence table and the interview counts follow from it.  Children that lie
+    in no unit belong to no row of the panel and are left out before grouping.
     """
-    return rate_parts(children, [*WAVE, "ymd"], RATES, F.col("hv005") / WEIGHT_SCALE)
+    located = children.where(F.col("NAME_0").isNotNull() & F.col("NAME_1").isNotNull())
+    return rate_parts(located, [*WAVE, "ymd"], RATES, F.col("hv005") / WEIGHT_SCALE)
 
 
 def prevalence_of(months: DataFrame) -> DataFrame:

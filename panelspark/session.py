@@ -34,6 +34,8 @@ def shared_root(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if current is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")

@@ -124,7 +124,7 @@ def test_ranks_of_copies_are_gapless(spark):
     rows = [(k, "A", "x", DAY, None, 1.0, 1.0) for k in range(500)]
     ranked = E.ranked_copies(spark.createDataFrame(rows, COLUMNS)).collect()
     assert sorted(r["rank"] for r in ranked) == list(range(1, 501))
-    assert {r["site"] for r in ranked} == {0} and {r["n_copies"] for r in ranked} == {500}
+    assert {tuple(r["site"]) for r in ranked} == {(0, "A")} and {r["n_copies"] for r in ranked} == {500}
 
 
 def test_one_source_only(spark):
@@ -151,3 +151,20 @@ def test_location_days(spark):
     )
     rows = E.location_days(df, F.col("cls") == "v").collect()
     assert [(r["events"], r["latitude"]) for r in rows] == [(2, 1.0)]
+
+
+def test_sources_number_their_entries_independently(spark):
+    """Overlapping ids: rows in equal rows out, links name the source as well."""
+    rows = [
+        (1, "A", "x", DAY, None, 10.0, 5.0),
+        (2, "A", "y", DAY, None, 30.0, 5.0),
+        (1, "B", "x", DAY, None, 10.001, 5.0),
+        (2, "B", "z", DAY, None, 50.0, 5.0),
+        (2, "C", "x", DAY, None, 10.0, 5.001),
+    ]
+    tax = E.taxonomy_frame(spark, TAXONOMY, LEVELS)
+    got = E.integrate(spark.createDataFrame(rows, COLUMNS), tax, ["A", "B", "C"], LEVELS)
+    assert got.count() == len(rows)
+    links = {(r["dataset"], r["event_id"]): (r["duplicate_of_dataset"], r["duplicate_of"]) for r in got.where("duplicate_of is not null").collect()}
+    assert links == {("B", 1): ("A", 1), ("C", 2): ("A", 1)}
+    assert {(r["dataset"], r["event_id"]) for r in E.unique_events(got).collect()} == {("A", 1), ("A", 2), ("B", 2)}

@@ -107,3 +107,12 @@ def test_trend_and_moments(sample, frame):
         slope, intercept = np.polyfit(sample["x"][keep], sample["y"][keep], 1)
         assert line[g]["slope"] == pytest.approx(slope) and line[g]["intercept"] == pytest.approx(intercept)
         assert sums[g]["sum_xy"] == pytest.approx((sample["x"][keep] * sample["y"][keep]).sum())
+
+
+def test_density_without_groups_is_the_single_group(spark):
+    from panelspark.operators.stats import kernel_density
+
+    df = spark.createDataFrame([("g", float(k * k % 37)) for k in range(50)], "g string, x double")
+    whole = {r["grid"]: r["density"] for r in kernel_density(df, [], "x", 0, 40, 9).collect()}
+    single = {r["grid"]: r["density"] for r in kernel_density(df, ["g"], "x", 0, 40, 9).collect()}
+    assert whole.keys() == single.keys() and all(abs(whole[k] - single[k]) < 1e-12 for k in whole)
