@@ -36,14 +36,34 @@ def _rate(flag: str, weight: str) -> str:
     return f"sum({flag} * {weight}) / nullif(sum(CASE WHEN {flag} IS NOT NULL THEN {weight} END), 0)"
 
 
-PREVALENCE = f"""SELECT NAME_0, NAME_1, SurveyId, {_rate('whz2', '(hv005 / 1e6)')} AS wasted_prev,
+def prevalence_sql(children: str) -> str:
+    return f"""SELECT NAME_0, NAME_1, SurveyId, {_rate('whz2', '(hv005 / 1e6)')} AS wasted_prev,
     {_rate('haz2', '(hv005 / 1e6)')} AS stunted_prev, {_rate('waz2', '(hv005 / 1e6)')} AS under_prev,
-    {DATES}, count(*) AS n FROM ({FLAGGED}) f GROUP BY NAME_0, NAME_1, SurveyId"""
+    {DATES}, count(*) AS n FROM ({children}) f GROUP BY NAME_0, NAME_1, SurveyId"""
+
+
+# Cleaned children in the unit that their cluster lies in; those in no unit are out.
+CHILDREN = """SELECT b.NAME_0, b.NAME_1, r.SurveyId, r.ymd, r.hv005, cast(hc72 / 1e2 < -2 AS int) AS whz2,
+    cast(hc70 / 1e2 < -2 AS int) AS haz2, cast(hc71 / 1e2 < -2 AS int) AS waz2
+    FROM {resp} r JOIN {clusters} c ON r.SurveyId = c.SurveyId AND r.CLUSTER = c.CLUSTER
+    JOIN {nation_box} b ON c.LONGNUM > b.xa AND c.LONGNUM < b.xb AND c.LATNUM > b.ya AND c.LATNUM < b.yb
+    WHERE hc1 <= 59 AND hc72 < 9995 AND hc71 < 9995 AND hc70 < 9995"""
+PREVALENCE = prevalence_sql(CHILDREN)
 PREVALENCE_DOUBLES = "wasted_prev stunted_prev under_prev mean_month median_month"
 
 
+def located_children(i):
+    """Microdata without unit names, cleaned and placed by cluster."""
+    return V.survey_working(i.resp.drop(*UNIT), i.clusters, i.nation_edges)
+
+
 @query("weighted_prevalence", PREVALENCE, doubles=PREVALENCE_DOUBLES, dates="first_month last_month")
 def weighted_prevalence(i):
+    return V.prevalence(located_children(i))
+
+
+@query("prevalence_unknown_scores", prevalence_sql(FLAGGED), doubles=PREVALENCE_DOUBLES, dates="first_month last_month")
+def prevalence_unknown_scores(i):
     return V.prevalence(flagged(i))
 
 

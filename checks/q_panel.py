@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.q_groups import PROGRAMMES, REGIONS, WAVES, flagged
+from checks.q_groups import CHILDREN, PROGRAMMES, REGIONS, WAVES, located_children
 from checks.q_tables import CROSSWALK, CROSSWALK_SQL, PANEL, gap_free
 from checks.registry import query
 from checks.standins import FIRST_MONTH, LAST_MONTH
@@ -15,11 +15,15 @@ from panelspark.plans import survey as V
 from panelspark.plans.survey import UNIT
 
 VARS = ("rain", "temp", "veg")
+# The oracles' own offsets, written out so that a wrong list in the library shows.
+BASE = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 24, 36, 48, 60)
+SEASON = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 24, 36, 48, 60)
+YEARLY = (12, 24, 36, 48, 60)
 WIN = "WINDOW w AS (PARTITION BY NAME_0, NAME_1 ORDER BY ymd)"
 
 
 def lag_cols(var: str, offsets) -> list[str]:
-    return [f"lag({var}, {k}) OVER w AS lag_{var}_{k}" for k in offsets if k > 0]
+    return [f"lag({var}, {k}) OVER w AS lag_{var}_{k}" for k in offsets]
 
 
 def names(sql_cols: list[str]) -> list[str]:
@@ -31,7 +35,7 @@ def peak_sql(cols: list[str]) -> str:
 
 
 def avg5_cols(var: str) -> list[str]:
-    total = " + ".join(f"lag_{var}_{k}" for k in P.YEARLY_OFFSETS)
+    total = " + ".join(f"lag_{var}_{k}" for k in YEARLY)
     return [f"({total}) / 5 AS {var}_5avg", f"{var} - ({total}) / 5 AS {var}_dev5"]
 
 
@@ -56,7 +60,7 @@ def tfp_cols(var: str) -> list[str]:
 
 
 def base_sql(source: str) -> str:
-    cols = [c for v in VARS for c in lag_cols(v, P.BASE_OFFSETS)]
+    cols = [c for v in VARS for c in lag_cols(v, BASE)]
     return f"SELECT *, {', '.join(cols)} FROM ({source}) p {WIN}"
 
 
@@ -71,7 +75,7 @@ def season_sql(source: str) -> str:
 
 
 def season_lag_sql(source: str) -> str:
-    cols = [c for v in VARS for c in lag_cols(f"{v}_peak3_14", P.SEASON_OFFSETS)]
+    cols = [c for v in VARS for c in lag_cols(f"{v}_peak3_14", SEASON)]
     return f"SELECT *, {', '.join(cols)} FROM ({season_sql(source)}) s {WIN}"
 
 
@@ -81,10 +85,10 @@ def climate_sql(source: str) -> str:
 
 
 KEYS = ["NAME_0", "NAME_1", "ymd"]
-_LAGS = [n for v in VARS for n in names(lag_cols(v, P.BASE_OFFSETS))]
+_LAGS = [n for v in VARS for n in names(lag_cols(v, BASE))]
 _ROLL = [n for v in VARS for n in names(roll_cols(v))]
 _SEAS = [n for v in VARS for n in names(season_cols(v))]
-_SLAG = [n for v in VARS for n in names(lag_cols(f"{v}_peak3_14", P.SEASON_OFFSETS))]
+_SLAG = [n for v in VARS for n in names(lag_cols(f"{v}_peak3_14", SEASON))]
 
 
 def pick(cols: list[str], source: str) -> str:
@@ -170,7 +174,7 @@ def plain_climate(i):
     return P.one_row_per_step(i.panel, UNIT, "ymd", VARS, blank)
 
 
-INTERVIEWS = f"""SELECT NAME_0, NAME_1, SurveyId, ymd, cast(count(*) AS double) AS n FROM {{resp}} GROUP BY ALL
+INTERVIEWS = f"""SELECT NAME_0, NAME_1, SurveyId, ymd, cast(count(*) AS double) AS n FROM ({CHILDREN}) k GROUP BY ALL
 UNION ALL SELECT NAME_0, NAME_1, SurveyId, ymd, sum(respondents) AS n FROM ({PROGRAMMES}) p GROUP BY ALL"""
 DAYS = "date_diff('day', DATE '1970-01-01', q.ymd)"
 
@@ -197,7 +201,7 @@ AT_SURVEY_DOUBLES = " ".join([*[f"{c}_mean" for c in _TFP], *SURVEY_SEASON])
 def interviews(i):
     from panelspark.operators.reshape import stack
 
-    months = [V.wave_months(flagged(i)), V.programme_wave_months(i.surveys_agg, REGIONS, WAVES)]
+    months = [V.wave_months(located_children(i)), V.programme_wave_months(i.surveys_agg, REGIONS, WAVES)]
     return V.interview_months(stack(months))
 
 

@@ -17,9 +17,11 @@ from panelspark.operators import spatial as S
 from panelspark.plans import conflict as X
 from panelspark.plans import covariates as Y
 from panelspark.plans import survey as V
+from panelspark.plans.raster import raster_panel
 from panelspark.plans.survey import UNIT
 
 LEVELS = ["Level_1", "Level_2", "Level_3", "Level_4_text"]
+FEEDS = ["A", "B", "C"]
 
 
 def parity(points: str, edges: str, pid: str, unit: str, x: str, y: str) -> str:
@@ -87,6 +89,36 @@ def zonal(i) -> DataFrame:
     return means.select("unit_id", "ymd", F.col("bands").alias("value"))
 
 
+def _cell_files(i) -> DataFrame:
+    """Cells with the file they come from: named by month word and year, listing order means nothing."""
+    month = F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.col("band") % 12 + 1)
+    year = F.lit(1995) + F.floor(F.col("band") / 12)
+    return i.cells_long.withColumn("file", F.concat(F.lit("tmax."), month, F.lit("."), year, F.lit(".tif")))
+
+
+@query("raster_panel", ZONAL, doubles="value", dates="ymd")
+def raster_by_file(i):
+    return raster_panel(_cell_files(i), i.unit_edges, ["unit_id"], file_name="file")
+
+
+def _metres(x: str, y: str) -> str:
+    return f"6371007.181e0 * ({x} * (pi() / 180)) * cos({y} * (pi() / 180)) AS {x}, 6371007.181e0 * ({y} * (pi() / 180)) AS {y}"
+
+
+# Cells lie on the metre grid, so the boundaries have to be moved to it.
+_MOVED = parity(
+    f"(SELECT DISTINCT cell_id, {_metres('x', 'y')} FROM {{cells_long}})",
+    f"(SELECT unit_id, {_metres('x1', 'y1')}, {_metres('x2', 'y2')} FROM {{unit_edges}})",
+    "cell_id", "unit_id", "x", "y",
+)
+
+
+@query("raster_panel_projected", ZONAL.replace(_LOCATED, _MOVED), doubles="value", dates="ymd")
+def raster_projected(i):
+    cells = S.to_sinusoidal(_cell_files(i), [("x", "y")])
+    return raster_panel(cells, i.unit_edges, ["unit_id"], file_name="file", sinusoidal=True, tile=25_000.0)
+
+
 @query("zonal_mean", ZONAL, doubles="value", dates="ymd")
 def zonal_mean(i):
     return zonal(i)
@@ -108,11 +140,7 @@ def climatology(i):
     dates="ymd",
 )
 def alpha_months(i):
-    # Files are named by month word and year; their listing order means nothing.
-    month = F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.col("band") % 12 + 1)
-    year = F.lit(1995) + F.floor(F.col("band") / 12)
-    named = i.cells_long.withColumn("file", F.concat(F.lit("tmax."), month, F.lit("."), year, F.lit(".tif")))
-    return named.select("cell_id", month_from_file_name("file").alias("ymd"), "value")
+    return _cell_files(i).select("cell_id", month_from_file_name("file").alias("ymd"), "value")
 
 
 @query(
@@ -173,7 +201,74 @@ def taxonomy_lookup(i):
     return E.classify(i.evt, i.taxonomy).select("event_id", "dataset", "base_category", *LEVELS)
 
 
-POINTS = """SELECT date, latitude, longitude, count(*) AS events FROM {evt_months} e JOIN {taxonomy} t USING (dataset, base_category)
+# ---- event integration ---------------------------------------------------------
+
+
+def dedupe_sql(events: str, rounds: int = 14) -> str:
+    """The matching of ``integrate`` as plain SQL, rounds unrolled."""
+    site = "dataset, base_category, date, enddate, longitude, latitude"
+    apart = " + ".join(f"CASE WHEN a.{c} = b.{c} THEN 0 ELSE 1 END" for c in LEVELS)
+    km = """2 * 6371.0088e0 * asin(sqrt(power(sin((radians(b.latitude) - radians(a.latitude)) / 2), 2)
+        + cos(radians(a.latitude)) * cos(radians(b.latitude)) * power(sin(radians(b.longitude - a.longitude) / 2), 2)))"""
+    out = [
+        f"copies AS MATERIALIZED (SELECT event_id, struct_pack(id := min(event_id) OVER (PARTITION BY {site}), feed := dataset) AS site, "
+        f"row_number() OVER (PARTITION BY {site} ORDER BY substr(md5(cast(event_id AS varchar)), 1, 3), event_id) AS rnk, "
+        f"count(*) OVER (PARTITION BY {site}) AS n, {site} FROM {events})",
+        f"sites AS MATERIALIZED (SELECT c.*, {', '.join(LEVELS)} FROM copies c LEFT JOIN {{taxonomy}} t USING (dataset, base_category) WHERE rnk = 1)",
+        "kept_0 AS (SELECT *, n AS free, 0 AS used FROM sites WHERE dataset = 'A')",
+    ]
+    for step, source in enumerate(("B", "C")):
+        out += [
+            f"in_{step} AS (SELECT *, n AS free, 0 AS used FROM sites WHERE dataset = '{source}')",
+            f"""p_{step}_0 AS MATERIALIZED (SELECT * FROM (SELECT a.site AS sa, b.site AS sb, {apart} AS lv, cast(round({km} * 1000) AS bigint) AS m, {km} AS km,
+            abs(date_diff('day', a.date, b.date)) AS d, a.free AS fa, b.free AS fb, a.used AS ua, b.used AS ub
+            FROM kept_{step} a JOIN in_{step} b ON a.date BETWEEN b.date - 2 AND b.date + 2
+            AND abs(a.longitude - b.longitude) < 0.05 AND abs(a.latitude - b.latitude) < 0.05
+            AND ((a.enddate IS NULL AND b.enddate IS NULL) OR abs(date_diff('day', a.enddate, b.enddate)) <= 2)) x WHERE km <= 4 AND lv < 4)""",
+        ]
+        for r in range(rounds):
+            out += [
+                f"""w_{step}_{r} AS MATERIALIZED (SELECT sa, sb, ua, ub, least(fa, fb) AS q FROM (SELECT *,
+                row_number() OVER (PARTITION BY sa ORDER BY lv, m, d, sb) AS ra, row_number() OVER (PARTITION BY sb ORDER BY lv, m, d, sa) AS rb
+                FROM p_{step}_{r}) x WHERE ra = 1 AND rb = 1)""",
+                f"""p_{step}_{r + 1} AS MATERIALIZED (SELECT p.* REPLACE (p.fa - coalesce(a.q, 0) AS fa, p.fb - coalesce(b.q, 0) AS fb,
+                p.ua + coalesce(a.q, 0) AS ua, p.ub + coalesce(b.q, 0) AS ub) FROM p_{step}_{r} p LEFT JOIN w_{step}_{r} a ON p.sa = a.sa
+                LEFT JOIN w_{step}_{r} b ON p.sb = b.sb WHERE p.fa > coalesce(a.q, 0) AND p.fb > coalesce(b.q, 0))""",
+            ]
+        won = " UNION ALL ".join(f"SELECT sa, sb, q, ua, ub FROM w_{step}_{r}" for r in range(rounds))
+        out += [
+            f"links_{step} AS MATERIALIZED ({won})",
+            f"""kept_{step + 1} AS MATERIALIZED (SELECT * FROM kept_{step} UNION ALL SELECT i.* REPLACE (i.free - coalesce(s.q, 0) AS free, coalesce(s.q, 0) AS used)
+            FROM in_{step} i LEFT JOIN (SELECT sb, sum(q) AS q FROM links_{step} GROUP BY sb) s ON i.site = s.sb WHERE i.free > coalesce(s.q, 0))""",
+        ]
+    return (
+        "WITH "
+        + ",\n".join(out)
+        + f""" SELECT c.event_id, c.dataset, c.base_category, c.date, c.enddate,
+        c.longitude, c.latitude, cast(a.event_id AS bigint) AS duplicate_of, a.dataset AS duplicate_of_dataset FROM copies c
+        LEFT JOIN (SELECT * FROM links_0 UNION ALL SELECT * FROM links_1) l ON c.site = l.sb AND c.rnk > l.ub AND c.rnk <= l.ub + l.q
+        LEFT JOIN copies a ON a.site = l.sa AND a.rnk = c.rnk - l.ub + l.ua"""
+    )
+
+
+@query("event_dedupe", dedupe_sql("{evt_town}"), doubles="longitude latitude", dates="date enddate")
+def event_dedupe(i):
+    merged = E.integrate(i.evt_town, i.taxonomy, FEEDS, LEVELS)
+    return merged.select("event_id", *E.SITE, "duplicate_of", "duplicate_of_dataset")
+
+
+UNIQUE = f"""SELECT event_id, dataset, base_category, date, enddate, longitude, latitude
+    FROM ({dedupe_sql("{evt_months}")}) m WHERE duplicate_of IS NULL"""
+
+
+@query("unique_events", UNIQUE, doubles="longitude latitude", dates="date enddate")
+def unique_events(i):
+    return E.unique_events(E.integrate(i.evt_months, i.taxonomy, FEEDS, LEVELS))
+
+
+# ---- counts of unique events ---------------------------------------------------
+
+POINTS = f"""SELECT date, latitude, longitude, count(*) AS events FROM ({UNIQUE}) e JOIN {{taxonomy}} t USING (dataset, base_category)
     WHERE Level_4_text = 'Violent Event' AND latitude IS NOT NULL GROUP BY date, latitude, longitude"""
 _BOX_JOIN = "p.longitude > b.xa AND p.longitude < b.xb AND p.latitude > b.ya AND p.latitude < b.yb"
 COUNTS = f"""SELECT b.NAME_0, b.NAME_1, cast(date_trunc('month', p.date) AS date) AS ymd, count(*) AS violent_events,
@@ -187,13 +282,16 @@ EVENT_LAGS = f"""SELECT *, {', '.join(f'lag(violent_events, {k}) OVER w AS lag_v
     FROM ({EVENT_PANEL}) p WINDOW w AS (PARTITION BY NAME_0, NAME_1 ORDER BY ymd)"""
 
 
+def classified(i):
+    return X.integrated_events(i.evt_months, i.taxonomy, FEEDS, LEVELS)
+
+
 def violent_points(i):
-    return E.location_days(E.classify(i.evt_months, i.taxonomy), F.col("Level_4_text") == "Violent Event")
+    return E.location_days(classified(i), F.col("Level_4_text") == "Violent Event")
 
 
 def event_panel_lags(i):
-    classified = E.classify(i.evt_months, i.taxonomy)
-    return X.event_panel(classified, i.nation_edges, FIRST_MONTH, LAST_MONTH)
+    return X.event_panel(classified(i), i.nation_edges, FIRST_MONTH, LAST_MONTH)
 
 
 @query("event_points", POINTS, doubles="latitude longitude", dates="date")
@@ -252,59 +350,3 @@ _EENDS = " ".join(f"{c}_{e}" for c in _ECOLS for e in ("min", "max"))
 )
 def events_at_survey(i):
     return _ends_as_double(event_waves(i))
-
-
-# ---- event integration ---------------------------------------------------------
-
-
-def dedupe_sql(rounds: int = 14) -> str:
-    """The matching of ``integrate`` as plain SQL, rounds unrolled."""
-    site = "dataset, base_category, date, enddate, longitude, latitude"
-    apart = " + ".join(f"CASE WHEN a.{c} = b.{c} THEN 0 ELSE 1 END" for c in LEVELS)
-    km = """2 * 6371.0088e0 * asin(sqrt(power(sin((radians(b.latitude) - radians(a.latitude)) / 2), 2)
-        + cos(radians(a.latitude)) * cos(radians(b.latitude)) * power(sin(radians(b.longitude - a.longitude) / 2), 2)))"""
-    out = [
-        f"copies AS MATERIALIZED (SELECT event_id, min(event_id) OVER (PARTITION BY {site}) AS site, "
-        f"row_number() OVER (PARTITION BY {site} ORDER BY substr(md5(cast(event_id AS varchar)), 1, 3), event_id) AS rnk, "
-        f"count(*) OVER (PARTITION BY {site}) AS n, {site} FROM {{evt_town}})",
-        f"sites AS MATERIALIZED (SELECT c.*, {', '.join(LEVELS)} FROM copies c LEFT JOIN {{taxonomy}} t USING (dataset, base_category) WHERE rnk = 1)",
-        "kept_0 AS (SELECT *, n AS free, 0 AS used FROM sites WHERE dataset = 'A')",
-    ]
-    for step, source in enumerate(("B", "C")):
-        out += [
-            f"in_{step} AS (SELECT *, n AS free, 0 AS used FROM sites WHERE dataset = '{source}')",
-            f"""p_{step}_0 AS MATERIALIZED (SELECT * FROM (SELECT a.site AS sa, b.site AS sb, {apart} AS lv, cast(round({km} * 1000) AS bigint) AS m, {km} AS km,
-            abs(date_diff('day', a.date, b.date)) AS d, a.free AS fa, b.free AS fb, a.used AS ua, b.used AS ub
-            FROM kept_{step} a JOIN in_{step} b ON a.date BETWEEN b.date - 2 AND b.date + 2
-            AND abs(a.longitude - b.longitude) < 0.05 AND abs(a.latitude - b.latitude) < 0.05
-            AND ((a.enddate IS NULL AND b.enddate IS NULL) OR abs(date_diff('day', a.enddate, b.enddate)) <= 2)) x WHERE km <= 4 AND lv < 4)""",
-        ]
-        for r in range(rounds):
-            out += [
-                f"""w_{step}_{r} AS MATERIALIZED (SELECT sa, sb, ua, ub, least(fa, fb) AS q FROM (SELECT *,
-                row_number() OVER (PARTITION BY sa ORDER BY lv, m, d, sb) AS ra, row_number() OVER (PARTITION BY sb ORDER BY lv, m, d, sa) AS rb
-                FROM p_{step}_{r}) x WHERE ra = 1 AND rb = 1)""",
-                f"""p_{step}_{r + 1} AS MATERIALIZED (SELECT p.* REPLACE (p.fa - coalesce(a.q, 0) AS fa, p.fb - coalesce(b.q, 0) AS fb,
-                p.ua + coalesce(a.q, 0) AS ua, p.ub + coalesce(b.q, 0) AS ub) FROM p_{step}_{r} p LEFT JOIN w_{step}_{r} a ON p.sa = a.sa
-                LEFT JOIN w_{step}_{r} b ON p.sb = b.sb WHERE p.fa > coalesce(a.q, 0) AND p.fb > coalesce(b.q, 0))""",
-            ]
-        won = " UNION ALL ".join(f"SELECT sa, sb, q, ua, ub FROM w_{step}_{r}" for r in range(rounds))
-        out += [
-            f"links_{step} AS MATERIALIZED ({won})",
-            f"""kept_{step + 1} AS MATERIALIZED (SELECT * FROM kept_{step} UNION ALL SELECT i.* REPLACE (i.free - coalesce(s.q, 0) AS free, coalesce(s.q, 0) AS used)
-            FROM in_{step} i LEFT JOIN (SELECT sb, sum(q) AS q FROM links_{step} GROUP BY sb) s ON i.site = s.sb WHERE i.free > coalesce(s.q, 0))""",
-        ]
-    return (
-        "WITH "
-        + ",\n".join(out)
-        + f""" SELECT c.event_id, c.dataset, c.base_category, cast(c.date AS varchar) AS date, cast(c.enddate AS varchar) AS enddate,
-        c.longitude, c.latitude, cast(a.event_id AS bigint) AS duplicate_of FROM copies c
-        LEFT JOIN (SELECT * FROM links_0 UNION ALL SELECT * FROM links_1) l ON c.site = l.sb AND c.rnk > l.ub AND c.rnk <= l.ub + l.q
-        LEFT JOIN copies a ON a.site = l.sa AND a.rnk = c.rnk - l.ub + l.ua"""
-    )
-
-
-@query("event_dedupe", dedupe_sql())
-def event_dedupe(i):
-    merged = E.integrate(i.evt_town, i.taxonomy, ["A", "B", "C"], LEVELS)
-    return merged.select("event_id", *E.SITE, "duplicate_of")

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from checks.q_groups import PREVALENCE, PREVALENCE_DOUBLES, REGIONS, ROLLUP, WAVES, flagged
+from checks.q_groups import PREVALENCE, PREVALENCE_DOUBLES, REGIONS, ROLLUP, WAVES, located_children
 from checks.q_panel import AT_SURVEY, AT_SURVEY_DOUBLES, VARS, climate_months
 from checks.q_space import _ECOLS, _EENDS, EVENTS_AT_SURVEY, _ends_as_double, event_panel_lags, parity
 from checks.registry import query
@@ -159,7 +159,7 @@ _TFP_ENDS = " ".join(f"tfp_{v}_{e}" for v in VARS for e in ("min", "max"))
 def final_table(i):
     return _ends_as_double(
         build_panel(
-            flagged(i), i.surveys_agg, climate_months(i), VARS, event_panel_lags(i), REGIONS, WAVES
+            located_children(i), i.surveys_agg, climate_months(i), VARS, event_panel_lags(i), REGIONS, WAVES
         )
     )
 

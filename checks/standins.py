@@ -82,21 +82,24 @@ SELECT event_id,
 FROM {events}
 """
 
-# A third of all events are geocoded to one town.
-_SQL["evt_town"] = """
-SELECT event_id, dataset, base_category, date, enddate,
+# A third of all events are geocoded to one town.  Every feed numbers its entries on its own,
+# so most ids occur in several feeds.
+_OWN_ID = "event_id + CASE dataset WHEN 'A' THEN 0 WHEN 'B' THEN 1 ELSE 2 END"
+_SQL["evt_town"] = f"""
+SELECT {_OWN_ID} AS event_id, dataset, base_category, date, enddate,
        CASE WHEN event_id % 3 = 0 THEN 1e0 ELSE longitude END AS longitude,
        CASE WHEN event_id % 3 = 0 THEN 1e0 ELSE latitude END AS latitude
-FROM {evt}
+FROM {{evt}}
 """
 
 # The same events spread over the months of the survey period.
-_SQL["evt_months"] = """
-SELECT event_id, dataset, base_category, fatalities,
+_SQL["evt_months"] = f"""
+SELECT {_OWN_ID} AS event_id, dataset, base_category, fatalities,
        DATE '1995-01-01' + cast((event_id * 7919) % 2500 AS int) AS date,
+       CASE WHEN enddate IS NOT NULL THEN DATE '1995-01-01' + cast((event_id * 7919) % 2500 + 1 + event_id % 3 AS int) END AS enddate,
        CASE WHEN event_id % 41 = 0 THEN NULL ELSE longitude END AS longitude,
        CASE WHEN event_id % 41 = 0 THEN NULL ELSE latitude END AS latitude
-FROM {evt}
+FROM {{evt}}
 """
 
 _SQL["taxonomy"] = """

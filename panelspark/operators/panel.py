@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.dates import month_steps
 
+# Lags in months that the panels carry.
 BASE_OFFSETS = (*range(0, 15), 24, 36, 48, 60)
 SEASON_OFFSETS = (*range(0, 13), 24, 36, 48, 60)
 YEARLY_OFFSETS = (12, 24, 36, 48, 60)

@@ -162,7 +162,7 @@ def assign_units(
         hit = F.col("segments").isNull() | _inside(F.col("segments"), F.col("heights"), px, py)
         on_tile = (_tile(px, tile) == F.col("__tx")) & (_tile(py, tile) == F.col("__ty"))
         joined = points.join(F.broadcast(index), on_tile & hit, how)
-        return joined.drop("__tx", "__ty", "segments", "heights")
+        return joined.select(*points.columns, *unit)
 
     places = (
         points.select(x, y)
@@ -178,7 +178,7 @@ def assign_units(
         )
         .select(x, y, *unit)
     )
-    return split_join(points, found, [x, y], how)
+    return split_join(points, found, [x, y], how).select(*points.columns, *unit)
 
 
 def box_units(

@@ -11,15 +11,28 @@ from panelspark.functions.aggregates import date_summary
 from panelspark.functions.dates import month_key
 from panelspark.operators import panel as P
 from panelspark.operators.aggregate import summarise_columns
-from panelspark.operators.events import location_days
+from panelspark.operators.events import classify, integrate, location_days, unique_events
 from panelspark.operators.spatial import assign_units
 from panelspark.plans.survey import UNIT, WAVE
 
 MEASURE = "violent_events"
+# Lags in months of the panel and of the table of survey waves.
 PANEL_LAGS = tuple(range(1, 37))
 SURVEY_LAGS = tuple(range(1, 25))
 
 
+def integrated_events(
+    events: DataFrame,
+    taxonomy: DataFrame,
+    order: Sequence[str],
+    levels: Sequence[str],
+    km: float = 4.0,
+    days: int = 2,
+) -> DataFrame:
+    """Harmonised feeds without the entries an earlier source reports too, classified."""
+    return classify(unique_events(integrate(events, taxonomy, order, levels, km, days)), taxonomy)
+
+
 def event_counts(located: DataFrame, date: str = "date") -> DataFrame:
     """Location-days (the panel's measure) and events per unit and month.
 

@@ -36,8 +36,11 @@ def yearly_series(
     for name, prefix in series.items():
         for c in matching_columns(wide, [prefix], suffix):
             year = year_in_name(c)
-            if year is not None:
-                by_year.setdefault(year, {})[name] = c
+            if year is None:
+                continue
+            other = by_year.setdefault(year, {}).setdefault(name, c)
+            if other != c:
+                raise ValueError(f"{other} and {c} are both series {name} in {year}; name a suffix")
     null = F.lit(None).cast("double")
     rows = [
         F.struct(

@@ -19,14 +19,19 @@ def raster_panel(
     file_name: str | None = None,
     sinusoidal: bool = False,
     bands: DataFrame | None = None,
-    tile: float = 0.25,
+    tile: float | None = None,
 ) -> DataFrame:
     """Unit-month table ``(<unit>, ymd, <value>)`` of one raster product.
 
     The month comes from ``ymd``, from the file name the cells were read from, or from
     ``bands`` when a cell carries an array of all months.  For products on the
-    sinusoidal grid the boundaries are moved to its metres (``tile`` is then in metres).
+    sinusoidal grid the boundaries are moved to its metres; ``tile`` is then in metres and
+    has to be named, a few cells wide.
     """
+    if tile is None:
+        if sinusoidal:
+            raise ValueError("name the tile in metres for a product on the sinusoidal grid")
+        tile = 0.25
     if file_name is not None:
         cells = cells.withColumn("ymd", month_from_file_name(file_name))
     if sinusoidal:

@@ -11,22 +11,46 @@ _POLYGON = "array<array<array<double>>>"
 _MULTI = f"array<{_POLYGON}>"
 
 
-def parse_geometry(text: Column | str) -> Column:
-    """Polygon or multipolygon GeoJSON as one multipolygon (array of polygons of rings)."""
-    body = F.col(text) if isinstance(text, str) else text
+def _shape(body: Column) -> Column:
+    """A single GeoJSON geometry as a multipolygon; anything that is no area raises."""
     kind = F.get_json_object(body, "$.type")
     coords = F.get_json_object(body, "$.coordinates")
-    return F.when(kind == "Polygon", F.array(F.from_json(coords, _POLYGON))).when(
-        kind == "MultiPolygon", F.from_json(coords, _MULTI)
+    refusal = F.raise_error(F.concat(F.lit("no polygon geometry: "), F.substring(body, 1, 80)))
+    return (
+        F.when(body.isNull(), F.lit(None).cast(_MULTI))
+        .when(kind == "Polygon", F.array(F.from_json(coords, _POLYGON)))
+        .when(kind == "MultiPolygon", F.from_json(coords, _MULTI))
+        .otherwise(refusal.cast(_MULTI))
     )
 
 
+def parse_geometry(text: Column | str) -> Column:
+    """GeoJSON text as one multipolygon (array of polygons of rings).
+
+    Takes polygons, multipolygons, features and collections of them.  A null text or a
+    feature without geometry is NULL; points, lines and other text raise.
+    """
+    body = F.col(text) if isinstance(text, str) else text
+    feature = F.get_json_object(body, "$.type") == "Feature"
+    body = F.when(feature, F.get_json_object(body, "$.geometry")).otherwise(body)
+    members = F.from_json(F.get_json_object(body, "$.geometries"), "array<string>")
+    together = F.flatten(F.transform(members, _shape))
+    return F.when(F.get_json_object(body, "$.type") == "GeometryCollection", together).otherwise(_shape(body))
+
+
 def boundary_edges(layer: DataFrame, unit: Sequence[str], geometry: str = "geometry") -> DataFrame:
-    """One row per ring segment: ``<unit>, part, ring, pos, x1, y1, x2, y2``."""
+    """One row per ring segment: ``<unit>, part, ring, pos, x1, y1, x2, y2``.
+
+    Rings that do not end where they begin are closed.
+    """
     rings = (
         layer.select(*unit, F.posexplode(parse_geometry(geometry)).alias("part", "__polygon"))
         .select(*unit, "part", F.posexplode("__polygon").alias("ring", "__ring"))
     )
+    first = F.try_element_at("__ring", F.lit(1))
+    is_open = first != F.try_element_at("__ring", F.lit(-1))
+    closed = F.when(is_open, F.concat("__ring", F.array(first))).otherwise(F.col("__ring"))
+    rings = rings.withColumn("__ring", closed)
     ends = F.arrays_zip(
         F.slice("__ring", F.lit(1), F.size("__ring") - 1).alias("a"),
         F.slice("__ring", F.lit(2), F.size("__ring") - 1).alias("b"),

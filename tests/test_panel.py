@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import panel as P
@@ -92,6 +93,12 @@ def test_one_row_per_step_with_skeleton(spark):
     assert [(r["a"], r["b"]) for r in out] == [(2.0, None), (None, None), (None, 5.0)]
 
 
+def test_two_columns_of_one_series_and_year_raise(spark):
+    wide = spark.sql("SELECT 'a' AS NAME_0, 'b' AS NAME_1, 1.0D AS v_2001_x_mean, 2.0D AS v_2001_y_mean")
+    with pytest.raises(ValueError, match="v_2001_x_mean and v_2001_y_mean"):
+        yearly_series(wide, ["NAME_0", "NAME_1"], {"v": "v"}, 2001, 2001, suffix="mean")
+
+
 def test_yearly_series_and_duplicates(spark):
     wide = spark.createDataFrame(
         [("A", "x", 1.0, 2.0, 9.0), ("A", "x", 3.0, 4.0, 9.0)],

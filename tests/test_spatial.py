@@ -78,6 +78,7 @@ def test_points_equal_brute_force(spark, tile):
     # Beyond the broadcast bound the same points are matched by shuffle.
     assert found(S.assign_units(df, edges, how="inner", tile=tile, max_segments=0)) == want
     left = S.assign_units(df, edges, how="left", tile=tile, max_segments=0)
+    assert left.columns == S.assign_units(df, edges, how="left", tile=tile).columns == [*df.columns, "unit_id"]
     assert left.select("pid").distinct().count() == len(points)
 
 
@@ -157,6 +158,29 @@ def test_geojson_edges(spark):
     assert len(rows) == 6
 
 
+def test_geojson_kinds(spark):
+    """Features and collections count, open rings are closed, no geometry gives no edge."""
+    square = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1]]]}'
+    texts = {
+        "open": square,
+        "feature": '{"type":"Feature","properties":{},"geometry":' + square + "}",
+        "collection": '{"type":"GeometryCollection","geometries":[' + square + "," + square + "]}",
+        "empty": '{"type":"Feature","properties":{},"geometry":null}',
+        "null": None,
+    }
+    df = spark.createDataFrame(list(texts.items()), "unit_id string, geometry string")
+    counts = {r["unit_id"]: r["count"] for r in boundary_edges(df, ["unit_id"]).groupBy("unit_id").count().collect()}
+    assert counts == {"open": 4, "feature": 4, "collection": 8}
+    last = boundary_edges(df.where("unit_id = 'open'"), ["unit_id"]).where("pos = 3").first()
+    assert (last["x1"], last["y1"], last["x2"], last["y2"]) == (0.0, 1.0, 0.0, 0.0)
+
+
+def test_geojson_other_shapes_raise(spark):
+    df = spark.createDataFrame([("p", '{"type":"Point","coordinates":[1,2]}')], "unit_id string, geometry string")
+    with pytest.raises(Exception, match="no polygon geometry"):
+        boundary_edges(df, ["unit_id"]).collect()
+
+
 def test_admin_layer(spark):
     base = spark.createDataFrame(
         [("A", "1", "State"), ("A", "2", "Water body"), ("A", "3", None), ("B", "4", "State")], "NAME_0 string, NAME_1 string, ENGTYPE_1 string"
@@ -179,3 +203,5 @@ def test_raster_panel_by_file_name_and_projection(spark):
     metres = S.to_sinusoidal(cells, [("x", "y")])
     moved = raster_panel(metres, edges, ["unit_id"], file_name="file", sinusoidal=True, tile=30000.0)
     assert sorted((r["unit_id"], str(r["ymd"]), r["value"]) for r in moved.collect()) == got
+    with pytest.raises(ValueError, match="metres"):
+        raster_panel(metres, edges, ["unit_id"], file_name="file", sinusoidal=True)
