@@ -39,9 +39,8 @@ def scored(i):
 )
 def ols_by_group(i):
     keys = ["NAME_0", "hv000"]
-    line = T.linear_trend(scored(i), keys, "hc1", "z")
-    logged = T.linear_trend(scored(i), keys, "log_interval", "z")
-    return line.join(logged.select(*keys, F.col("slope").alias("log_slope")), keys)
+    more = [F.regr_slope("z", "log_interval").alias("log_slope")]
+    return T.linear_trend(scored(i), keys, "hc1", "z", more)
 
 
 @query(

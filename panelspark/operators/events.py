@@ -38,6 +38,10 @@ from panelspark.functions.nulls import as_column
 from panelspark.operators.joins import lookup_join, split_join
 from panelspark.session import written
 
+# Open pairs up to which one task finishes a matching.
+TAIL_PAIRS = 50_000
+# Copies of one link that are spelled out at a time.
+LINK_CHUNK = 65_536
 EARTH_KM = 6371.0088
 SITE = ("dataset", "base_category", "date", "enddate", "longitude", "latitude")
 COPY_CHUNKS = 3  # hex digits of the entry's hash: 4096 chunks per site
@@ -219,13 +223,16 @@ def _shared_labels(labels: Sequence[str], level: int) -> Column:
     return F.explode(F.array(*tags)).alias("__label")
 
 
-def match_sites(pairs: DataFrame) -> DataFrame:
+def match_sites(pairs: DataFrame, tail: int = TAIL_PAIRS) -> DataFrame:
     """Greedy one-to-one matching of copies over scored site pairs.
 
     Each round keeps the pairs that are each other's best, books as many copies as
     both still have, and drops exhausted sites.  Best pairs come from a mergeable
     ``min``, not from sorting a site's pairs in a window.  Each round is written to
-    the shared folder, so a lost executor costs one round at most.
+    the shared folder, so a lost executor costs one round at most.  Rounds shrink the
+    open pairs; once ``tail`` or fewer are left, one task takes them in score order,
+    so a long chain of pairs that wait for each other needs no round per link.  Both
+    ways are the same matching: pairs in score order, each as far as copies are left.
 
     Returns ``site_a, site_b, copies, used_a, used_b``; ``used`` is the number of
     copies already spent on either side before this match.
@@ -239,7 +246,7 @@ def match_sites(pairs: DataFrame) -> DataFrame:
         pairs.withColumn("copies", F.lit(0).cast("long")), "pairs", open=still_open
     )
     booked = []
-    while seen["open"]:
+    while seen["open"] > tail:
         live = state.where("copies = 0").drop("copies")
         best_a = live.groupBy("site_a").agg(F.min(score).alias("score")).select("score")
         best_b = live.groupBy("site_b").agg(F.min(score).alias("score")).select("score")
@@ -269,10 +276,41 @@ def match_sites(pairs: DataFrame) -> DataFrame:
         state, seen = written(won.unionByName(rest), "pairs", open=still_open)
         booked.append(state.where("copies > 0"))
     out = ["site_a", "site_b", "copies", "used_a", "used_b"]
+    if seen["open"]:
+        ordered = (
+            state.where("copies = 0")
+            .repartition(1)
+            .sortWithinPartitions("levels", "metres", "days", "site_a", "site_b")
+            .withColumns({f"{side}_key": F.to_json(f"site_{side}") for side in "ab"})
+        )
+        settled = ordered.mapInPandas(_settle, state.select(*out).schema)
+        booked.append(written(settled, "tail")[0])
     empty = state.where("copies > 0").select(*out).limit(0)
     return reduce(DataFrame.unionByName, [b.select(*out) for b in booked], empty)
 
 
+def _settle(batches):
+    """Book pairs that arrive in score order; remembers two counters per site."""
+    free: dict[str, int] = {}
+    used: dict[str, int] = {}
+    for frame in batches:
+        copies = []
+        spent: dict[str, list[int]] = {"a": [], "b": []}
+        for row in frame.itertuples():
+            sides = {"a": "a" + row.a_key, "b": "b" + row.b_key}
+            for side, key in sides.items():
+                if key not in free:
+                    free[key], used[key] = getattr(row, f"free_{side}"), getattr(row, f"used_{side}")
+                spent[side].append(used[key])
+            n = min(free[key] for key in sides.values())
+            copies.append(n)
+            for key in sides.values():
+                free[key] -= n
+                used[key] += n
+        frame = frame.assign(copies=copies, used_a=spent["a"], used_b=spent["b"])
+        yield frame.loc[frame["copies"] > 0, ["site_a", "site_b", "copies", "used_a", "used_b"]]
+
+
 def ranked_copies(entries: DataFrame) -> DataFrame:
     """Give each entry its site (smallest entry id of its copies, and their source) and its rank therein.
 
@@ -433,26 +471,29 @@ def _rings(km: float) -> list[int | None]:
 
 
 def _expand(copies: DataFrame, links: DataFrame) -> DataFrame:
-    """Site links back to entry links: rank r of one side meets rank r of the other."""
-    bounds = links.select(
-        F.col("site_b").alias("site"), "site_a", "copies", "used_a", F.col("used_b").alias("__from")
-    )
-    hit = (F.col("rank") > F.col("__from")) & (F.col("rank") <= F.col("__from") + F.col("copies"))
-    later = (
-        split_join(copies.select("dataset", "event_id", "site", "rank"), bounds, ["site"])
-        .where(hit)
-        .select(
-            "dataset",
-            "event_id",
-            F.col("site_a").alias("site"),
-            (F.col("rank") - F.col("__from") + F.col("used_a")).alias("rank"),
-        )
+    """Site links back to entry links: rank r of one side meets rank r of the other.
+
+    A link becomes one row per copy it took, no more rows than there are entries, so
+    both joins are on ``(site, rank)``, a key of one entry.
+    """
+    first = F.col("__chunk") * LINK_CHUNK
+    last = F.least(F.col("copies"), first + LINK_CHUNK)
+    taken = links.withColumn(
+        "__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / LINK_CHUNK)))
+    ).withColumn("__k", F.explode(F.sequence(first + 1, last)))
+    taken = taken.select(
+        F.col("site_b").alias("__site_b"),
+        (F.col("used_b") + F.col("__k")).alias("__rank_b"),
+        F.col("site_a").alias("site"),
+        (F.col("used_a") + F.col("__k")).alias("rank"),
     )
     earlier = copies.select(
         F.col("event_id").alias("duplicate_of"), F.col("dataset").alias("duplicate_of_dataset"), "site", "rank"
     )
-    pairs = later.join(earlier, ["site", "rank"]).drop("site", "rank")
-    return copies.drop("site", "rank", "n_copies").join(pairs, ["dataset", "event_id"], "left")
+    pairs = taken.join(earlier, ["site", "rank"]).select(
+        F.col("__site_b").alias("site"), F.col("__rank_b").alias("rank"), "duplicate_of", "duplicate_of_dataset"
+    )
+    return copies.join(pairs, ["site", "rank"], "left").drop("site", "rank", "n_copies")
 
 
 def unique_events(integrated: DataFrame) -> DataFrame:

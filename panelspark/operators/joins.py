@@ -56,10 +56,12 @@ def split_join(
     """Equi join that spreads each hot key of ``big`` over several tasks.
 
     A key with n rows gets ceil(n / rows_per_task) salts.  Rows of ``big`` draw a
-    salt from their content, rows of ``other`` are copied once per salt, so every
-    pair still meets exactly once.  Only keys above the threshold are listed, which
-    bounds the list by (rows of big) / rows_per_task.  ``how`` may keep unmatched
-    rows of ``big`` (left, semi, anti), not of ``other``.
+    salt from their place in a written table, which a repeated task finds unchanged
+    and which tells equal rows apart; rows of ``other`` are copied once per salt, so
+    every pair still meets exactly once.  The list of hot keys holds the
+    ``BROADCAST_ROWS`` largest at most; a key beyond it has a smaller share of the
+    rows than one in ``BROADCAST_ROWS``.  ``how`` may keep unmatched rows of ``big``
+    (left, semi, anti), not of ``other``.
     """
     if how not in KEEPS_BIG:
         raise ValueError(f"split_join cannot keep unmatched rows for how={how!r}")
@@ -68,18 +70,23 @@ def split_join(
         big.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > rows_per_task)
+        .orderBy(F.desc("__n"), *keys)
+        .limit(BROADCAST_ROWS)
         .select(*keys, F.ceil(F.col("__n") / rows_per_task).cast("int").alias("__salts"))
     )
-    if hot.isEmpty():
+    hot, found = sized(hot, "hot_keys")
+    if not found:
         return big.join(other, keys, how)
     # A NULL key meets nothing, so its rows may scatter freely.
     lost = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salts = F.coalesce("__salts", F.when(lost, F.lit(1009)), F.lit(1))
-    content = [c for c in big.columns if c not in keys] or keys
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__place")
     left = (
-        big.join(F.broadcast(hot), keys, "left")
-        .withColumn("__salt", F.pmod(F.xxhash64(*content), salts).cast("int"))
-        .drop("__salts")
+        written(big, "split")[0]
+        .select("*", place)
+        .join(F.broadcast(hot), keys, "left")
+        .withColumn("__salt", F.pmod(F.col("__place"), salts).cast("int"))
+        .drop("__salts", "__place")
     )
     right = (
         other.join(F.broadcast(hot), keys, "left")

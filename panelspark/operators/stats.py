@@ -7,7 +7,7 @@ combines map-side; evaluation grids are exploded against that reduced table only
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import LinearRegression
@@ -30,44 +30,87 @@ def _value_counts(df: DataFrame, by: Sequence[str], x: str) -> DataFrame:
 
 
 def nth_values(
-    values: DataFrame, by: Sequence[str], targets: DataFrame, bins: int = 1024
+    values: DataFrame,
+    by: Sequence[str],
+    targets: DataFrame,
+    bins: int = 1024,
+    sort_rows: int = 100_000,
 ) -> DataFrame:
     """Order statistics of weighted values: ``by, which, x``.
 
     ``values`` is ``(by, x, w)``, ``targets`` is ``(by, which, target)``; the answer is
     the smallest x whose running weight reaches the target.  A histogram names the
-    bin that holds it and only that bin's values are ordered, so a group with very
-    many distinct values is never sorted as a whole.
+    bin that holds it and only that bin's values are ordered.  A chosen bin with more
+    than ``sort_rows`` rows is cut into bins between its own extremes again, so neither
+    very many values nor a few far outliers make one task sort a whole group.
     """
+    at = [*by, "which"]
     span = values.groupBy(*by).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
-    share = F.try_divide(F.col("x") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    binned = (
-        null_safe_join(values, span, by, "inner")
-        .withColumn("__bin", F.floor(F.coalesce(share, F.lit(0.0)) * (bins - 1)).cast("int"))
-        .drop("__lo", "__hi")
-    )
-    running = W.partitionBy(*by).orderBy("__bin")
-    upto = (
-        binned.groupBy(*by, "__bin")
-        .agg(F.sum("w").alias("__in"))
-        .withColumn("__upto", F.sum("__in").over(running))
-    )
-    before = F.col("__upto") - F.col("__in")
-    chosen = (
-        null_safe_join(upto, targets, by, "inner")
-        .where((F.col("__upto") >= F.col("target")) & (before < F.col("target")))
-        .select(*by, "which", "target", "__bin", before.alias("__before"))
+    found = _chosen_bins(
+        null_safe_join(values, span, by, "inner"),
+        by,
+        lambda cells: null_safe_join(cells, targets.withColumn("__base", F.lit(0)), by, "inner"),
+        bins,
     )
-    in_bin = W.partitionBy(*by, "which").orderBy("x").rangeBetween(W.unboundedPreceding, 0)
+    # Rows of the fullest chosen bin; one value alone needs no cutting.
+    fullest = F.max(F.when(F.col("__lo") < F.col("__hi"), F.col("__rows")))
+    found, seen = written(found, "bins", rows=fullest)
+    inside = F.col("x").between(F.col("__lo"), F.col("__hi"))
+    while (seen["rows"] or 0) > sort_rows:
+        wide = (F.col("__lo") < F.col("__hi")) & (F.col("__rows") > sort_rows)
+        again = found.where(wide).select(*at, "target", F.col("__before").alias("__base"), "__lo", "__hi")
+        finer = _chosen_bins(
+            null_safe_join(values, again, by, "inner").where(inside), at, lambda cells: cells, bins, ["target", "__base"]
+        )
+        found, seen = written(found.where(~wide).unionByName(finer), "bins", rows=fullest)
+    in_bin = W.partitionBy(*at).orderBy("x").rangeBetween(W.unboundedPreceding, 0)
     return (
-        null_safe_join(binned, chosen, [*by, "__bin"], "inner")
+        null_safe_join(values, found.drop("__rows"), by, "inner")
+        .where(inside)
         .withColumn("__sofar", F.col("__before") + F.sum("w").over(in_bin))
         .where(F.col("__sofar") >= F.col("target"))
-        .groupBy(*by, "which")
+        .groupBy(*at)
         .agg(F.min("x").alias("x"))
     )
 
 
+def _chosen_bins(
+    values: DataFrame,
+    by: Sequence[str],
+    with_targets: Callable[[DataFrame], DataFrame],
+    bins: int,
+    carried: Sequence[str] = (),
+) -> DataFrame:
+    """The bin that holds each target: its extremes, rows, and the weight before it."""
+    share = F.try_divide(F.col("x") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    place = F.floor(F.coalesce(share, F.lit(0.0)) * (bins - 1)).cast("int")
+    cells = (
+        values.groupBy(*by, *carried, place.alias("__bin"))
+        .agg(
+            F.sum("w").alias("__in"),
+            F.count(F.lit(1)).alias("__rows"),
+            F.min("x").alias("__lo"),
+            F.max("x").alias("__hi"),
+        )
+        .withColumn("__upto", F.sum("__in").over(W.partitionBy(*by).orderBy("__bin")))
+    )
+    upto = F.col("__base") + F.col("__upto")
+    before = upto - F.col("__in")
+    return (
+        with_targets(cells)
+        .where((upto >= F.col("target")) & (before < F.col("target")))
+        .select(
+            *[c for c in by if c != "which"],
+            "which",
+            "target",
+            "__lo",
+            "__hi",
+            "__rows",
+            before.alias("__before"),
+        )
+    )
+
+
 def quartile_spread(values: DataFrame, by: Sequence[str], totals: DataFrame) -> DataFrame:
     """Interquartile range with linear interpolation between neighbouring values."""
     rank = {"q1": 0.25, "q3": 0.75}
@@ -111,19 +154,20 @@ def kernel_density(
     width = F.when(robust > 0, robust).otherwise(F.col("sd"))
     spread = spread.select(*by, "n", (0.9 * width * F.pow("n", F.lit(-0.2))).alias("bw"))
     step = (hi - lo) / (points - 1)
-    z = (F.col("grid_x") - F.col("x")) / F.col("bw")
-    return (
-        null_safe_join(values, spread, by, "inner")
-        .withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("grid_x", F.lit(lo) + F.col("grid") * F.lit(step))
-        .groupBy(*by, "grid", "grid_x", "n", "bw")
-        .agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("k"))
-        .select(
-            *by,
-            "grid",
-            "grid_x",
-            F.try_divide("k", F.col("n") * F.col("bw") * math.sqrt(2 * math.pi)).alias("density"),
-        )
+
+    def kernel_sum(at: int) -> Column:
+        z = (F.lit(lo) + F.lit(at) * F.lit(step) - F.col("x")) / F.col("bw")
+        return F.sum(F.col("w") * F.exp(-0.5 * z * z))
+
+    # One aggregate per grid point: values are never multiplied by the grid.
+    sums = null_safe_join(values, spread, by, "inner").groupBy(*by, "n", "bw").agg(
+        F.array(*[kernel_sum(k) for k in range(points)]).alias("sums")
+    )
+    return sums.select(*by, "n", "bw", F.posexplode("sums").alias("grid", "k")).select(
+        *by,
+        "grid",
+        (F.lit(lo) + F.col("grid") * F.lit(step)).alias("grid_x"),
+        F.try_divide("k", F.col("n") * F.col("bw") * math.sqrt(2 * math.pi)).alias("density"),
     )
 
 
@@ -150,13 +194,16 @@ def histogram(df: DataFrame, by: Sequence[str], x: str, bins: int = 30) -> DataF
     )
 
 
-def linear_trend(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
-    """Least-squares line per group."""
+def linear_trend(
+    df: DataFrame, by: Sequence[str], x: str, y: str, more: Sequence[Column] = ()
+) -> DataFrame:
+    """Least-squares line per group; ``more`` are aggregates of the same pass."""
     return df.groupBy(*by).agg(
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
         F.regr_r2(y, x).alias("r2"),
         F.regr_count(y, x).alias("n"),
+        *more,
     )
 
 
@@ -272,6 +319,24 @@ def one_factor_ols(df: DataFrame, y: str, factor: str, by: Sequence[str] = ()) -
     )
 
 
+def student_two_sided(t: float, dof: int) -> float:
+    """P(|T| > |t|) for a whole number of degrees of freedom, from the finite series in cos^2."""
+    if math.isnan(t) or dof < 1:
+        return float("nan")
+    theta = math.atan(abs(t) / math.sqrt(dof))
+    sine, cos2 = math.sin(theta), math.cos(theta) ** 2
+    odd = dof % 2
+    term = math.cos(theta) if odd else 1.0
+    total = term if dof > 1 else 0.0
+    for k in range(3 if odd else 2, dof - 1, 2):
+        term *= cos2 * (k - 1) / k
+        total += term
+        if term < total * 1e-18:
+            break
+    inside = 2 / math.pi * (theta + sine * total) if odd else sine * total
+    return max(0.0, 1.0 - inside)
+
+
 def two_factor_ols(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
     """``y ~ factor + factor``: coefficients, standard errors, t and p.
 
@@ -318,13 +383,11 @@ def two_factor_ols(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
     names = [a["name"] for g in design.schema["features"].metadata["ml_attr"]["attrs"].values() for a in g]
     estimates = [*model.coefficients.toArray().tolist(), model.intercept]
     errors = [e * scale for e in model.summary.coefficientStandardErrors]
-    spark = df.sparkSession
-    student = spark._jvm.org.apache.commons.math3.distribution.TDistribution(float(df_resid))
     rows = []
     for term, est, err in zip([*names, "(Intercept)"], estimates, errors):
         t = est / err if err else float("nan")
-        rows.append((term, est, err, t, 2 * student.cumulativeProbability(-abs(t))))
-    return spark.createDataFrame(
+        rows.append((term, est, err, t, student_two_sided(t, df_resid)))
+    return df.sparkSession.createDataFrame(
         rows, "term string, estimate double, std_error double, t_value double, p_value double"
     )
 

@@ -168,3 +168,39 @@ def test_sources_number_their_entries_independently(spark):
     links = {(r["dataset"], r["event_id"]): (r["duplicate_of_dataset"], r["duplicate_of"]) for r in got.where("duplicate_of is not null").collect()}
     assert links == {("B", 1): ("A", 1), ("C", 2): ("A", 1)}
     assert {(r["dataset"], r["event_id"]) for r in E.unique_events(got).collect()} == {("A", 1), ("A", 2), ("B", 2)}
+
+
+@pytest.mark.parametrize("tail", [0, 40])
+def test_rounds_and_tail_are_one_matching(spark, monkeypatch, tail):
+    rows = crowd(200, seed=9, spread=0.1, hot=0.3)
+    monkeypatch.setattr(E.match_sites, "__defaults__", (tail,))
+    assert links(integrated(spark, rows)) == direct(rows)
+
+
+def test_long_chain_takes_few_steps(spark, monkeypatch):
+    """Every pair but the last waits for a better one beside it."""
+    n, steps = 2000, []
+    chain = spark.range(n).selectExpr(
+        "named_struct('id', (id + 1) div 2, 'of', 'A') as site_a",
+        "named_struct('id', id div 2, 'of', 'B') as site_b",
+        "0 as levels", f"{n} - id as metres", "0 as days",
+        "1L as free_a", "1L as free_b", "0L as used_a", "0L as used_b",
+    )
+    real = E.written
+    monkeypatch.setattr(E, "written", lambda *a, **k: steps.append(1) or real(*a, **k))
+    got = {(r["site_a"]["id"], r["site_b"]["id"]) for r in E.match_sites(chain).collect()}
+    assert got == {((k + 1) // 2, k // 2) for k in range(n - 1, -1, -2)}
+    assert len(steps) <= 3
+
+
+def test_hot_site_with_many_links(spark):
+    """A third of all entries at one place, their partners at many places around it."""
+    hot = [(k, "A", "x", DAY, None, 1.0, 1.0) for k in range(300)]
+    around = [(k, "B", "x", DAY, None, 1.0 + k * 1e-5, 1.0) for k in range(200)]
+    assert len(links_of(integrated(spark, hot + around))) == 200
+
+
+def links_of(df):
+    rows = df.where("duplicate_of is not null").select("dataset", "event_id", "duplicate_of").collect()
+    assert len({r["duplicate_of"] for r in rows}) == len(rows)
+    return rows

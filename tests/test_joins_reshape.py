@@ -30,6 +30,15 @@ def test_split_join_equals_plain_join(hot, how):
     assert bag(J.split_join(big, small, ["k"], how, rows_per_task=10), *cols) == bag(plain, *cols)
 
 
+def test_split_join_spreads_equal_rows(spark):
+    big = spark.createDataFrame([(1,)] * 1000, "k int")
+    small = spark.createDataFrame([(1, "a")], "k int, s string")
+    joined = J.split_join(big, small, ["k"], rows_per_task=10)
+    assert joined.count() == 1000
+    plan = joined._jdf.queryExecution().analyzed().toString()
+    assert "row_index" in plan and "__salt" in plan
+
+
 def test_split_join_refuses_full(hot):
     with pytest.raises(ValueError):
         J.split_join(*hot, ["k"], "full")

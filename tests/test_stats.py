@@ -116,3 +116,26 @@ def test_density_without_groups_is_the_single_group(spark):
     whole = {r["grid"]: r["density"] for r in kernel_density(df, [], "x", 0, 40, 9).collect()}
     single = {r["grid"]: r["density"] for r in kernel_density(df, ["g"], "x", 0, 40, 9).collect()}
     assert whole.keys() == single.keys() and all(abs(whole[k] - single[k]) < 1e-12 for k in whole)
+
+
+def test_nth_values_with_outlier_cuts_bins_again(spark, monkeypatch):
+    """One far value puts all others into one bin, which is then cut itself."""
+    xs = [k / 7 for k in range(3000)] + [1e12]
+    values = spark.createDataFrame([("g", x, 2) for x in xs], "g string, x double, w long")
+    targets = spark.createDataFrame([("g", str(t), t) for t in (1, 2, 3000, 4001, 6001)], "g string, which string, target long")
+    steps = []
+    real = T.written
+    monkeypatch.setattr(T, "written", lambda *a, **k: steps.append(1) or real(*a, **k))
+    got = {int(r["which"]): r["x"] for r in T.nth_values(values, ["g"], targets, bins=64, sort_rows=100).collect()}
+    assert got == {t: xs[(t - 1) // 2] for t in (1, 2, 3000, 4001, 6001)}
+    assert 2 <= len(steps) <= 8
+
+
+def test_student_tail():
+    # Two-sided tails for one and two degrees in closed form, and a table value.
+    for t in (0.0, 0.3, 2.0, 50.0):
+        assert T.student_two_sided(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), abs=1e-12)
+        assert T.student_two_sided(-t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), abs=1e-12)
+    assert T.student_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-9)
+    assert T.student_two_sided(1.959963985, 10**6) == pytest.approx(0.05, abs=1e-5)
+    assert math.isnan(T.student_two_sided(float("nan"), 5))
