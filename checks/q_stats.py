@@ -60,7 +60,36 @@ def ols_factor(i):
     return T.one_factor_ols(scored(i).withColumnRenamed("hc19", "year"), "z", "year", ["NAME_0"])
 
 
-@query("ols_two_way")
+# Normal equations with the response as index 0, swept one term at a time: what is left is the
+# inverse, the coefficients and the residual sum.  Tails of t by Simpson's rule.
+_TWO_WAY = f"""WITH RECURSIVE cells AS (SELECT cast(hc19 AS varchar) AS f, NAME_1 AS g, cast(count(*) AS double) AS w,
+    sum(z) AS sy, sum(z * z) AS yy FROM (SELECT hc19, NAME_1, {_Z} AS z FROM {{resp}}) r
+    WHERE z IS NOT NULL AND hc19 IS NOT NULL AND NAME_1 IS NOT NULL GROUP BY ALL),
+    x AS (SELECT *, '(Intercept)' AS term FROM cells
+    UNION ALL SELECT *, concat('year_', f) FROM cells WHERE f > (SELECT min(f) FROM cells)
+    UNION ALL SELECT *, concat('NAME_1_', g) FROM cells WHERE g > (SELECT min(g) FROM cells)),
+    terms AS (SELECT term, row_number() OVER (ORDER BY term) AS i FROM x GROUP BY term),
+    d AS (SELECT x.*, i FROM x JOIN terms USING (term)),
+    known AS (SELECT a.i, b.i AS j, sum(a.w) AS v FROM d a JOIN d b ON a.f = b.f AND a.g = b.g GROUP BY ALL
+    UNION ALL SELECT i, 0, sum(sy) FROM d GROUP BY i UNION ALL SELECT 0, i, sum(sy) FROM d GROUP BY i
+    UNION ALL SELECT 0, 0, sum(yy) FROM cells),
+    size AS (SELECT max(i) AS p, (SELECT sum(w) FROM cells) - max(i) AS df FROM terms),
+    sweep AS (SELECT cast(0 AS bigint) AS k, a.i, b.i AS j, coalesce(v, 0e0) AS v
+    FROM (SELECT unnest(range((SELECT p + 1 FROM size))) AS i) a CROSS JOIN (SELECT unnest(range((SELECT p + 1 FROM size))) AS i) b
+    LEFT JOIN known ON known.i = a.i AND known.j = b.i
+    UNION ALL SELECT s.k + 1, s.i, s.j, CASE WHEN s.i = s.k + 1 AND s.j = s.k + 1 THEN 1 / p.v WHEN s.i = s.k + 1 THEN s.v / p.v
+    WHEN s.j = s.k + 1 THEN -s.v / p.v ELSE s.v - c.v * r.v / p.v END
+    FROM sweep s JOIN sweep p ON p.i = s.k + 1 AND p.j = s.k + 1 JOIN sweep r ON r.i = s.k + 1 AND r.j = s.j
+    JOIN sweep c ON c.i = s.i AND c.j = s.k + 1 WHERE s.k < (SELECT p FROM size)),
+    done AS (SELECT i, j, v FROM sweep WHERE k = (SELECT p FROM size)),
+    fit AS (SELECT term, b.v AS estimate, sqrt(q.v / df * e.v) AS std_error, b.v / sqrt(q.v / df * e.v) AS t_value, df
+    FROM terms JOIN done b ON b.i = terms.i AND b.j = 0 JOIN done e ON e.i = terms.i AND e.j = terms.i JOIN done q ON q.i = 0 AND q.j = 0, size),
+    steps AS (SELECT s * 1e-2 AS u, CASE WHEN s IN (0, 6000) THEN 1 WHEN s % 2 = 1 THEN 4 ELSE 2 END AS c FROM (SELECT unnest(range(6001)) AS s) r)
+    SELECT term, estimate, std_error, t_value, sum(c * power(1 + power(abs(t_value) + u, 2) / df, -(df + 1) / 2))
+    / sum(c * power(1 + u * u / df, -(df + 1) / 2)) AS p_value FROM fit, steps GROUP BY ALL"""
+
+
+@query("ols_two_way", _TWO_WAY, doubles="estimate std_error t_value p_value")
 def ols_two_way(i):
     return T.two_factor_ols(scored(i).withColumnRenamed("hc19", "year"), "z", ["year", "NAME_1"])
 

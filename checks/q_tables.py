@@ -22,7 +22,7 @@ from panelspark.operators.panel import month_skeleton, on_skeleton
 from panelspark.operators.spatial import admin_layer, replacement_layer
 from panelspark.plans.survey import UNIT, clean_children, household_recodes
 from panelspark.session import scratch_path
-from panelspark.sources import files, stata
+from panelspark.sources import files
 from panelspark.sources.boundaries import boundary_edges
 from panelspark.sources.surveys import attach_coordinates, choose_surveys, load_chosen
 
@@ -63,35 +63,6 @@ def scan_csv(i):
     return files.read_csv(i.spark, path, schema)
 
 
-@query("scan_dta", "SELECT * FROM {surveys_agg}", doubles="whz2 haz2 waz2 respondents")
-def scan_dta(i):
-    folder = scratch_path(i.spark, "surveys_dta")
-    local = folder[5:] if folder.startswith("file:") else folder
-
-    def write(batches):
-        import os
-
-        import pandas as pd
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        os.makedirs(local, exist_ok=True)
-        for n, frame in enumerate(b for b in batches if len(b)):
-            target = f"{local}/part-{part:05d}-{n:05d}.dta"
-            frame.to_stata(target + ".tmp", write_index=False)
-            os.replace(target + ".tmp", target)
-        yield pd.DataFrame({"part": [part]})
-
-    # One file per batch.  A retried task replaces its own files.
-    i.surveys_agg.mapInPandas(write, "part int").count()
-    return stata.read_stata(
-        i.spark,
-        local,
-        "country string, adm1 string, year int, month int, MICS int, SMART int, "
-        "whz2 double, haz2 double, waz2 double, respondents double",
-    )
-
-
 @query(
     "union_ragged",
     """SELECT NAME_0, NAME_1, lights_1995_mean,
