@@ -40,6 +40,8 @@ from panelspark.session import written
 
 # Open pairs up to which one task finishes a matching.
 TAIL_PAIRS = 50_000
+# Pairs of one window above which the score is walked through in tiers, however few pairs there are in all.
+WINDOW_PAIRS = 1_000_000
 # Copies of one link that are spelled out at a time.
 LINK_CHUNK = 65_536
 EARTH_KM = 6371.0088
@@ -410,8 +412,8 @@ def _less(sites: DataFrame, links: DataFrame, side: str, book: bool) -> DataFram
     )
 
 
-def _crowding(kept: DataFrame, incoming: DataFrame, km: float, days: int) -> tuple[int, int]:
-    """Rough number of pairs in the window, and number of sites, from counts per coarse bucket."""
+def _crowding(kept: DataFrame, incoming: DataFrame, km: float, days: int) -> tuple[int, int, int]:
+    """Rough number of pairs in all windows and in the fullest one, and number of sites, from counts per coarse bucket."""
     cell = 2 * math.degrees(km / EARTH_KM)
 
     def counts(df: DataFrame, name: str) -> DataFrame:
@@ -422,8 +424,9 @@ def _crowding(kept: DataFrame, incoming: DataFrame, km: float, days: int) -> tup
         ).agg(F.count(F.lit(1)).cast("double").alias(name))
 
     buckets = counts(kept, "a").join(counts(incoming, "b"), ["d", "r", "c"], "full").fillna(0.0)
-    row = buckets.agg(F.sum(F.col("a") * F.col("b")), F.sum(F.col("a") + F.col("b"))).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    met = F.col("a") * F.col("b")
+    row = buckets.agg(F.sum(met), F.max(met), F.sum(F.col("a") + F.col("b"))).first()
+    return int(row[0] or 0), int(row[1] or 0), int(row[2] or 0)
 
 
 def _pair_budget(sites: int) -> int:
@@ -443,8 +446,8 @@ def _match_source(
     tier scores above every pair of the tiers before, so the result is the same, and
     after a ring no two matchable sites closer than its radius are left.
     """
-    pairs, size = _crowding(kept, incoming, km, days)
-    if pairs <= _pair_budget(size):
+    pairs, fullest, size = _crowding(kept, incoming, km, days)
+    if pairs <= _pair_budget(size) and fullest <= WINDOW_PAIRS:
         found = match_sites(candidate_pairs(kept, incoming, km, days, levels))
         return [found], found
     links: list[DataFrame] = []

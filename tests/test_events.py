@@ -120,6 +120,14 @@ def test_tiers_equal_single_step(spark, monkeypatch):
     assert links(integrated(spark, rows)) == direct(rows)
 
 
+def test_one_crowded_window_is_enough_for_tiers(spark, monkeypatch):
+    rows, levels = crowd(160, seed=5, spread=0.06, hot=0.3), []
+    monkeypatch.setattr(E, "WINDOW_PAIRS", 3)
+    real = E._rings
+    monkeypatch.setattr(E, "_rings", lambda km: levels.append(1) or real(km))
+    assert links(integrated(spark, rows)) == direct(rows) and levels
+
+
 def test_ranks_of_copies_are_gapless(spark):
     rows = [(k, "A", "x", DAY, None, 1.0, 1.0) for k in range(500)]
     ranked = E.ranked_copies(spark.createDataFrame(rows, COLUMNS)).collect()
