@@ -232,8 +232,9 @@ def node_components(nodes: DataFrame, rows: DataFrame, width: int, percent: int)
     first, second = F.filter("h", lambda x: x["place"] < HALVES), F.filter("h", lambda x: x["place"] >= HALVES)
     halves = found.select("node", first.alias("first"), second.alias("second")).where("size(first) > 0 and size(second) > 0")
     halves, _ = written(halves, "shared-halves")
-    # Only these nodes can be in a pair, so only their texts move again.
-    texts = halves.select("node").join(nodes.select("node", "row"), "node").join(rows, "row").select("node", "text")
+    # Only these nodes can be in a pair, so only their texts move again; repeated rows give one text.
+    once = rows.groupBy("row").agg(F.first("text").alias("text"))
+    texts = halves.select("node").join(nodes.select("node", "row"), "node").join(once, "row").select("node", "text")
     texts, _ = written(texts, "candidate-texts")
 
     # Another centre in every bucket, so that a group is compared with several.

@@ -93,6 +93,15 @@ def test_exact_way_for_large_buckets(spark, monkeypatch, small):
     assert got == brute(rows, 2)[0]
 
 
+def test_exact_way_with_repeated_rows(spark, monkeypatch):
+    """A table ingested three times, and one text under many null ids."""
+    monkeypatch.setattr(near_dup, "SMALL_BUCKET", 0)
+    rows = crowd() * 3
+    rows += [(None, rows[0][1])] * 20
+    got = Counter(tuple(r) for r in near_dup.near_duplicates(documents(spark, [(i, t, "en", "s") for i, t in rows]), width=2).collect())
+    assert got == brute(rows, 2)[0]
+
+
 def test_awkward_rows(spark):
     rows = awkward() + [(30, "two words", "en", "s"), (31, "Two  WORDS", "en", "s"), (29, "two words more", "en", "s"), (12, PROSE + " more", "en", "s")]
     df = documents(spark, rows)
