@@ -28,8 +28,9 @@ VERSION_LINE = re.compile(rb"WARC/[01]\.[0-9]+\r?\n")
 MEMBER = b"\x1f\x8b\x08"
 _HTTP_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n", re.IGNORECASE)
 READ_BYTES = 1 << 20
-# A header block longer than this is damage.
+# In plain files a header block longer than this is damage, apart from its target address, which has any length.
 MAX_HEADER = 1 << 16
+TARGET = b"warc-target-uri:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -71,7 +72,7 @@ def parse_record(data: bytes) -> dict:
     if not VERSION_LINE.match(data):
         raise Damage("version line")
     head, gap, rest = data.partition(b"\r\n\r\n")
-    if not gap or len(head) > MAX_HEADER:
+    if not gap:
         raise Damage("header")
     fields = {}
     for line in head.split(b"\r\n")[1:]:
@@ -150,11 +151,33 @@ def _inflate(source: _Source, at: int) -> tuple[bytes, int]:
     return bytes(out), end - len(inflater.unused_data)
 
 
+def _header_end(source: _Source, at: int) -> int:
+    """Place of the blank line after the header at ``at``; raises ``Damage``.
+
+    Only one address is free of the bound, so a false mark is given up soon.
+    """
+    line, room, addressed = at, MAX_HEADER, False
+    while True:
+        while len(source.buffer) - line < len(TARGET) and source.more():
+            pass
+        if source.buffer[line - 2 : line + 2] == b"\r\n\r\n" and line > at:
+            return line - 2
+        if not addressed and source.buffer[line : line + len(TARGET)].lower() == TARGET:
+            addressed = True
+            end = source.find(b"\n", line)
+        else:
+            while (end := source.buffer.find(b"\n", line, line + room)) < 0:
+                if len(source.buffer) - line >= room or not source.more():
+                    break
+            room -= end + 1 - line
+        if end < 0:
+            raise Damage("header")
+        line = end + 1
+
+
 def _plain(source: _Source, at: int) -> tuple[bytes, int]:
     """The plain record at ``at`` and the place after it."""
-    while (gap := source.buffer.find(b"\r\n\r\n", at, at + MAX_HEADER)) < 0:
-        if len(source.buffer) - at > MAX_HEADER or not source.more():
-            raise Damage("header")
+    gap = _header_end(source, at)
     found = _HTTP_LENGTH.search(bytes(source.buffer[at : gap + 2]))
     if not found:
         raise Damage("length")

@@ -129,6 +129,27 @@ def test_awkward_pages(spark, packed):
     assert warc.archived(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_addresses_of_any_length(spark, packed):
+    long = "data:text/html," + "xyü" * 350_000
+    rows = [(1, "http://a/", "<p>a</p>"), (2, long, "<p>same</p>"), (3, long + "?", "<p>same</p>"), (4, "http://b/", "<p>same</p>")]
+    root = scratch_path(spark, "warc-long")
+    records = warc.read_archives(warc.write_archives(pages(spark, rows), root, packed=packed), root)
+    assert records.where("kind = 'gap'").count() == 0
+    assert Counter(tuple(r) for r in warc.page_records(records).collect()) == expected(rows)
+    urls = {r.fields["warc-record-id"]: r.fields["warc-target-uri"] for r in records.collect()}
+    assert urls["<urn:page:2>"] == long and urls["<urn:page:3>"] == long + "?"
+
+
+def test_false_marks_before_long_lines():
+    """After damage, header lines without end are given up at the bound, all but one address."""
+    parts = archive(False, 2)
+    line = b"X: " + b"y" * (warc.MAX_HEADER + 10)
+    for junk in (b"WARC/1.1\r\n" + line, (b"WARC/1.1\r\nWARC-Target-URI: " + b"z" * 200_000 + b"\r\n") * 3 + b"?", b"WARC/1.1\r\n" + b"A: b\r\n" * 20_000):
+        got, gaps = read(parts[0] + junk + parts[1])
+        assert got == ids(0, 1) and [g[:2] for g in gaps] == [(len(parts[0]), len(parts[0]) + len(junk))]
+
+
 def archive(packed, n=8):
     parts = []
     for k in range(n):
