@@ -6,6 +6,9 @@ host are its template and are deleted, wherever they stand outside the article.
 class says that they are no article (menus, adverts, forms, comments) are deleted as
 well, which is all there is to go by on hosts with few pages.  Inside an article only marked
 containers can be template, so a passage that many pages quote stays.
+
+Copies of one page or article at many addresses count as one page, so that they do not make a
+template of their own text.  Only containers beside the element that makes up most of the page count at each address.
 """
 
 from __future__ import annotations
@@ -64,12 +67,15 @@ MARKS = _set(
     "pager comment comments commentlist disqus replies respond toolbar widget search login"
 )
 _FREE = _set("html body main")
+# Beside the element that makes up most of a page these are its text and not a container of their own.
+_FLOW = _set("p h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure")
 
 
 class _Open:
-    __slots__ = ("name", "label", "start", "parts", "removed", "root", "holds_root")
+    __slots__ = ("name", "label", "start", "parts", "removed", "root", "holds_root", "place")
 
-    def __init__(self, name: str, label: str, start: int, removed: bool, root: bool):
+    def __init__(self, name: str, label: str, start: int, removed: bool, root: bool, place: int):
+        self.place = place
         self.name, self.label, self.start, self.removed, self.root = name, label, start, removed, root
         self.parts: list[bytes] = [name.encode(), label.encode("utf-8", "replace")]
         self.holds_root = False
@@ -83,6 +89,8 @@ class Page:
         self.removed: list[tuple[int, int]] = []  # by name or mark
         self.subtrees: list[tuple[int, int, int]] = []  # hash, start, end
         self.roots: list[tuple[int, int]] = []
+        self._elements: list[tuple[str, int, bool, int, int]] = []  # name, place of the parent, removed or root, start, end
+        self._owners: list[int] = []  # places of the subtrees' elements
         self._stack: list[_Open] = []
         self._inside_root = 0
         self._read(html or "")
@@ -109,7 +117,9 @@ class Page:
             marks = MARKS.intersection(_TOKEN.findall(label.lower()))
         removed = name in NO_TEXT or (name == "header" and not self._inside_root) or (bool(marks) and name not in _FREE)
         root = name in ROOTS and not removed and not self._inside_root and not any(x.removed for x in self._stack)
-        self._stack.append(_Open(name, label, len(self.pieces), removed, root))
+        parent = self._stack[-1].place if self._stack else -1
+        self._stack.append(_Open(name, label, len(self.pieces), removed, root, len(self._elements)))
+        self._elements.append((name, parent, removed or root, len(self.pieces), -1))
         self._inside_root += root
 
     def _close(self) -> None:
@@ -117,6 +127,7 @@ class Page:
         if x.name in BLOCK:
             self._break()
         end = len(self.pieces)
+        self._elements[x.place] = (*self._elements[x.place][:4], end)
         digest = blake2b(b"\0".join(x.parts), digest_size=8).digest()
         if self._stack:
             self._stack[-1].parts.append(digest)
@@ -130,6 +141,7 @@ class Page:
             return
         if x.label or not self._inside_root:
             self.subtrees.append((int.from_bytes(digest, "little", signed=True), x.start, end))
+            self._owners.append(x.place)
 
     def _close_for(self, name: str) -> None:
         """Ends that an opening tag implies."""
@@ -188,6 +200,40 @@ class Page:
                     continue
                 self._open(name, m["attrs"])
 
+    def _text_hash(self, start: int, end: int, stays: np.ndarray) -> int:
+        """A hash of the words between two pieces that are not removed by name or mark."""
+        words = " ".join("".join(" " if p is None else p for p, kept in zip(self.pieces[start:end], stays[start:end]) if kept).split())
+        return int.from_bytes(blake2b(words.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+    def copies(self) -> list[int | None]:
+        """Per subtree a hash of what it stands in, the article or the page; None if it counts at each address."""
+        chars = np.array([0] + [len(p) if p else 0 for p in self.pieces]).cumsum()
+        gone = np.zeros(len(self.pieces) + 1, dtype=np.int64)
+        for start, end in self.removed:
+            gone[start] += 1
+            gone[end] -= 1
+        stays = np.cumsum(gone[:-1]) == 0
+        roots = {span: self._text_hash(*span, stays) for span in self.roots}
+        page = self._text_hash(0, len(self.pieces), stays)
+        # Outermost element with most of the page's text, and all around it.
+        most, around = -1, {-1}
+        for k, (name, parent, other, start, end) in enumerate(self._elements):
+            if parent in around and not other and 2 * int(chars[end] - chars[start]) > int(chars[-1]):
+                if name not in ("html", "body"):
+                    most = k
+                    break
+                around.add(k)
+        around |= {k for k, e in enumerate(self._elements) if e[0] in ("html", "body") and e[1] in around}
+        within: list[int | None] = []
+        for k, (name, parent, _, start, end) in enumerate(self._elements):
+            if (start, end) in roots:
+                within.append(roots[start, end])
+            elif parent not in around:
+                within.append(within[parent])
+            else:
+                within.append(page if most in (-1, k) or k in around or name in _FLOW else None)
+        return [within[k] for k in self._owners]
+
     def main_text(self, template: frozenset[int] = frozenset()) -> str:
         """Blocks of the article, or of the whole body where no article is marked."""
         chars = np.array([0] + [len(p) if p else 0 for p in self.pieces]).cumsum()
@@ -231,12 +277,19 @@ def host_of(url: Column) -> Column:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, hashes = [], []
+        rows, hashes, copies = [], [], []
         for k, html in enumerate(batch.column(1)):
-            found = {h for h, _, _ in Page(html.as_py()).subtrees}
+            page = Page(html.as_py())
+            found: dict[int, int | None] = {}
+            for (h, _, _), c in zip(page.subtrees, page.copies()):
+                # Of several places of a subtree one that counts at each address goes first.
+                if found.get(h, 0) is not None:
+                    found[h] = c
             rows += [k] * len(found)
             hashes += found
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(hashes, pa.int64())], ["row", "subtree"])
+            copies += found.values()
+        taken = batch.column(0).take(pa.array(rows, pa.int64()))
+        yield pa.RecordBatch.from_arrays([taken, pa.array(hashes, pa.int64()), pa.array(copies, pa.int64())], ["row", "subtree", "copy"])
 
 
 def _extracted(html: Column, template: Column) -> Column:
@@ -252,17 +305,21 @@ def main_texts(df: DataFrame, id: str = "page_id", url: str = "url", html: str =
     """Per input row: page_id, url, text, n_chars (code points), n_template (template subtrees found).
 
     Null and empty pages have empty text.  Pages without a host share no template.  Null ids
-    pass through; a repeated row is extracted each time and counts as one more page; other columns
+    pass through; a repeated row is extracted each time and counts like a copy at one more address; other columns
     are left out.  An empty table gives an empty result.
     """
     bound_batches(df.sparkSession)
     row = F.xxhash64(column(id), column(url), column(html))
     pages = df.select(column(id).alias("page_id"), column(url).alias("url"), column(html).alias("html"), row.alias("row"))
     found = pages.where(host_of(F.col("url")).isNotNull() & F.col("html").isNotNull()).select(F.struct("row", host_of(F.col("url")).alias("host")).alias("row"), "html")
-    found = found.mapInArrow(_subtrees, "row struct<row:long,host:string>, subtree long")
-    keyed = found.select("row.row", F.xxhash64("row.host", "subtree").alias("site"), "subtree")
+    found = found.mapInArrow(_subtrees, "row struct<row:long,host:string>, subtree long, copy long")
+    keyed = found.select("row.row", F.xxhash64("row.host", "subtree").alias("site"), "subtree", "copy")
     keyed, _ = written(keyed, "subtrees")
-    common = keyed.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages).select("site")
+    often = keyed.groupBy("site").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages).select("site")
+    # Copies with one text count as one page.
+    apart = keyed.join(often, "site").groupBy("site", "copy").agg(F.count(F.lit(1)).alias("n"))
+    pages_of = F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("pages")
+    common = apart.groupBy("site").agg(pages_of).where(F.col("pages") >= min_pages).select("site")
     # A page's own list: as long as the page has subtrees.
     lists = keyed.join(common, "site").groupBy("row").agg(F.collect_set("subtree").alias("template"))
     joined = pages.join(lists, "row", "left")

@@ -86,6 +86,34 @@ def test_copies_of_a_whole_page_keep_their_text(spark):
     assert got == {"A story that was copied to many addresses of one site."}
 
 
+A, B, C = ("The first paragraph of a story.", "A second one, about as long.", "And here the third one ends.")
+COPIED = [
+    f"<div><p>{A}</p><p>{B}</p><p>{C}</p></div>",
+    f"<body><p>{A}</p><p>{B}</p><p>{C}</p></body>",
+    f"<html><body><nav>{'menu ' * 40}</nav><h1>{A}</h1><div><p>{B}</p><div><p>{C}</p></div></div></body></html>",
+    f"<div><p>{A}</p></div><div><p>{B}</p></div><div><p>{C}</p></div>",
+    f"<nav>{'menu ' * 40}</nav><article><p class=a>{A}</p><section id=b><p>{B}</p></section><div role=c>{C}</div></article>",
+    f"<h1>{A}</h1><div class=content><p>{B}</p><p>{C}</p></div>",
+]
+
+
+@pytest.mark.parametrize("html", COPIED)
+def test_copies_keep_every_paragraph(spark, html):
+    rows = [(k, f"http://a.example/{k}", html) for k in range(12)]
+    got = {r.text for r in html_text.main_texts(pages(spark, rows)).collect()}
+    assert got == {f"{A}\n\n{B}\n\n{C}"}
+
+
+def test_template_around_copies_still_goes(spark):
+    """The same box stands in copies and on pages of their own; copies beside it keep their text."""
+    box = "<div class=box><p>Call us any time</p></div>"
+    copied = f"<div>{box}<p>{A}</p><p>{B}</p><p>{C}</p></div>"
+    rows = [(k, f"http://a.example/{k}", copied) for k in range(12)]
+    rows += [(100 + k, f"http://a.example/own{k}", f"<div>{box}<p>Own text {k} of some length.</p><p>And more {k}.</p></div>") for k in range(12)]
+    got = {r.page_id: r.text for r in html_text.main_texts(pages(spark, rows)).collect()}
+    assert got[0] == f"{A}\n\n{B}\n\n{C}" and got[103] == "Own text 3 of some length.\n\nAnd more 3."
+
+
 def digest(payload):
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
