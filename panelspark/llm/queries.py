@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.llm import decontam, html_text, langid, licenses, mixing, near_dup, quality, sharding, token_counts, warc
+from panelspark.llm import conversations, decontam, embeddings, filter_audit, html_text, langid, licenses, mixing, near_dup, quality, sharding, token_counts, warc
 from panelspark.llm.common import column, table
 
 # Where the public vocabularies are installed; a parameter of the operator.
@@ -70,6 +70,18 @@ def license_scan(spark, folder):
     return licenses.scan_licenses(table(spark, folder, "documents"))
 
 
+def near_vectors(spark, folder):
+    return embeddings.near_vectors(table(spark, folder, "embeddings"))
+
+
+def repaired_conversations(spark, folder):
+    return conversations.repair_damaged(table(spark, folder, "conversations"))
+
+
+def filter_interactions(spark, folder):
+    return filter_audit.filter_report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_decontaminate": leaks,
     "op2_main_text": main_text,
@@ -81,6 +93,9 @@ QUERIES = {
     "op8_tokens": tokens,
     "op9_quality": repetition,
     "op10_licenses": license_scan,
+    "op11_vectors": near_vectors,
+    "op12_conversations": repaired_conversations,
+    "op13_filter_audit": filter_interactions,
 }
 
 
@@ -123,4 +138,10 @@ def _mix_sql() -> str:
         (epochs + CASE WHEN c <= part AND tokens > 0 THEN 1 ELSE 0 END)::INTEGER AS copies FROM upto"""
 
 
-ORACLES = {"op5_mix": _mix_sql(), "op10_licenses": licenses.oracle()}
+ORACLES = {
+    "op5_mix": _mix_sql(),
+    "op10_licenses": licenses.oracle(),
+    "op11_vectors": embeddings.oracle(),
+    "op12_conversations": conversations.oracle(),
+    "op13_filter_audit": filter_audit.oracle(),
+}
