@@ -24,10 +24,21 @@ LEVELS = ["Level_1", "Level_2", "Level_3", "Level_4_text"]
 FEEDS = ["A", "B", "C"]
 
 
-def parity(points: str, edges: str, pid: str, unit: str, x: str, y: str) -> str:
-    return f"""SELECT {pid}, {unit} FROM {points} e CROSS JOIN {edges} u GROUP BY {pid}, {unit}
-    HAVING sum(CASE WHEN (u.y1 > e.{y}) <> (u.y2 > e.{y})
-    AND e.{x} < (u.x2 - u.x1) * (e.{y} - u.y1) / nullif(u.y2 - u.y1, 0) + u.x1 THEN 1 ELSE 0 END) % 2 = 1"""
+def parity(points: str, edges: str, pid: str, unit: str, x: str, y: str, exact: bool = True) -> str:
+    """Pairs of points and the units they lie in or on.
+
+    Doubles between 2 ** -6 and 4 are whole multiples of 2 ** -58: in 128-bit integers every
+    product of differences is exact.  Metres do not fit and are compared as doubles, off the borders.
+    """
+
+    def of(c: str) -> str:
+        return f"cast({c} * 288230376151711744e0 AS hugeint)" if exact else c
+
+    side = f"({of('u.x2')} - {of('u.x1')}) * ({of(f'e.{y}')} - {of('u.y1')}) - ({of('u.y2')} - {of('u.y1')}) * ({of(f'e.{x}')} - {of('u.x1')})"
+    near = f"e.{x} BETWEEN least(u.x1, u.x2) AND greatest(u.x1, u.x2) AND e.{y} BETWEEN least(u.y1, u.y2) AND greatest(u.y1, u.y2)"
+    return f"""SELECT {pid}, {unit} FROM (SELECT {pid}, {unit}, u.y1 > e.{y} AS above1, u.y2 > e.{y} AS above2, {side} AS side, {near} AS near
+        FROM {points} e CROSS JOIN {edges} u) x GROUP BY {pid}, {unit}
+    HAVING bool_or(near AND side = 0) OR count(*) FILTER (above1 <> above2 AND (side > 0) = above2 AND side <> 0) % 2 = 1"""
 
 
 @query("points_in_units", parity("{evt}", "{unit_edges}", "event_id", "unit_id", "longitude", "latitude"))
@@ -35,6 +46,11 @@ def points_in_units(i):
     return S.assign_units(i.evt, i.unit_edges, how="inner").select("event_id", "unit_id")
 
 
+@query("border_points", parity("{border_points}", "{sloped_edges}", "event_id", "unit_id", "longitude", "latitude"))
+def border_points(i):
+    return S.assign_units(i.border_points, i.sloped_edges, how="inner").select("event_id", "unit_id")
+
+
 _SIDES = [
     f"((u.x2 - u.x1) * (b.{y} - u.y1) - (u.y2 - u.y1) * (b.{x} - u.x1))" for x in ("xmin", "xmax") for y in ("ymin", "ymax")
 ]
@@ -109,7 +125,7 @@ def _metres(x: str, y: str) -> str:
 _MOVED = parity(
     f"(SELECT DISTINCT cell_id, {_metres('x', 'y')} FROM {{cells_long}})",
     f"(SELECT unit_id, {_metres('x1', 'y1')}, {_metres('x2', 'y2')} FROM {{unit_edges}})",
-    "cell_id", "unit_id", "x", "y",
+    "cell_id", "unit_id", "x", "y", exact=False,
 )
 
 

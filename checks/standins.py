@@ -124,6 +124,21 @@ SELECT * FROM (VALUES
 ) AS t(unit_id, x1, y1, x2, y2)
 """
 
+# Two units along one sloped border, which they walk in opposite directions, and points on and about it.
+_SQL["sloped_edges"] = """
+SELECT * FROM (VALUES
+ ('V1',0.3e0,0.2e0,1.7e0,1.1e0),('V1',1.7e0,1.1e0,0.4e0,1.9e0),('V1',0.4e0,1.9e0,0.3e0,0.2e0),
+ ('V2',1.7e0,1.1e0,0.3e0,0.2e0),('V2',0.3e0,0.2e0,1.9e0,0.1e0),('V2',1.9e0,0.1e0,1.7e0,1.1e0),
+ ('V3',0.1e0,2.0e0,1.9e0,2.0e0),('V3',1.9e0,2.0e0,1.75e0,2.75e0),('V3',1.75e0,2.75e0,0.25e0,3.5e0),('V3',0.25e0,3.5e0,0.1e0,2.0e0),
+ ('V4',1.75e0,2.75e0,1.9e0,2.0e0),('V4',1.9e0,2.0e0,3.0e0,3.5e0),('V4',3.0e0,3.5e0,0.25e0,3.5e0),('V4',0.25e0,3.5e0,1.75e0,2.75e0)
+) AS t(unit_id, x1, y1, x2, y2)
+"""
+_SQL["border_points"] = """
+SELECT event_id, 0.3e0 + (event_id % 1009) / 1009e0 * (1.7e0 - 0.3e0) AS longitude,
+       0.2e0 + (event_id % 1009) / 1009e0 * (1.1e0 - 0.2e0) AS latitude FROM {events} WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, 0.25e0 + (event_id % 65) / 64e0 * 1.5e0, 3.5e0 - (event_id % 65) / 64e0 * 0.75e0 FROM {events} WHERE event_id % 2 = 1
+"""
+
 # One box per nation on the event lattice, with uncovered strips between boxes.
 _SQL["nation_box"] = """
 SELECT r_name AS NAME_0, n_name AS NAME_1, n_nationkey AS nk,

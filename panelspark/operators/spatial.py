@@ -24,6 +24,9 @@ from panelspark.session import written
 
 # Mean sphere radius in metres used by the sinusoidal raster grid (fixed value).
 SINUSOIDAL_RADIUS = 6371007.181
+# Halves the 53 bits of a double; bound of a rounded determinant's error (fixed values).
+SPLITTER = 134217729.0
+SIDE_ERROR = 3.3306690738754716e-16
 # An index with more segments than this is joined by shuffle instead of broadcast.
 BROADCAST_SEGMENTS = 2_000_000
 
@@ -32,30 +35,100 @@ def _tile(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(size)).cast("int")
 
 
-def _crosses(e: Column, px: Column, py: Column) -> Column:
-    """Segment crosses the ray from the point towards larger x."""
-    rise = F.when(e["y2"] != e["y1"], e["y2"] - e["y1"])
-    at_x = (e["x2"] - e["x1"]) * (py - e["y1"]) / rise + e["x1"]
-    return ((e["y1"] > py) != (e["y2"] > py)) & (px < at_x)
+def _two_difference(a: Column, b: Column) -> tuple[Column, Column]:
+    """``a - b`` rounded, and what rounding left out."""
+    d = a - b
+    virtual = a - d
+    return d, (a - (d + virtual)) + (virtual - b)
 
 
-def _touches(e: Column, px: Column, py: Column) -> Column:
-    """Point lies on the segment."""
-    level = (e["x2"] - e["x1"]) * (py - e["y1"]) == (e["y2"] - e["y1"]) * (px - e["x1"])
-    in_x = px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-    in_y = py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-    return level & in_x & in_y
+def _two_product(a: Column, b: Column) -> Column:
+    """``[error, a * b rounded]``; the two add up to the product exactly."""
 
+    def high(v: Column) -> Column:
+        return v * F.lit(SPLITTER) - (v * F.lit(SPLITTER) - v)
 
-def _crossings(segments: Column, px: Column, py: Column) -> Column:
-    return F.size(F.filter(segments, lambda e: F.coalesce(_crosses(e, px, py), F.lit(False))))
+    def low(v: Column) -> Column:
+        return v - high(v)
+
+    p = a * b
+    return F.array(low(a) * low(b) - (((p - high(a) * high(b)) - low(a) * high(b)) - high(a) * low(b)), p)
+
+
+def _sign_of_sum(terms: Column) -> Column:
+    """Exact sign of a sum of doubles, by an expansion whose parts do not overlap."""
+    nothing = F.array().cast("array<double>")
+
+    def carry(done: Column, part: Column) -> Column:
+        total = done["q"] + part
+        virtual = total - done["q"]
+        rest = (done["q"] - (total - virtual)) + (part - virtual)
+        return F.struct(total.alias("q"), F.concat(done["h"], F.array(rest)).alias("h"))
+
+    def add(parts: Column, term: Column) -> Column:
+        start = F.struct(term.alias("q"), nothing.alias("h"))
+        return F.aggregate(
+            parts, start, carry, lambda done: F.filter(F.concat(done["h"], F.array(done["q"])), lambda v: v != 0)
+        )
+
+    # Parts grow in size: the last one has the sign of all.
+    return F.signum(F.coalesce(F.try_element_at(F.aggregate(terms, nothing, add), F.lit(-1)), F.lit(0.0)))
+
+
+def orientation(e: Column, px: Column, py: Column) -> Column:
+    """Side of the line through a segment on which a point lies: 1 left, -1 right, 0 on it, exactly.
+
+    The rounded determinant decides unless it is within its own error bound; then it is summed
+    without error.  Both walks along a border therefore give opposite signs, for every point.
+    """
+    rise_left = (e["x2"] - e["x1"]) * (py - e["y1"])
+    run_right = (e["y2"] - e["y1"]) * (px - e["x1"])
+    sure = F.abs(rise_left - run_right) > F.lit(SIDE_ERROR) * (F.abs(rise_left) + F.abs(run_right))
+    factors = []
+    for a, b, c, d, sign in (
+        (e["x2"], e["x1"], py, e["y1"], 1.0),
+        (e["y2"], e["y1"], px, e["x1"], -1.0),
+    ):
+        factors += [
+            F.struct((F.lit(sign) * u).alias("a"), v.alias("b"))
+            for u in _two_difference(a, b)
+            for v in _two_difference(c, d)
+        ]
+    terms = F.flatten(F.transform(F.array(*factors), lambda f: _two_product(f["a"], f["b"])))
+    return F.when(sure, F.signum(rise_left - run_right)).otherwise(_sign_of_sum(terms))
+
+
+def _meets(e: Column, px: Column, py: Column) -> Column:
+    """2 when the point lies on the segment, 1 when the segment crosses its ray towards larger x, else 0."""
+    lower, upper = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+    left, right = F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])
+    spans = (e["y1"] > py) != (e["y2"] > py)
+    ahead = orientation(e, px, py) * F.signum(e["y2"] - e["y1"])
+    # Only a segment around the point needs its side: the box of the others decides.
+    return (
+        F.when(~py.between(lower, upper) | (px > right), 0)
+        .when(px < left, spans.cast("int"))
+        .otherwise(
+            F.aggregate(
+                F.array(F.when(upper > lower, ahead).otherwise(F.lit(0.0))),
+                F.lit(0),
+                lambda _, side: F.when(side == 0, 2).when((side > 0) & spans, 1).otherwise(0),
+            )
+        )
+    )
 
 
 def _inside(segments: Column, heights: Column, px: Column, py: Column) -> Column:
     """Inside or on the border: a point on a shared border belongs to both units."""
+    met = F.transform(segments, lambda e: F.coalesce(_meets(e, px, py), F.lit(0)))
     right_of_tile = F.size(F.filter(heights, lambda h: h > py))
-    odd = (_crossings(segments, px, py) + right_of_tile) % 2 == 1
-    return odd | F.exists(segments, lambda e: _touches(e, px, py))
+    tally = F.aggregate(
+        met,
+        F.struct(right_of_tile.alias("n"), F.lit(False).alias("on")),
+        lambda t, m: F.struct((t["n"] + F.when(m == 1, 1).otherwise(0)).alias("n"), (t["on"] | (m == 2)).alias("on")),
+        lambda t: t["on"] | (t["n"] % 2 == 1),
+    )
+    return tally
 
 
 def unit_index(

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,57 @@ SHAPES = (
 )
 
 
+def exact_side(edge, px, py):
+    x1, y1, x2, y2, px, py = (Fraction(v) for v in (*edge, px, py))
+    return (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
+
+
+def test_no_point_falls_between_neighbours(spark):
+    """2,000 points along one sloped border, which its two units walk in opposite directions."""
+    a, b = (0.1, 0.3), (3.7, 1.9)
+    units = ring("low", [a, b, (3.9, -1.0), (0.2, -1.1)]) + ring("high", [b, a, (-0.4, 3.0), (3.5, 4.0)])
+    points = []
+    for k in range(2000):
+        t = k / 1999
+        points.append((k, a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+    df = spark.createDataFrame(points, "pid long, longitude double, latitude double")
+    got = {}
+    for pid, unit in found(S.assign_units(df, spark.createDataFrame(units, EDGES), how="inner")):
+        got.setdefault(pid, set()).add(unit)
+    for k, x, y in points:
+        side = exact_side((*a, *b), x, y)
+        inside = a[0] <= x <= b[0] and a[1] <= y <= b[1]
+        if inside:
+            assert got[k] == ({"low", "high"} if side == 0 else {"high"} if side > 0 else {"low"}), k
+    assert any(len(u) == 2 for u in got.values())
+
+
+def test_points_exactly_on_a_border_are_in_both(spark):
+    a, b = (0.25, 3.5), (1.75, 2.75)
+    units = ring("low", [b, a, (0.0, 0.0)]) + ring("high", [a, b, (4.0, 5.0)])
+    points = [(k, a[0] + k / 64 * 1.5, a[1] - k / 64 * 0.75) for k in range(65)]
+    df = spark.createDataFrame(points, "pid long, longitude double, latitude double")
+    got = found(S.assign_units(df, spark.createDataFrame(units, EDGES), how="inner"))
+    assert got == sorted((k, u) for k in range(65) for u in ("low", "high"))
+
+
+def test_orientation_is_exact(spark):
+    rng = random.Random(2)
+    rows = []
+    for k in range(400):
+        x1, y1, dx, dy = (rng.uniform(-180, 180) for _ in range(4))
+        t = rng.choice([0.5, 0.25, rng.random()])
+        rows.append((k, x1, y1, x1 + dx, y1 + dy, x1 + t * dx, y1 + t * dy))
+    rows.append((400, 0.1, 0.1, 0.3, 0.3, 0.2, 0.2))
+    rows.append((401, 1e-30, 1e-30, 1e10, 1e10, 1.0, 1.0))
+    df = spark.createDataFrame(rows, "k long, x1 double, y1 double, x2 double, y2 double, px double, py double")
+    edge = F.struct("x1", "y1", "x2", "y2")
+    got = {r["k"]: r["s"] for r in df.select("k", S.orientation(edge, F.col("px"), F.col("py")).alias("s")).collect()}
+    for k, x1, y1, x2, y2, px, py in rows:
+        side = exact_side((x1, y1, x2, y2), px, py)
+        assert got[k] == (side > 0) - (side < 0), k
+
+
 def found(df):
     return sorted((r["pid"], r["unit_id"]) for r in df.select("pid", "unit_id").collect())
 
