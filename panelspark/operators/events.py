@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.dates import parse_date
 from panelspark.functions.nulls import as_column
+from panelspark.operators.graph import components
 from panelspark.operators.joins import lookup_join, split_join
 from panelspark.session import written
 
-# Open pairs up to which one task finishes a matching.
-TAIL_PAIRS = 50_000
+# Pairs of one component that a task settles; larger components go through rounds first.
+COMPONENT_PAIRS = 50_000
 # Pairs of one window above which the score is walked through in tiers, however few pairs there are in all.
 WINDOW_PAIRS = 1_000_000
 # Copies of one link that are spelled out at a time.
@@ -225,80 +226,104 @@ def _shared_labels(labels: Sequence[str], level: int) -> Column:
     return F.explode(F.array(*tags)).alias("__label")
 
 
-def match_sites(pairs: DataFrame, tail: int = TAIL_PAIRS) -> DataFrame:
+def match_sites(pairs: DataFrame, most: int = COMPONENT_PAIRS) -> DataFrame:
     """Greedy one-to-one matching of copies over scored site pairs.
 
-    Each round keeps the pairs that are each other's best, books as many copies as
-    both still have, and drops exhausted sites.  Best pairs come from a mergeable
-    ``min``, not from sorting a site's pairs in a window.  Each round is written to
-    the shared folder, so a lost executor costs one round at most.  Rounds shrink the
-    open pairs; once ``tail`` or fewer are left, one task takes them in score order,
-    so a long chain of pairs that wait for each other needs no round per link.  Both
-    ways are the same matching: pairs in score order, each as far as copies are left.
+    Pairs that no chain of shared sites links have nothing to do with one another.  Each
+    connected component is therefore settled on its own, in score order, components side by
+    side; a long chain of pairs that wait for each other takes one step of one component.  A
+    component of more than ``most`` pairs first goes through rounds: pairs that are each other's
+    best book as many copies as both still have, exhausted sites drop out, and what is left
+    falls apart into smaller components.  Both ways are the same matching: pairs in score
+    order, each as far as copies are left.  Every step is written to the shared folder.
 
     Returns ``site_a, site_b, copies, used_a, used_b``; ``used`` is the number of
     copies already spent on either side before this match.
     """
+    out = ["site_a", "site_b", "copies", "used_a", "used_b"]
+    live, seen = written(pairs, "pairs", open=F.count(F.lit(1)))
+    booked = []
+    while seen["open"]:
+        ends = live.select(_node("a").alias("a"), _node("b").alias("b"))
+        parts = components(ends, seen["open"])
+        grouped = live.withColumn("__node", _node("a")).join(parts.withColumnRenamed("node", "__node"), "__node").drop("__node")
+        giants = None
+        if seen["open"] > most:
+            grouped, _ = written(grouped, "grouped-pairs")
+            sizes = grouped.groupBy("root").count().where(F.col("count") > most).select("root")
+            giants, found = written(sizes, "giants", rows=F.count(F.lit(1)))
+            giants = giants if found["rows"] else None
+        if giants is not None:
+            giant_pairs = split_join(grouped, giants, ["root"], "left_semi").drop("root")
+            grouped = split_join(grouped, giants, ["root"], "left_anti")
+        ordered = (
+            grouped.withColumns({f"{side}_key": F.to_json(f"site_{side}") for side in "ab"})
+            .repartition("root")
+            .sortWithinPartitions("root", "levels", "metres", "days", "site_a", "site_b")
+        )
+        booked.append(written(ordered.mapInPandas(_settle, live.withColumn("copies", F.lit(0).cast("long")).select(*out).schema), "settled")[0])
+        if giants is None:
+            break
+        state, seen = written(_round(giant_pairs), "round", open=F.count_if(F.col("copies") == 0))
+        booked.append(state.where("copies > 0"))
+        live = state.where("copies = 0").drop("copies")
+    empty = live.withColumn("copies", F.lit(0).cast("long")).select(*out).limit(0)
+    return reduce(DataFrame.unionByName, [b.select(*out) for b in booked], empty)
+
+
+def _node(side: str) -> Column:
+    """A site as a number; two that clash only share a component."""
+    return F.xxhash64(F.lit(side), f"site_{side}")
+
+
+def _round(live: DataFrame) -> DataFrame:
+    """Pairs that are each other's best with the copies they book, and the open rest with none.
+
+    Best pairs come from a mergeable ``min``, not from sorting a site's pairs in a window.
+    """
     # Site ids make the order total; the fields behind them only ride along.
     score = F.struct(
         "levels", "metres", "days", "site_a", "site_b", "free_a", "free_b", "used_a", "used_b"
     )
-    still_open = F.count_if(F.col("copies") == 0)
-    state, seen = written(
-        pairs.withColumn("copies", F.lit(0).cast("long")), "pairs", open=still_open
+    best_a = live.groupBy("site_a").agg(F.min(score).alias("score")).select("score")
+    best_b = live.groupBy("site_b").agg(F.min(score).alias("score")).select("score")
+    won = (
+        best_a.join(best_b, "score", "left_semi")
+        .select("score.*")
+        .withColumn("copies", F.least("free_a", "free_b"))
     )
-    booked = []
-    while seen["open"] > tail:
-        live = state.where("copies = 0").drop("copies")
-        best_a = live.groupBy("site_a").agg(F.min(score).alias("score")).select("score")
-        best_b = live.groupBy("site_b").agg(F.min(score).alias("score")).select("score")
-        won = (
-            best_a.join(best_b, "score", "left_semi")
-            .select("score.*")
-            .withColumn("copies", F.least("free_a", "free_b"))
-        )
-        spent_a = won.select("site_a", F.col("copies").alias("q_a"))
-        spent_b = won.select("site_b", F.col("copies").alias("q_b"))
-        qa, qb = F.coalesce("q_a", F.lit(0)), F.coalesce("q_b", F.lit(0))
-        rest = (
-            live.join(spent_a, "site_a", "left")
-            .join(spent_b, "site_b", "left")
-            .withColumns(
-                {
-                    "free_a": F.col("free_a") - qa,
-                    "free_b": F.col("free_b") - qb,
-                    "used_a": F.col("used_a") + qa,
-                    "used_b": F.col("used_b") + qb,
-                    "copies": F.lit(0).cast("long"),
-                }
-            )
-            .where((F.col("free_a") > 0) & (F.col("free_b") > 0))
-            .drop("q_a", "q_b")
+    spent_a = won.select("site_a", F.col("copies").alias("q_a"))
+    spent_b = won.select("site_b", F.col("copies").alias("q_b"))
+    qa, qb = F.coalesce("q_a", F.lit(0)), F.coalesce("q_b", F.lit(0))
+    rest = (
+        live.join(spent_a, "site_a", "left")
+        .join(spent_b, "site_b", "left")
+        .withColumns(
+            {
+                "free_a": F.col("free_a") - qa,
+                "free_b": F.col("free_b") - qb,
+                "used_a": F.col("used_a") + qa,
+                "used_b": F.col("used_b") + qb,
+                "copies": F.lit(0).cast("long"),
+            }
         )
-        state, seen = written(won.unionByName(rest), "pairs", open=still_open)
-        booked.append(state.where("copies > 0"))
-    out = ["site_a", "site_b", "copies", "used_a", "used_b"]
-    if seen["open"]:
-        ordered = (
-            state.where("copies = 0")
-            .repartition(1)
-            .sortWithinPartitions("levels", "metres", "days", "site_a", "site_b")
-            .withColumns({f"{side}_key": F.to_json(f"site_{side}") for side in "ab"})
-        )
-        settled = ordered.mapInPandas(_settle, state.select(*out).schema)
-        booked.append(written(settled, "tail")[0])
-    empty = state.where("copies > 0").select(*out).limit(0)
-    return reduce(DataFrame.unionByName, [b.select(*out) for b in booked], empty)
+        .where((F.col("free_a") > 0) & (F.col("free_b") > 0))
+        .drop("q_a", "q_b")
+    )
+    return won.unionByName(rest)
 
 
 def _settle(batches):
-    """Book pairs that arrive in score order; remembers two counters per site."""
+    """Book pairs that arrive by component, in score order; remembers two counters per site of one component."""
+    root = None
     free: dict[str, int] = {}
     used: dict[str, int] = {}
     for frame in batches:
         copies = []
         spent: dict[str, list[int]] = {"a": [], "b": []}
         for row in frame.itertuples():
+            if row.root != root:
+                root, free, used = row.root, {}, {}
             sides = {"a": "a" + row.a_key, "b": "b" + row.b_key}
             for side, key in sides.items():
                 if key not in free:

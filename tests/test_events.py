@@ -178,27 +178,41 @@ def test_sources_number_their_entries_independently(spark):
     assert {(r["dataset"], r["event_id"]) for r in E.unique_events(got).collect()} == {("A", 1), ("A", 2), ("B", 2)}
 
 
-@pytest.mark.parametrize("tail", [0, 40])
-def test_rounds_and_tail_are_one_matching(spark, monkeypatch, tail):
+@pytest.mark.parametrize("most", [0, 5, 40])
+def test_rounds_and_components_are_one_matching(spark, monkeypatch, most):
     rows = crowd(200, seed=9, spread=0.1, hot=0.3)
-    monkeypatch.setattr(E.match_sites, "__defaults__", (tail,))
+    monkeypatch.setattr(E.match_sites, "__defaults__", (most,))
     assert links(integrated(spark, rows)) == direct(rows)
 
 
-def test_long_chain_takes_few_steps(spark, monkeypatch):
-    """Every pair but the last waits for a better one beside it."""
-    n, steps = 2000, []
-    chain = spark.range(n).selectExpr(
-        "named_struct('id', (id + 1) div 2, 'of', 'A') as site_a",
-        "named_struct('id', id div 2, 'of', 'B') as site_b",
-        "0 as levels", f"{n} - id as metres", "0 as days",
+def chain_pairs(spark, n, chains):
+    """Chains in which every pair but the last waits for a better one beside it; chains do not touch."""
+    return spark.range(n * chains).selectExpr(
+        f"named_struct('id', (id % {n} + 1) div 2 + id div {n} * {n}, 'of', 'A') as site_a",
+        f"named_struct('id', id % {n} div 2 + id div {n} * {n}, 'of', 'B') as site_b",
+        "0 as levels", f"{n} - id % {n} as metres", "0 as days",
         "1L as free_a", "1L as free_b", "0L as used_a", "0L as used_b",
     )
+
+
+@pytest.mark.parametrize("n, chains", [(2000, 1), (300, 200)])
+def test_long_chains_take_few_steps(spark, monkeypatch, n, chains):
+    steps = []
     real = E.written
     monkeypatch.setattr(E, "written", lambda *a, **k: steps.append(1) or real(*a, **k))
-    got = {(r["site_a"]["id"], r["site_b"]["id"]) for r in E.match_sites(chain).collect()}
-    assert got == {((k + 1) // 2, k // 2) for k in range(n - 1, -1, -2)}
-    assert len(steps) <= 3
+    got = {(r["site_a"]["id"], r["site_b"]["id"]) for r in E.match_sites(chain_pairs(spark, n, chains)).collect()}
+    assert got == {((k + 1) // 2 + c * n, k // 2 + c * n) for k in range(n - 1, -1, -2) for c in range(chains)}
+    assert len(steps) <= 4
+
+
+def test_components_are_settled_side_by_side(spark, monkeypatch):
+    """Pairs go to tasks by component, however few are open."""
+    plans = []
+    real = E.written
+    monkeypatch.setattr(E, "written", lambda df, *a, **k: plans.append(df._jdf.queryExecution().toString()) or real(df, *a, **k))
+    E.match_sites(chain_pairs(spark, 50, 40))
+    settling = [p for p in plans if "_settle" in p]
+    assert settling and all("RepartitionByExpression [root" in p for p in settling)
 
 
 def test_hot_site_with_many_links(spark):
