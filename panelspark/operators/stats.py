@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import RFormula
 from pyspark.ml.regression import LinearRegression
@@ -45,7 +46,8 @@ def nth_values(
     very many values nor a few far outliers make one task sort a whole group.
     """
     at = [*by, "which"]
-    span = values.groupBy(*by).agg(F.min("x").alias("__lo"), F.max("x").alias("__hi"))
+    finite = F.when(F.abs("x") < float("inf"), F.col("x"))
+    span = values.groupBy(*by).agg(F.min(finite).alias("__lo"), F.max(finite).alias("__hi"))
     found = _chosen_bins(
         null_safe_join(values, span, by, "inner"),
         by,
@@ -83,7 +85,9 @@ def _chosen_bins(
 ) -> DataFrame:
     """The bin that holds each target: its extremes, rows, and the weight before it."""
     share = F.try_divide(F.col("x") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    place = F.floor(F.coalesce(share, F.lit(0.0)) * (bins - 1)).cast("int")
+    place = F.floor(F.coalesce(F.nanvl(share, F.lit(0.0)), F.lit(0.0)) * (bins - 1)).cast("int")
+    # Infinite values are bins of their own, so the span between the others is finite.
+    place = F.when(F.col("x") == float("-inf"), -1).when(F.col("x") == float("inf"), bins).otherwise(place)
     cells = (
         values.groupBy(*by, *carried, place.alias("__bin"))
         .agg(
@@ -207,6 +211,31 @@ def linear_trend(
     )
 
 
+def _by_share(xs: DataFrame, by: Sequence[str], bins: int) -> DataFrame:
+    """Values with their bin and the bin's middle and half width; bins hold about equally many distinct values."""
+    shares = [k / bins for k in range(1, bins)]
+    edges = xs.groupBy(*by).agg(
+        F.min("x").alias("__lo"),
+        F.max("x").alias("__hi"),
+        F.percentile_approx("x", shares, 50 * bins).alias("__cuts"),
+    )
+    ends = F.array_distinct(F.concat(F.array("__lo"), F.col("__cuts"), F.array("__hi")))
+    edges = edges.select(*by, ends.alias("__ends"))
+    # The last end closes the last bin.
+    place = F.greatest(F.lit(1), F.least(F.size("__ends") - 1, F.size(F.filter("__ends", lambda e: e <= F.col("x")))))
+    low = F.element_at("__ends", F.col("bin"))
+    high = F.coalesce(F.try_element_at("__ends", F.col("bin") + 1), low)
+    return (
+        null_safe_join(xs, edges, by, "inner")
+        .withColumn("bin", place)
+        .select(*by, "bin", "x", "w", "sy", ((low + high) / 2).alias("mid"), ((high - low) / 2).alias("half"))
+    )
+
+
+# Tricube weights times fourth powers have degree 13; with a response only squares are needed.
+_POWERS, _RESPONSE_POWERS = 14, 12
+
+
 def local_regression(
     df: DataFrame,
     by: Sequence[str],
@@ -216,55 +245,127 @@ def local_regression(
     hi: float,
     points: int = 80,
     span: float = 0.75,
+    bins: int = 128,
 ) -> DataFrame:
     """Local quadratic regression with tricube weights on a fixed grid.
 
     At each grid point the window reaches to the nearest ``span`` share of the
     records, a distance found exactly by :func:`nth_values`.
+
+    On either side of a grid point a tricube weight is a polynomial.  Values are summed once
+    into power moments of ``bins`` bins per group, each about its own middle, in units of its half
+    width, so that nothing cancels.  A bin wholly within one side of a window adds what its
+    moments say; only bins that hold a grid point or a window's end are looked into, and only
+    bins that can hold the distance take part in finding it.
     """
-    xs, _ = written(
+    xs = (
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*by, F.col(x).cast("double").alias("x"))
-        .agg(F.count(F.lit(1)).alias("w"), F.sum(F.col(y).cast("double")).alias("sy")),
-        "value_sums",
+        .agg(F.count(F.lit(1)).alias("w"), F.sum(F.col(y).cast("double")).alias("sy"))
     )
-    step = (hi - lo) / (points - 1)
-    spread = (
-        xs.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("grid_x", F.lit(lo) + F.col("grid") * F.lit(step))
-        .withColumn("d", F.abs(F.col("x") - F.col("grid_x")))
+    xs, _ = written(_by_share(written(xs, "value_sums")[0], by, bins), "binned_values")
+    u = F.when(F.col("half") > 0, (F.col("x") - F.col("mid")) / F.col("half")).otherwise(F.lit(0.0))
+    moments, _ = written(
+        xs.withColumn("u", u)
+        .groupBy(*by, "bin", "mid", "half")
+        .agg(
+            F.min("x").alias("low"),
+            F.max("x").alias("high"),
+            F.sum("w").alias("n"),
+            F.array(*[F.sum(F.col("w") * F.pow("u", F.lit(p))) for p in range(_POWERS)]).alias("m"),
+            F.array(*[F.sum(F.col("sy") * F.pow("u", F.lit(p))) for p in range(_RESPONSE_POWERS)]).alias("my"),
+        ),
+        "moments",
     )
     at = [*by, "grid"]
-    targets = (
-        xs.groupBy(*by)
-        .agg(F.floor(F.sum("w") * F.lit(span) + 1e-5).alias("target"))
-        .withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("which", F.lit("h"))
-    )
-    distances = spread.select(*at, F.col("d").alias("x"), "w")
-    window = nth_values(distances, at, targets).select(*at, F.col("x").alias("h"))
-    t = (F.col("x") - F.col("grid_x")) / F.col("h")
-    kernel = F.pow(1 - F.pow(F.abs(t), F.lit(3)), F.lit(3))
-    k = F.when(F.col("h") > 0, F.when(F.abs(t) < 1, kernel).otherwise(0.0)).otherwise(
-        F.when(F.col("d") == 0, 1.0).otherwise(0.0)
-    )
-    t0 = F.when(F.col("h") > 0, t).otherwise(F.lit(0.0))
-    sums = (
-        null_safe_join(spread, window, at, "inner")
-        .withColumns({"k": k, "t": t0})
-        .groupBy(*at, "grid_x")
-        .agg(
-            *[F.sum(F.col("k") * F.col("w") * F.pow("t", F.lit(p))).alias(f"s{p}") for p in range(5)],
-            *[F.sum(F.col("k") * F.col("sy") * F.pow("t", F.lit(p))).alias(f"y{p}") for p in range(3)],
+    step = (hi - lo) / (points - 1)
+    gap_low, gap_high = F.col("low") - F.col("grid_x"), F.col("grid_x") - F.col("high")
+    # A row per bin and grid point: as many for any number of records.
+    met = (
+        moments.withColumn("grid", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+        .withColumn("grid_x", F.lit(lo) + F.col("grid") * F.lit(step))
+        .withColumns(
+            {
+                "nearest": F.greatest(F.lit(0.0), gap_low, gap_high),
+                "farthest": F.greatest(F.abs(gap_low), F.abs(gap_high)),
+            }
         )
     )
-    s0, s1, s2, s3, s4, y0, y1, y2 = (
-        F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", "y0", "y1", "y2")
+    window = _window_reach(xs, met, by, span)
+    t = (F.col("x") - F.col("grid_x")) / F.col("h")
+    kernel = F.when(F.abs(t) < 1, F.pow(1 - F.pow(F.abs(t), F.lit(3)), F.lit(3))).otherwise(0.0)
+    reached = null_safe_join(met, window, at, "inner").where("h > 0 and nearest < h")
+    whole = (F.col("farthest") <= F.col("h")) & ((F.col("low") >= F.col("grid_x")) | (F.col("high") <= F.col("grid_x")))
+    cut = null_safe_join(xs, reached.where(~whole).select(*by, "bin", "grid", "grid_x", "h"), [*by, "bin"], "inner")
+    sums = [f"s{p}" for p in range(5)] + [f"y{p}" for p in range(3)]
+    from_values = cut.withColumns({"k": kernel, "t": t}).select(
+        *at,
+        *[(F.col("k") * F.col("w") * F.pow("t", F.lit(p))).alias(f"s{p}") for p in range(5)],
+        *[(F.col("k") * F.col("sy") * F.pow("t", F.lit(p))).alias(f"y{p}") for p in range(3)],
     )
+    from_moments = reached.where(whole).select(*at, *_side_sums())
+    total = from_values.unionByName(from_moments).groupBy(*at).agg(*[F.sum(c).alias(c) for c in sums])
+    grid = window.select(*at, (F.lit(lo) + F.col("grid") * F.lit(step)).alias("grid_x"))
+    s0, s1, s2, s3, s4, y0, y1, y2 = (F.col(c) for c in sums)
     det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
     num = y0 * (s2 * s4 - s3 * s3) - s1 * (y1 * s4 - s3 * y2) + s2 * (y1 * s3 - s2 * y2)
     fit = F.when(det > 1e-9 * s0 * s0 * s0, num / det)
-    return sums.select(*by, "grid", "grid_x", fit.alias("fit"))
+    return null_safe_join(grid, total, at, "left").select(*by, "grid", "grid_x", fit.alias("fit"))
+
+
+def _window_reach(xs: DataFrame, met: DataFrame, by: Sequence[str], span: float) -> DataFrame:
+    """``by, grid, h``: distance of each grid point to its nearest ``span`` share of the records.
+
+    Bins that lie wholly nearer than any possible reach are counted, bins wholly beyond it left out.
+    """
+    at = [*by, "grid"]
+    group = W.partitionBy(*at)
+
+    def reached(distance: str) -> Column:
+        return F.sum("n").over(group.orderBy(distance).rangeBetween(W.unboundedPreceding, 0))
+
+    target = F.floor(F.sum("n").over(group) * F.lit(span) + 1e-5)
+    known = met.select(*at, "grid_x", "bin", "n", "nearest", "farthest").withColumns(
+        {"target": target, "at_least": reached("nearest"), "at_most": reached("farthest")}
+    )
+    known = known.withColumns(
+        {
+            "least": F.min(F.when(F.col("at_least") >= F.col("target"), F.col("nearest"))).over(group),
+            "most": F.min(F.when(F.col("at_most") >= F.col("target"), F.col("farthest"))).over(group),
+        }
+    )
+    base = F.coalesce(F.sum(F.when(F.col("farthest") < F.col("least"), F.col("n"))).over(group), F.lit(0))
+    known = known.withColumn("target", F.col("target") - base)
+    able = known.where((F.col("nearest") <= F.col("most")) & (F.col("farthest") >= F.col("least")))
+    able, _ = written(able.select(*at, "bin", "grid_x", "target"), "window_bins")
+    distances = null_safe_join(xs, able, [*by, "bin"], "inner").select(
+        *at, F.abs(F.col("x") - F.col("grid_x")).alias("x"), "w"
+    )
+    targets = able.select(*at, F.lit("h").alias("which"), "target").distinct()
+    return nth_values(distances, at, targets).select(*at, F.col("x").alias("h"))
+
+
+def _side_sums() -> list[Column]:
+    """Weighted sums of a bin on one side of a grid point, from its moments.
+
+    With t = a + b u the powers of t are binomial sums of the moments; the weight is
+    1 - 3 s t^3 + 3 t^6 - s t^9 with s the side.
+    """
+    a = (F.col("mid") - F.col("grid_x")) / F.col("h")
+    b = F.col("half") / F.col("h")
+    side = F.when(F.col("low") >= F.col("grid_x"), 1.0).otherwise(-1.0)
+
+    def power(moments: str, q: int) -> Column:
+        terms = [
+            F.lit(float(math.comb(q, k))) * F.pow(a, F.lit(q - k)) * F.pow(b, F.lit(k)) * F.element_at(moments, k + 1)
+            for k in range(q + 1)
+        ]
+        return reduce(lambda u, v: u + v, terms)
+
+    def weighted(moments: str, p: int) -> Column:
+        return power(moments, p) - 3 * side * power(moments, p + 3) + 3 * power(moments, p + 6) - side * power(moments, p + 9)
+
+    return [weighted("m", p).alias(f"s{p}") for p in range(5)] + [weighted("my", p).alias(f"y{p}") for p in range(3)]
 
 
 def one_factor_ols(df: DataFrame, y: str, factor: str, by: Sequence[str] = ()) -> DataFrame:

@@ -64,6 +64,35 @@ def test_local_regression(sample, frame):
             assert got[g, k] == pytest.approx(fit, rel=1e-7)
 
 
+@pytest.mark.parametrize("bins", [1, 4, 64])
+def test_local_regression_by_moments(spark, bins):
+    """Few and many bins, ties, a far value, one group of a single value: the same as weighting every record."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.round(rng.gamma(2.0, 8.0, 240), 1), [400.0]])
+    y = np.sin(x / 7) + rng.normal(0, 0.2, len(x))
+    rows = [("g", float(a), float(b)) for a, b in zip(x, y)] + [("one", 3.0, 1.0)] * 4
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {(r["g"], r["grid"]): r["fit"] for r in T.local_regression(df, ["g"], "x", "y", 2.0, 60.0, 12, bins=bins).collect()}
+    assert len(got) == 24 and all(got["one", k] is None for k in range(12))
+    for k in range(12):
+        at = 2.0 + k * 58.0 / 11
+        d = np.abs(x - at)
+        h = np.sort(d)[int(len(x) * 0.75 + 1e-5) - 1]
+        t = (x - at) / h
+        w = np.where(np.abs(t) < 1, (1 - np.abs(t) ** 3) ** 3, 0.0)
+        design = np.stack([np.ones(len(x)), t, t * t], 1)
+        beta = np.linalg.solve(design.T @ (design * w[:, None]), design.T @ (w * y))
+        assert got["g", k] == pytest.approx(beta[0], rel=1e-8, abs=1e-9)
+
+
+def test_infinite_values_are_ordered_like_others(spark, monkeypatch):
+    xs = [float("-inf"), *(k / 3 for k in range(500)), float("inf"), float("inf")]
+    values = spark.createDataFrame([("g", x, 1) for x in xs], "g string, x double, w long")
+    targets = spark.createDataFrame([("g", str(t), t) for t in (1, 2, 251, 501, 502)], "g string, which string, target long")
+    got = {int(r["which"]): r["x"] for r in T.nth_values(values, ["g"], targets, bins=8, sort_rows=10).collect()}
+    assert got == {t: xs[t - 1] for t in (1, 2, 251, 501)} | {502: float("inf")}
+
+
 def test_histogram_covers_all(sample, frame):
     rows = T.histogram(frame, ["g"], "x").collect()
     assert sum(r["n"] for r in rows) == len(sample["x"])
