@@ -10,12 +10,11 @@ import math
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import RFormula
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelspark.operators.graph import components
 from panelspark.operators.joins import null_safe_join
 from panelspark.session import written
 
@@ -438,59 +437,215 @@ def student_two_sided(t: float, dof: int) -> float:
     return max(0.0, 1.0 - inside)
 
 
-def two_factor_ols(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
-    """``y ~ factor + factor``: coefficients, standard errors, t and p.
+TERMS = "term string, estimate double, std_error double, t_value double, p_value double"
+# Up to so many levels of the shorter factor its equations are solved at once (8 MB of doubles).
+DENSE_LEVELS = 1024
+CG_ROUNDS = 500
+CG_TOLERANCE = 1e-12
 
-    Records collapse to one row per factor combination, which is all the normal
-    equations need; the within-cell variation enters the residual variance.
+
+def two_factor_ols(
+    df: DataFrame,
+    y: str,
+    factors: Sequence[str],
+    dense_levels: int = DENSE_LEVELS,
+    terms: Sequence[str] | None = None,
+) -> DataFrame:
+    """``y ~ factor + factor``: ``term, estimate, std_error, t_value, p_value``, any number of levels.
+
+    Records collapse to one row per factor combination; within-cell variation enters the residual
+    variance.  The longer factor is eliminated from the normal equations, its levels being
+    independent of one another; what is left has the shorter factor's levels only.  Up to
+    ``dense_levels`` of them are solved at once; beyond that conjugate gradients run over level
+    tables, for the estimates and each wanted term's error side by side.  ``terms`` names the
+    terms that are wanted (all by default).
+
+    The alphabetically first level of each factor is the base.  Without rows the result is
+    empty.  A factor of one level has no terms of its own.  A saturated model has null errors.
+    Where no cell connects two sets of levels, a term that compares them is null.
     """
+    first, second = factors
     cells = (
         df.where(F.col(y).isNotNull())
-        .dropna(subset=list(factors))
-        .groupBy(*[F.col(f).cast("string").alias(f) for f in factors])
-        .agg(
-            F.count(F.lit(1)).cast("double").alias("w"),
-            F.avg(y).alias("y"),
-            F.sum(F.col(y) * F.col(y)).alias("ss"),
-        )
+        .dropna(subset=[first, second])
+        .groupBy(F.col(first).cast("string").alias("f0"), F.col(second).cast("string").alias("f1"))
+        .agg(F.count(F.lit(1)).cast("double").alias("w"), F.avg(y).alias("y"), F.sum(F.col(y) * F.col(y)).alias("ss"))
     )
     cells, _ = written(cells, "factor_cells")
-    formula = RFormula(
-        formula="y ~ " + " + ".join(factors), stringIndexerOrderType="alphabetDesc"
-    ).fit(cells)
-    design = formula.transform(cells)
-    model = LinearRegression(solver="normal", weightCol="w", standardization=False, regParam=0.0).fit(
-        design
+    shape = cells.agg(
+        F.countDistinct("f0").alias("n0"), F.countDistinct("f1").alias("n1"), F.min("f0").alias("b0"), F.min("f1").alias("b1"),
+        F.sum("w").alias("n"), F.count(F.lit(1)).alias("cells"), F.sum(F.col("w") * F.col("y")).alias("sy"),
+    ).first()
+    if not shape["cells"]:
+        return df.sparkSession.createDataFrame([], TERMS)
+    short = 1 if shape["n1"] <= shape["n0"] else 0
+    longer, shorter = factors[1 - short], factors[short]
+    base_i, base_j = shape[f"b{1 - short}"], shape[f"b{short}"]
+    # Centring the response costs the intercept nothing and keeps squares small.
+    centre = shape["sy"] / shape["n"]
+    cells, _ = written(
+        cells.select(
+            F.col(f"f{1 - short}").alias("i"), F.col(f"f{short}").alias("j"), "w", (F.col("y") - centre).alias("y"),
+            (F.col("ss") - F.col("w") * F.col("y") * F.col("y")).alias("within"),
+        ),
+        "model_cells",
+    )
+    sums = cells.groupBy("i").agg(F.sum("w").alias("d"), F.sum(F.col("w") * F.col("y")).alias("wy"))
+    cells, _ = written(cells.join(sums, "i").withColumn("v", F.col("w") / F.col("d")), "shared_cells")
+    parts = components(cells.select(F.xxhash64(F.lit("i"), "i").alias("a"), F.xxhash64(F.lit("j"), "j").alias("b")), shape["cells"])
+    parts, _ = written(parts, "model_parts")
+    sides = parts.groupBy().agg(
+        F.countDistinct("root").alias("parts"),
+        F.max(F.when(F.col("node") == F.xxhash64(F.lit("i"), F.lit(base_i)), F.col("root"))).alias("i"),
+        F.max(F.when(F.col("node") == F.xxhash64(F.lit("j"), F.lit(base_j)), F.col("root"))).alias("j"),
+    ).first()
+
+    # Terms as right-hand sides: contrasts of the shorter factor's levels, plus what the longer one adds.
+    levels_i = cells.groupBy("i").agg(F.first("d").alias("d"))
+    base_d = levels_i.where(F.col("i") == base_i).first()["d"]
+    base_row = cells.where(F.col("i") == base_i).select("j", "v")
+
+    def within(side: str, root) -> Column:
+        return F.xxhash64(F.lit(side), side).alias("node"), F.lit(root).alias("wanted")
+
+    term_i = levels_i.where(F.col("i") != base_i).select(
+        F.concat(F.lit(f"{longer}_"), "i").alias("term"), "i", (1 / F.col("d") + 1 / F.lit(base_d)).alias("own"), *within("i", sides["i"])
     )
-    total = (
-        model.transform(design)
-        .agg(
-            F.sum(
-                F.col("ss")
-                - 2 * F.col("prediction") * F.col("w") * F.col("y")
-                + F.col("w") * F.col("prediction") * F.col("prediction")
-            ).alias("rss"),
-            F.sum("w").alias("n"),
-            F.sum(F.col("w") * (F.col("y") - F.col("prediction")) ** 2).alias("cell_rss"),
-            F.count(F.lit(1)).alias("cells"),
-        )
-        .first()
+    term_j = cells.select("j").distinct().where(F.col("j") != base_j).select(
+        F.concat(F.lit(f"{shorter}_"), "j").alias("term"), "j", F.lit(0.0).alias("own"), *within("j", sides["j"])
     )
-    p = model.numFeatures + 1
-    df_resid = int(total["n"]) - p
-    # Rescale from the variance between cells to the variance between records.
-    cell_var = total["cell_rss"] / (total["cells"] - p)
-    scale = math.sqrt((total["rss"] / df_resid) / cell_var) if cell_var > 0 else float("nan")
-    names = [a["name"] for g in design.schema["features"].metadata["ml_attr"]["attrs"].values() for a in g]
-    estimates = [*model.coefficients.toArray().tolist(), model.intercept]
-    errors = [e * scale for e in model.summary.coefficientStandardErrors]
-    rows = []
-    for term, est, err in zip([*names, "(Intercept)"], estimates, errors):
-        t = est / err if err else float("nan")
-        rows.append((term, est, err, t, student_two_sided(t, df_resid)))
-    return df.sparkSession.createDataFrame(
-        rows, "term string, estimate double, std_error double, t_value double, p_value double"
+    wanted = F.lit(True) if terms is None else F.col("term").isin(list(terms))
+    term_i, term_j = term_i.where(wanted), term_j.where(wanted)
+    intercept = cells.limit(1).select(
+        F.lit("(Intercept)").alias("term"), F.lit(1 / base_d).alias("own"), F.lit(sides["i"]).alias("node"), F.lit(sides["j"]).alias("wanted")
+    ).where(wanted)
+    contrasts = (
+        term_i.join(cells.select("i", "j", "v"), "i").select("term", "j", F.col("v").alias("b"))
+        .union(term_i.select("term").crossJoin(F.broadcast(base_row)).select("term", "j", -F.col("v")))
+        .union(term_j.select("term", "j", F.lit(1.0)))
+        .union(term_j.select("term", F.lit(base_j), F.lit(-1.0)))
+        .union(intercept.select("term").crossJoin(F.broadcast(base_row)))
+        .union(intercept.select("term", F.lit(base_j), F.lit(-1.0)))
+        .groupBy("term", "j").agg(F.sum("b").alias("b"))
     )
+    response = cells.groupBy("j").agg(F.sum(F.col("w") * (F.col("y") - F.col("wy") / F.col("d"))).alias("b"))
+    solve = _dense if min(shape["n0"], shape["n1"]) <= dense_levels else _conjugate
+    effects, spread = solve(cells, response, contrasts)
+    effects, _ = written(effects, "short_effects")
+
+    long_effects = cells.join(effects, "j").groupBy("i").agg(F.sum(F.col("v") * (F.col("y") - F.col("x"))).alias("a"))
+    long_effects, _ = written(long_effects, "long_effects")
+    residual = F.col("y") - F.col("a") - F.col("x")
+    rss = cells.join(effects, "j").join(long_effects, "i").agg(F.sum(F.col("within") + F.col("w") * residual * residual)).first()[0]
+    p = shape["n0"] + shape["n1"] - sides["parts"]
+    dof = int(shape["n"]) - p
+    at_i = long_effects.where(F.col("i") == base_i).first()["a"]
+    at_j = effects.where(F.col("j") == base_j).first()["x"]
+    estimates = (
+        term_i.join(long_effects, "i").select("term", "own", "node", "wanted", (F.col("a") - at_i).alias("estimate"))
+        .union(term_j.join(effects, "j").select("term", "own", "node", "wanted", F.col("x") - at_j))
+        .union(intercept.select("term", "own", "node", "wanted", F.lit(at_i + at_j + centre)))
+    )
+    roots = parts.select("node", "root").union(parts.select("root", "root").distinct()).distinct()
+    known = F.col("root") == F.col("wanted")
+    sigma = math.sqrt(max(rss, 0.0) / dof) if dof > 0 else None
+    error = F.lit(sigma) * F.sqrt(F.greatest(F.lit(0.0), F.col("own") + F.coalesce("spread", F.lit(0.0))))
+    tail = F.pandas_udf(lambda t: t.map(lambda v: student_two_sided(v, dof)).where(t.notna()), "double")
+    out = estimates.join(roots, "node", "left").join(spread, "term", "left").select(
+        "term", F.when(known, F.col("estimate")).alias("estimate"), F.when(known, error).alias("std_error")
+    ).withColumn("t_value", F.try_divide("estimate", "std_error"))
+    return out.withColumn("p_value", tail("t_value"))
+
+
+def _dense(cells: DataFrame, response: DataFrame, contrasts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Effects of the shorter factor, and for each contrast its quadratic form, by one pseudo-inverse.
+
+    The matrix has a row per level of the shorter factor, at most DENSE_LEVELS.  Contrasts are
+    worked on where they are.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = cells.sparkSession
+    names = [r["j"] for r in cells.select("j").distinct().orderBy("j").collect()]
+    place = {j: k for k, j in enumerate(names)}
+    other = cells.select("i", F.col("j").alias("k"), F.col("w").alias("wk"))
+    pairs = cells.join(other, "i").groupBy("j", "k").agg(F.sum(F.col("v") * F.col("wk")).alias("s")).toPandas()
+    totals = cells.groupBy("j").agg(F.sum("w").alias("w")).toPandas()
+    matrix = np.zeros((len(names), len(names)))
+    matrix[pairs["j"].map(place), pairs["k"].map(place)] = -pairs["s"]
+    matrix[totals["j"].map(place), totals["j"].map(place)] += totals["w"]
+    right = np.zeros(len(names))
+    given = response.toPandas()
+    right[given["j"].map(place)] = given["b"]
+    inverse = np.linalg.pinv((matrix + matrix.T) / 2, rcond=1e-11, hermitian=True)
+    effects = spark.createDataFrame([(j, float(x)) for j, x in zip(names, inverse @ right)], "j string, x double")
+    shared = spark.sparkContext.broadcast((place, inverse))
+
+    def quadratic(frames):
+        at, inv = shared.value
+        for frame in frames:
+            out = []
+            for term, js, bs in zip(frame["term"], frame["js"], frame["bs"]):
+                k = [at[j] for j in js]
+                b = np.asarray(bs, dtype=float)
+                out.append((term, float(b @ inv[np.ix_(k, k)] @ b)))
+            yield pd.DataFrame(out, columns=["term", "spread"])
+
+    rows = contrasts.groupBy("term").agg(F.collect_list(F.struct("j", "b")).alias("c"))
+    rows = rows.select("term", F.col("c.j").alias("js"), F.col("c.b").alias("bs"))
+    return effects, rows.mapInPandas(quadratic, "term string, spread double")
+
+
+def _conjugate(cells: DataFrame, response: DataFrame, contrasts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same by conjugate gradients over level tables, all right-hand sides in step.
+
+    A round passes the direction to the longer factor's levels and back: two joins with the
+    cells.  Right-hand sides that have settled drop out; each round is a written table.
+    """
+    diagonal = cells.groupBy("j").agg(F.sum("w").alias("wj"), F.sum(F.col("w") * (1 - F.col("v"))).alias("dj"))
+    diagonal, _ = written(diagonal.withColumn("dj", F.when(F.col("dj") > 1e-12 * F.col("wj"), F.col("dj")).otherwise(F.col("wj"))), "diagonal")
+    sides = response.select(F.lit("").alias("term"), "j", "b").union(contrasts.select("term", "j", "b"))
+    sides, _ = written(sides, "right_sides")
+    zeta = F.col("r") / F.col("dj")
+    state = sides.select("term", "j", F.lit(0.0).alias("x"), F.col("b").alias("r")).join(diagonal, "j")
+    state = state.select("term", "j", "x", "r", zeta.alias("p"), "wj", "dj")
+    rz = state.groupBy("term").agg(F.sum(F.col("r") * zeta).alias("rz"))
+    state, _ = written(state.join(rz, "term").withColumn("rz0", F.col("rz")), "gradient")
+    settled = []
+    for _ in range(CG_ROUNDS):
+        along = cells.join(state.select("term", "j", "p"), "j").groupBy("term", "i").agg(F.sum(F.col("v") * F.col("p")).alias("u"))
+        back = cells.join(along, "i").groupBy("term", "j").agg(F.sum(F.col("w") * F.col("u")).alias("q"))
+        # A direction spreads to levels it has not met yet.
+        both = state.join(back, ["term", "j"], "full").join(diagonal.select("j", F.col("wj").alias("w1"), F.col("dj").alias("d1")), "j")
+        zero = F.lit(0.0)
+        both = both.select(
+            "term", "j", *[F.coalesce(c, zero).alias(c) for c in ("x", "r", "p")], F.col("w1").alias("wj"), F.col("d1").alias("dj"),
+            (F.col("w1") * F.coalesce("p", zero) - F.coalesce("q", zero)).alias("sp"), "rz", "rz0",
+        )
+        both, _ = written(both, "direction")
+        scale = both.groupBy("term").agg(F.sum(F.col("p") * F.col("sp")).alias("psp"), F.max("rz").alias("rz"), F.max("rz0").alias("rz0"))
+        scale = scale.withColumn("alpha", F.coalesce(F.try_divide("rz", "psp"), zero))
+        moved = both.drop("rz", "rz0").join(scale, "term").withColumns(
+            {"x": F.col("x") + F.col("alpha") * F.col("p"), "r": F.col("r") - F.col("alpha") * F.col("sp")}
+        )
+        fresh = moved.groupBy("term").agg(F.sum(F.col("r") * zeta).alias("rz1"))
+        moved = moved.join(fresh, "term").withColumn("open", F.col("rz1") > CG_TOLERANCE**2 * F.col("rz0"))
+        moved = moved.select(
+            "term", "j", "x", "r", (zeta + F.coalesce(F.try_divide("rz1", "rz"), zero) * F.col("p")).alias("p"), "wj", "dj",
+            F.col("rz1").alias("rz"), "rz0", "open",
+        )
+        moved, seen = written(moved, "gradient", open=F.count_if("open"))
+        settled.append(moved.where("not open").select("term", "j", "x"))
+        state = moved.where("open").drop("open")
+        if not seen["open"]:
+            break
+    else:
+        raise ValueError(f"the two factors are too weakly linked: not settled after {CG_ROUNDS} rounds")
+    solved, _ = written(reduce(DataFrame.unionByName, settled), "solved")
+    effects = response.select("j").join(solved.where("term = ''").select("j", "x"), "j", "left").fillna(0.0)
+    spread = contrasts.join(solved, ["term", "j"]).groupBy("term").agg(F.sum(F.col("b") * F.col("x")).alias("spread"))
+    return effects, spread
 
 
 def mixed_moments(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

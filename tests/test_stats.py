@@ -128,6 +128,54 @@ def test_two_factor(sample, frame):
         assert 0 <= rows[term]["p_value"] <= 1
 
 
+@pytest.mark.parametrize("dense", [1024, 0])
+def test_two_factor_unbalanced(spark, dense):
+    """Direct and iterated solutions against the full design matrix."""
+    rng = np.random.default_rng(8)
+    i, j = rng.integers(0, 40, 300), rng.integers(0, 9, 300)
+    y = 0.3 * i - 0.7 * j + rng.normal(0, 1, 300) + 50
+    df = spark.createDataFrame([(f"a{a:02}", f"b{b}", float(v)) for a, b, v in zip(i, j, y)], "a string, b string, y double")
+    got = {r["term"]: r for r in T.two_factor_ols(df, "y", ["b", "a"], dense_levels=dense).collect()}
+    la, lb = sorted(set(i)), sorted(set(j))
+    names = ["(Intercept)"] + [f"a_a{a:02}" for a in la[1:]] + [f"b_b{b}" for b in lb[1:]]
+    design = np.stack([np.ones(300)] + [(i == a).astype(float) for a in la[1:]] + [(j == b).astype(float) for b in lb[1:]], 1)
+    beta, rss, *_ = np.linalg.lstsq(design, y, rcond=None)
+    se = np.sqrt(rss[0] / (300 - len(names)) * np.diag(np.linalg.inv(design.T @ design)))
+    assert set(got) == set(names)
+    for k, name in enumerate(names):
+        assert got[name]["estimate"] == pytest.approx(beta[k], abs=1e-7)
+        assert got[name]["std_error"] == pytest.approx(se[k], rel=1e-7)
+
+
+def test_two_factor_with_more_than_4096_levels(spark):
+    n = 5000
+    df = spark.range(3 * n).selectExpr(f"concat('u', lpad(id % {n}, 5, '0')) as a", f"concat('y', id div {n}) as b", f"0.5 * (id % {n}) + 3 * (id div {n}) + (id * 7 % 11 - 5) / 10 as y")
+    got = {r["term"]: r for r in T.two_factor_ols(df, "y", ["a", "b"]).collect()}
+    assert len(got) == n + 2 and all(r["std_error"] > 0 for r in got.values())
+    y = np.array([[0.5 * k + 3 * t + ((k + t * n) * 7 % 11 - 5) / 10 for t in range(3)] for k in range(n)])
+    assert got["b_y2"]["estimate"] == pytest.approx(y[:, 2].mean() - y[:, 0].mean())
+    assert got["a_u04999"]["estimate"] == pytest.approx(y[-1].mean() - y[0].mean())
+    some = {r["term"] for r in T.two_factor_ols(df, "y", ["a", "b"], terms=["b_y1", "a_u00007"]).collect()}
+    assert some == {"b_y1", "a_u00007"}
+
+
+def test_two_factor_edge_cases(spark):
+    kind = "a string, b string, y double"
+
+    def fit(rows):
+        return {r["term"]: r for r in T.two_factor_ols(spark.createDataFrame(rows, kind), "y", ["a", "b"]).collect()}
+
+    assert fit([]) == {} and fit([("x", None, 1.0), ("x", "y", None)]) == {}
+    one = fit([("x", "p", 1.0), ("x", "q", 3.0), ("x", "q", 5.0)])
+    assert set(one) == {"(Intercept)", "b_q"} and one["b_q"]["estimate"] == pytest.approx(3.0)
+    single = fit([("x", "p", 2.0)])
+    assert set(single) == {"(Intercept)"} and single["(Intercept)"]["estimate"] == pytest.approx(2.0) and single["(Intercept)"]["std_error"] is None
+    saturated = fit([("x", "p", 1.0), ("x", "q", 2.0), ("y", "p", 4.0)])
+    assert saturated["a_y"]["estimate"] == pytest.approx(3.0) and saturated["a_y"]["std_error"] is None and saturated["a_y"]["p_value"] is None
+    apart = fit([("x", "p", 1.0), ("x", "p", 2.0), ("y", "q", 4.0), ("y", "q", 5.0)])
+    assert apart["(Intercept)"]["estimate"] == pytest.approx(1.5) and apart["a_y"]["estimate"] is None and apart["b_q"]["estimate"] is None
+
+
 def test_trend_and_moments(sample, frame):
     line = {r["g"]: r for r in T.linear_trend(frame, ["g"], "x", "y").collect()}
     sums = {r["g"]: r for r in T.mixed_moments(frame, ["g"], "x", "y").collect()}
