@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import time
 from collections import Counter
 
 import pytest
@@ -40,6 +41,47 @@ CASES = [
 ]
 
 
+STORY = "A long story about many things that happened in the town over the years."
+CONTAINERS = [
+    f"<form id=aspnetForm><nav>m</nav><article>{STORY}</article></form>",
+    f"<div class='layout has-sidebar'><article>{STORY}</article></div>",
+    f"<div id=page class='no-ads'><article>{STORY}</article></div>",
+    f"<article class='post widget-area'>{STORY}</article>",
+    f"<main><p class=notice>{STORY}</p></main>",
+    f"<div class=widget-area><p>{STORY}</p></div><div class=sidebar>no</div>",
+    f"<form><div id=comments><article>c1</article><article>c2</article></div><article>{STORY}</article></form>",
+    f"<article>{STORY}</article><article class='ad'>no</article>",
+    f"<div class=page-header><form class=search>no</form></div><article>{STORY}</article><div class=site-footer>no</div>",
+    f"<form>{STORY}<div class=comments>{STORY * 3}</div></form>",
+    f"<body class='login modal'><header><h1>no</h1></header><p>{STORY}</p></body>",
+]
+
+
+@pytest.mark.parametrize("html", CONTAINERS)
+def test_containers_of_the_article_stay(html):
+    assert html_text.Page(html).main_text() == STORY
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "x", '<a "' * 100_000, '<a "' * 100_000 + ">", "<svg/>" * 100_000, "<p>" * 50_000 + "<b>" * 50_000 + "</i>" * 50_000])
+def test_parsing_is_linear(html):
+    start = time.time()
+    html_text.Page(html).main_text()
+    assert time.time() - start < 10  # quadratic ways take minutes
+
+
+def test_counts_alone_find_the_template(spark):
+    """No name or class is looked at: what 30 pages of a host share goes, and only that."""
+    rows, want = [], {}
+    for k in range(60):
+        host = k % 2
+        top = f"<header><ul><li>Site {host}</li><li>About</li></ul></header><nav class=x><p>Menu {host}</p></nav><aside><p>Popular here {host}</p></aside>"
+        foot = f"<footer><p>All rights of {host}</p></footer><div class=cookie><p>We use cookies on {host}</p></div>"
+        rows.append((k, f"http://h{host}.example/{k}", f"<html><head><title>t</title></head><body>{top}<article><h1>Title {k}</h1><p>Own text of page {k}.</p><p>More of {k}, and more of it.</p></article>{foot}</body></html>"))
+        want[k] = f"Title {k}\n\nOwn text of page {k}.\n\nMore of {k}, and more of it."
+    got = {r.page_id: r.text for r in html_text.main_texts(pages(spark, rows), by_name=False).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("html,text", CASES)
 def test_page_text(html, text):
     assert html_text.Page(html).main_text() == text
