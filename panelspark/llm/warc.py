@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,11 @@ VERSION_LINE = re.compile(rb"WARC/[01]\.[0-9]+\r?\n")
 MEMBER = b"\x1f\x8b\x08"
 _HTTP_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n", re.IGNORECASE)
 READ_BYTES = 1 << 20
+FIRST_BYTES = 1 << 9
+# Where a record may begin: a member or, in plain files, a version line.
+VERSION_MARK = re.compile(rb"WARC/")
+MARKS = re.compile(rb"\x1f\x8b\x08|WARC/")
+MARK_BYTES = 5
 # In plain files a header block longer than this is damage, apart from its target address, which has any length.
 MAX_HEADER = 1 << 16
 TARGET = b"warc-target-uri:"
@@ -67,6 +73,10 @@ class Damage(Exception):
     pass
 
 
+class MemberDamage(Damage):
+    """The packed bytes themselves are broken."""
+
+
 def parse_record(data: bytes) -> dict:
     """A whole record (version line to end of block) as fields and block; raises ``Damage``."""
     if not VERSION_LINE.match(data):
@@ -120,6 +130,10 @@ class _Source:
         del self.buffer[:n]
         self.start += n
 
+    def fill(self, n: int) -> None:
+        while len(self.buffer) < n and self.more():
+            pass
+
     def find(self, mark: bytes, at: int) -> int:
         """Place of the next ``mark`` from ``at`` on, reading as far as needed; -1 at the end."""
         while True:
@@ -130,33 +144,55 @@ class _Source:
             if not self.more():
                 return -1
 
+    def seek(self, marks: re.Pattern) -> None:
+        """Cut up to the next mark behind the first byte, or to the end; what is passed is dropped block by block."""
+        self.cut(1)
+        while True:
+            found = marks.search(self.buffer)
+            if found:
+                return self.cut(found.start())
+            self.cut(max(0, len(self.buffer) - MARK_BYTES + 1))
+            if not self.more():
+                return self.cut(len(self.buffer))
 
-def _inflate(source: _Source, at: int) -> tuple[bytes, int]:
-    """The member that begins at ``at`` and the place after it; raises ``Damage``.
 
-    A place that does not open a record gives up after its first bytes, so false marks are cheap.
+class _Member:
+    """The inflated bytes of the member at the front of a source, as a stream.
+
+    Reads little at first, so a false mark is cheap.
     """
-    inflater, out, end = zlib.decompressobj(31), bytearray(), at
-    try:
-        while not inflater.eof:
-            if end == len(source.buffer) and not source.more():
-                raise Damage("cut member")
-            piece = bytes(source.buffer[end : end + READ_BYTES])
-            out += inflater.decompress(piece)
-            end += len(piece)
-            if len(out) >= 5 and out[:5] != b"WARC/":
-                raise Damage("version line")
-    except zlib.error as e:
-        raise Damage("member") from e
-    return bytes(out), end - len(inflater.unused_data)
-
-
-def _header_end(source: _Source, at: int) -> int:
+
+    def __init__(self, source: _Source):
+        self.source, self.end, self.step = source, 0, FIRST_BYTES
+        self.inflater = zlib.decompressobj(31)
+
+    def read(self, _: int) -> bytes:
+        while not self.inflater.eof:
+            if self.end == len(self.source.buffer) and not self.source.more():
+                raise MemberDamage("cut member")
+            piece = bytes(self.source.buffer[self.end : self.end + self.step])
+            self.step = min(2 * self.step, READ_BYTES)
+            try:
+                out = self.inflater.decompress(piece)
+            except zlib.error as e:
+                raise MemberDamage("member") from e
+            self.end += len(piece) - len(self.inflater.unused_data)
+            if out:
+                return out
+        return b""
+
+    def pass_by(self) -> None:
+        """Drop the packed bytes read so far."""
+        self.source.cut(self.end)
+        self.end = 0
+
+
+def _header_end(source: _Source, at: int, most: int) -> int:
     """Place of the blank line after the header at ``at``; raises ``Damage``.
 
-    Only one address is free of the bound, so a false mark is given up soon.
+    Only one address is free of the bound ``most``, so a false mark is given up soon.
     """
-    line, room, addressed = at, MAX_HEADER, False
+    line, room, addressed = at, most, False
     while True:
         while len(source.buffer) - line < len(TARGET) and source.more():
             pass
@@ -175,9 +211,9 @@ def _header_end(source: _Source, at: int) -> int:
         line = end + 1
 
 
-def _plain(source: _Source, at: int) -> tuple[bytes, int]:
+def _plain(source: _Source, at: int, most: int = MAX_HEADER) -> tuple[bytes, int]:
     """The plain record at ``at`` and the place after it."""
-    gap = _header_end(source, at)
+    gap = _header_end(source, at, most)
     found = _HTTP_LENGTH.search(bytes(source.buffer[at : gap + 2]))
     if not found:
         raise Damage("length")
@@ -192,35 +228,99 @@ def _plain(source: _Source, at: int) -> tuple[bytes, int]:
     return data, end
 
 
+def _records(source: _Source) -> Iterator[tuple[str, object]]:
+    """``("record", fields)`` and ``("bad", reason)`` of the member at the front of a source; cuts it off.
+
+    One record to a member is the rule: it counts once the member has ended well.  A member that
+    goes on with further records is read on like a plain archive, each record by its own checks,
+    and its packed bytes are dropped as they are passed.
+    """
+    stream = _Member(source)
+    inner = _Source(stream)
+    waiting = bad = None
+    several = False
+    try:
+        while True:
+            inner.fill(16)
+            ends = len(inner.buffer) - len(inner.buffer.lstrip(b"\r\n"))
+            if ends:
+                inner.cut(ends)
+                continue
+            if not inner.buffer:
+                break
+            opens = VERSION_LINE.match(inner.buffer)
+            try:
+                if not opens:
+                    raise Damage("version line")
+                # A member that inflates may have a header of any length.
+                data, end = _plain(inner, 0, sys.maxsize)
+                fields = parse_record(data)
+            except MemberDamage:
+                raise
+            except Damage as e:
+                if waiting is None and not several and not opens:
+                    raise
+                bad = bad or str(e)
+                inner.seek(VERSION_MARK)
+                continue
+            several = several or waiting is not None or bad is not None
+            if waiting is not None:
+                yield "record", waiting
+            if bad is not None:
+                yield "bad", bad
+            waiting, bad = fields, None
+            inner.cut(end)
+            if several:
+                stream.pass_by()
+    except MemberDamage:
+        if several and waiting is not None:
+            yield "record", waiting
+        raise
+    if bad is not None and not several:
+        raise Damage("length" if waiting is not None else bad)
+    if waiting is not None:
+        yield "record", waiting
+    stream.pass_by()
+    if bad is not None:
+        yield "bad", bad
+
+
 def salvage(stream) -> Iterator[tuple[str, object]]:
     """``("record", fields)`` and ``("gap", (start, end, reason))`` in file order.
 
-    Memory holds one record and what is searched after damage, which is dropped as it is passed.
+    Memory holds one record (packed and not) and one block of what is searched after damage.  Bytes of a
+    gap are those of the file, packed as they are.
     """
     source = _Source(stream)
-    source.more()
     gap: tuple[int, str] | None = None
     while source.buffer or source.more():
-        packed = source.buffer[:1] == MEMBER[:1]
+        source.fill(16)
+        start = source.start
         try:
-            while len(source.buffer) < 16 and source.more():
-                pass
-            if not packed and not VERSION_LINE.match(source.buffer):
-                raise Damage("no record begins here")
-            data, end = _inflate(source, 0) if packed else _plain(source, 0)
-            fields = parse_record(data)
+            if source.buffer[:1] == MEMBER[:1]:
+                for kind, what in _records(source):
+                    if kind == "bad":
+                        gap = gap or (start, what)
+                        continue
+                    if gap is not None:
+                        yield "gap", (gap[0], max(start, gap[0]), gap[1])
+                        gap = None
+                    yield "record", what
+                    start = source.start
+            else:
+                if not VERSION_LINE.match(source.buffer):
+                    raise Damage("no record begins here")
+                data, end = _plain(source, 0)
+                fields = parse_record(data)
+                if gap is not None:
+                    yield "gap", (gap[0], source.start, gap[1])
+                    gap = None
+                source.cut(end)
+                yield "record", fields
         except Damage as e:
-            if gap is None:
-                gap = (source.start, str(e))
+            gap = gap or (source.start, str(e))
             # The next valid start is checked by the next turn of the loop.
-            places = [k for k in (source.find(MEMBER, 1), source.find(b"WARC/", 1)) if k > 0]
-            source.cut(min(places) if places else len(source.buffer))
-            continue
-        if gap is not None:
-            yield "gap", (gap[0], source.start, gap[1])
-            gap = None
-        source.cut(end)
-        yield "record", fields
+            source.seek(MARKS)
     if gap is not None:
         yield "gap", (gap[0], source.start, gap[1])
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import random
 import time
 from collections import Counter
 
@@ -273,3 +274,52 @@ def test_wrong_digest_is_quarantined():
     good = warc.record("response", 2, "u", payload, None, digest(payload))
     got, gaps = read(warc.member(wrong) + warc.member(good))
     assert got == ids(2) and gaps[0][2] == "payload digest"
+
+
+class Counting(io.BytesIO):
+    """A stream that remembers how far it has been read."""
+
+    def read(self, n=-1):
+        self.reached = self.tell() + n
+        return super().read(n)
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_search_after_damage_reads_little_ahead(packed):
+    rng = random.Random(1)
+    payloads = [rng.randbytes(40_000) for _ in range(60)]
+    parts = []
+    for k, payload in enumerate(payloads * 8):
+        data = warc.record("response", k, "u", payload, None, digest(payload))
+        parts.append(warc.member(data, 1) if packed else data)
+    hurt = bytearray(parts[1])
+    hurt[200] ^= 0xFF
+    stream = Counting(parts[0] + bytes(hurt) + b"".join(parts[2:]))
+    found = warc.salvage(stream)
+    seen = [next(found) for _ in range(3)]
+    assert [k for k, _ in seen] == ["record", "gap", "record"] and stream.reached < 4 * warc.READ_BYTES
+    assert len([k for k, _ in found if k == "record"]) == len(parts) - 3
+
+
+def test_many_false_marks_cost_little():
+    parts = archive(True, 40)
+    junk = (warc.MEMBER + b"no member at all" + b"WARC/ no record" + bytes(2000)) * 3000
+    start = time.time()
+    got, gaps = read(parts[0] + junk + b"".join(parts[1:]))
+    assert got == ids(*range(40)) and len(gaps) == 1 and time.time() - start < 20
+
+
+def test_member_of_several_records(monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 501)
+    plain = archive(False, 6)
+    alone = archive(True, 8)
+    data = alone[0] + warc.member(b"".join(plain[1:5])) + alone[7]
+    assert read(data) == (ids(0, 1, 2, 3, 4, 7), [])
+    # A record whose digest differs is left out of the member, the others are not.
+    wrong = plain[2].replace(b"page 2", b"page ?")
+    got, gaps = read(alone[0] + warc.member(plain[1] + wrong + plain[3] + plain[4]) + alone[7])
+    assert got == ids(0, 1, 3, 4, 7) and len(gaps) == 1 and gaps[0][2] in ("digest", "payload digest")
+    # A broken end of such a member costs what cannot be inflated.
+    cut = warc.member(b"".join(plain[1:5]))
+    got, gaps = read(alone[0] + cut[: len(cut) * 2 // 3] + alone[7])
+    assert got[0] == ids(0)[0] and got[-1] == ids(7)[0] and len(gaps) == 1
