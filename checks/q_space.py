@@ -17,8 +17,9 @@ from panelspark.operators import spatial as S
 from panelspark.plans import conflict as X
 from panelspark.plans import covariates as Y
 from panelspark.plans import survey as V
-from panelspark.plans.raster import raster_panel
+from panelspark.plans.raster import raster_panel, read_raster_folder
 from panelspark.plans.survey import UNIT
+from panelspark.session import scratch_path
 
 LEVELS = ["Level_1", "Level_2", "Level_3", "Level_4_text"]
 FEEDS = ["A", "B", "C"]
@@ -71,6 +72,29 @@ _GRID_FILLED = f"""SELECT unit_id, year, col, row, ttime, last_value(pop IGNORE
     FROM ({_GRID_MEANS}) m WINDOW w AS (PARTITION BY unit_id ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
+def _whole(c: str) -> str:
+    return f"cast({c} * 288230376151711744e0 AS hugeint)"
+
+
+def _side(x1: str, y1: str, x2: str, y2: str, px: str, py: str) -> str:
+    return f"sign(({_whole(x2)} - {_whole(x1)}) * ({_whole(py)} - {_whole(y1)}) - ({_whole(y2)} - {_whole(y1)}) * ({_whole(px)} - {_whole(x1)}))"
+
+
+_ENDS_A, _ENDS_B = ("a.x1", "a.y1", "a.x2", "a.y2"), ("b.x1", "b.y1", "b.x2", "b.y2")
+POLYGONS = f"""SELECT gid, unit_id FROM {{diamonds}} a CROSS JOIN {{unit_edges}} b
+    WHERE greatest(a.x1, a.x2) >= least(b.x1, b.x2) AND greatest(b.x1, b.x2) >= least(a.x1, a.x2)
+    AND greatest(a.y1, a.y2) >= least(b.y1, b.y2) AND greatest(b.y1, b.y2) >= least(a.y1, a.y2)
+    AND {_side(*_ENDS_A, 'b.x1', 'b.y1')} * {_side(*_ENDS_A, 'b.x2', 'b.y2')} <= 0
+    AND {_side(*_ENDS_B, 'a.x1', 'a.y1')} * {_side(*_ENDS_B, 'a.x2', 'a.y2')} <= 0
+    UNION SELECT gid, unit_id FROM ({parity('(SELECT gid, x1 AS px, y1 AS py FROM {diamonds})', '{unit_edges}', 'gid, px, py', 'unit_id', 'px', 'py')}) p
+    UNION SELECT gid, unit_id FROM ({parity('(SELECT unit_id AS uid, x1 AS px, y1 AS py FROM {unit_edges})', '(SELECT gid AS cell, x1, y1, x2, y2 FROM {diamonds})', 'uid, px, py', 'cell', 'px', 'py')}) q(unit_id, px, py, gid)"""
+
+
+@query("polygon_pairs", POLYGONS)
+def polygon_pairs(i):
+    return S.polygon_pairs(i.diamonds, i.unit_edges, ["gid"], ["unit_id"])
+
+
 @query(
     "carry_years",
     f"""WITH f AS ({_GRID_FILLED}) SELECT unit_id, cast(year + 1 AS int) AS year, pop, nlights, col, row, ttime FROM
@@ -112,6 +136,16 @@ def _cell_files(i) -> DataFrame:
     return i.cells_long.withColumn("file", F.concat(F.lit("tmax."), month, F.lit("."), year, F.lit(".tif")))
 
 
+@query("raster_folder", f"SELECT * FROM ({ZONAL}) z WHERE year(ymd) IN (1996, 1998)", doubles="value", dates="ymd")
+def raster_folder(i):
+    """Writes one folder of cells per month and reads two years of them back."""
+    path = scratch_path(i.spark, "raster_folder")
+    named = _cell_files(i).withColumn("file", F.regexp_replace("file", r"\\.tif$", ""))
+    named.select("file", "cell_id", "x", "y", "value").write.partitionBy("file").csv(path, header=True)
+    cells = read_raster_folder(i.spark, path, "tmax.", "cell_id long, x double, y double, value double", [1996, 1998])
+    return raster_panel(cells, i.unit_edges, ["unit_id"])
+
+
 @query("raster_panel", ZONAL, doubles="value", dates="ymd")
 def raster_by_file(i):
     return raster_panel(_cell_files(i), i.unit_edges, ["unit_id"], file_name="file")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks.registry import query
@@ -21,9 +24,9 @@ from panelspark.operators import reshape as R
 from panelspark.operators.panel import month_skeleton, on_skeleton
 from panelspark.operators.spatial import admin_layer, replacement_layer
 from panelspark.plans.survey import UNIT, clean_children, household_recodes
-from panelspark.session import scratch_path
+from panelspark.session import scratch_path, shared_root
 from panelspark.sources import files
-from panelspark.sources.boundaries import boundary_edges
+from panelspark.sources.boundaries import boundary_edges, read_layer
 from panelspark.sources.surveys import attach_coordinates, choose_surveys, load_chosen
 
 MONTHS = R.month_names(FIRST_MONTH, LAST_MONTH)
@@ -124,6 +127,36 @@ def q_boundary_edges(i):
     return boundary_edges(layer, ["unit_id"])
 
 
+_OUTLINE = """SELECT NAME_0, cast(NULL AS string) AS NAME_1, 0 AS level, min(xa) AS xa, max(xb) AS xb, min(ya) AS ya, max(yb) AS yb FROM {nation_box} GROUP BY NAME_0
+    UNION ALL SELECT NAME_0, NAME_1, 1, xa, xb, ya, yb FROM {nation_box}"""
+_CORNERS = "(VALUES (0,0,0,1,0),(1,1,0,1,1),(2,1,1,0,1),(3,0,1,0,0)) AS e(pos, a, b, c, d)"
+
+
+@query(
+    "layer_levels",
+    f"""SELECT level, NAME_0, NAME_1, pos, CASE WHEN a = 1 THEN xb ELSE xa END AS x1, CASE WHEN b = 1 THEN yb ELSE ya END AS y1,
+    CASE WHEN c = 1 THEN xb ELSE xa END AS x2, CASE WHEN d = 1 THEN yb ELSE ya END AS y2
+    FROM ({_OUTLINE.replace("AS string", "AS varchar")}) o CROSS JOIN {_CORNERS}
+    WHERE level = 0 AND NAME_0 IN ('ASIA', 'EUROPE') OR level = 1 AND NAME_0 IN ('AFRICA', 'ASIA')""",
+    doubles="x1 y1 x2 y2",
+)
+def layer_levels(i):
+    """Writes one file per country and level and reads two countries of each level back."""
+    path = scratch_path(i.spark, "layers")
+    ends = [("xa", "ya"), ("xb", "ya"), ("xb", "yb"), ("xa", "yb"), ("xa", "ya")]
+    ring = F.array(*[F.array(x, y) for x, y in ends])
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("NAME_0", "NAME_1").alias("properties"), geometry.alias("geometry"))
+    files = i.table(_OUTLINE).groupBy(F.concat_ws("_", "NAME_0", "level").alias("layer")).agg(
+        F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value")
+    )
+    files.repartition("layer").write.partitionBy("layer").text(path)
+    names = {"NAME_0": "NAME_0", "NAME_1": "NAME_1"}
+    outer = read_layer(i.spark, path, names, ["ASIA", "EUROPE"], 0).withColumn("level", F.lit(0))
+    inner = read_layer(i.spark, path, names, ["AFRICA", "ASIA"], 1).withColumn("level", F.lit(1))
+    return boundary_edges(outer.unionByName(inner), ["level", *UNIT]).drop("part", "ring")
+
+
 @query(
     "adm_layer",
     """SELECT NAME_0, NAME_1 FROM {layer_base} WHERE NAME_0 IN ('AFRICA', 'ASIA', 'EUROPE') AND ENGTYPE_1 <> 'Water body'
@@ -179,6 +212,29 @@ def roundtrip(i):
     return files.load_table(i.spark, path).select("NAME_0", "NAME_1", "ymd", "rain", "temp", "veg")
 
 
+@query(
+    "product_waves",
+    """SELECT NAME_0, NAME_1, ymd, rain, lag(rain) OVER (PARTITION BY NAME_0, NAME_1 ORDER BY ymd) AS rain_before, veg FROM
+    (SELECT NAME_0, NAME_1, ymd, CASE WHEN year(ymd) = 1996 THEN rain + 1000 ELSE rain END AS rain FROM {panel}) p JOIN
+    (SELECT NAME_0, NAME_1, ymd, veg FROM {panel}) v USING (NAME_0, NAME_1, ymd)""",
+    doubles="rain rain_before veg",
+    dates="ymd",
+)
+def product_waves(i):
+    """Two products in buckets, one year of one of them rewritten; the window and the join follow the layout."""
+    tag = uuid.uuid4().hex
+    wave = i.panel.withColumn("wave", F.year("ymd"))
+
+    def save(df, name):
+        return files.save_product(df, f"{name}_{tag}", f"{shared_root(i.spark)}/{name}-{tag}", UNIT, "wave", 8)
+
+    save(wave.select(*UNIT, "ymd", "rain", "wave"), "rain")
+    rain = save(wave.where("wave = 1996").select(*UNIT, "ymd", (F.col("rain") + 1000).alias("rain"), "wave"), "rain")
+    veg = save(wave.select(*UNIT, "ymd", "veg", "wave"), "veg")
+    before = F.lag("rain").over(W.partitionBy(*UNIT).orderBy("ymd")).alias("rain_before")
+    return rain.join(veg.select(*UNIT, "ymd", "veg"), [*UNIT, "ymd"]).select(*UNIT, "ymd", "rain", before, "veg")
+
+
 # ---- projection and reshape ----------------------------------------------------
 
 

@@ -229,6 +229,14 @@ FROM (SELECT o_custkey % 64 AS gid, cast(year(o_orderdate) AS int) AS yr, count(
       FROM {orders} GROUP BY o_custkey % 64, cast(year(o_orderdate) AS int)) g
 """
 
+# Diamond cells about the middles of the grid boxes; neighbours overlap, some touch units at a point.
+_SQL["diamonds"] = """
+SELECT gid, cx + 15e-2 AS x1, cy AS y1, cx AS x2, cy + 2e-1 AS y2 FROM (SELECT gid, xmin + 125e-3 AS cx, ymin + 125e-3 AS cy FROM {grid}) a
+UNION ALL SELECT gid, cx, cy + 2e-1, cx - 15e-2, cy FROM (SELECT gid, xmin + 125e-3 AS cx, ymin + 125e-3 AS cy FROM {grid}) b
+UNION ALL SELECT gid, cx - 15e-2, cy, cx, cy - 2e-1 FROM (SELECT gid, xmin + 125e-3 AS cx, ymin + 125e-3 AS cy FROM {grid}) c
+UNION ALL SELECT gid, cx, cy - 2e-1, cx + 15e-2, cy FROM (SELECT gid, xmin + 125e-3 AS cx, ymin + 125e-3 AS cy FROM {grid}) d
+"""
+
 # Units with type, and a substitute layer whose columns are named differently.
 _SQL["layer_base"] = """
 SELECT r_name AS NAME_0, concat(n_name, '/', s_name) AS NAME_1,

@@ -12,6 +12,8 @@ from panelspark.session import written
 
 # A side up to this many rows is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+# Rows of one key and source that are gathered into one row.
+DUPLICATES = 1000
 KEEPS_BIG = ("inner", "left", "left_semi", "left_anti")
 
 
@@ -96,9 +98,52 @@ def split_join(
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
-def full_join(dfs: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Full outer join of several panels on shared keys."""
-    return reduce(lambda a, b: a.join(b, list(keys), "full"), dfs)
+def full_join(dfs: Sequence[DataFrame], keys: Sequence[str], many: int = DUPLICATES) -> DataFrame:
+    """Full outer join of several panels on shared keys, in one shuffle.
+
+    All sources are stacked, each under a column of its own, and gathered by key once; a key that
+    occurs several times gives every combination, as a chain of joins would.  Keys are never
+    matched when one of them is NULL.  Keys with more than ``many`` rows in a source
+    do not fit one row: they are joined source by source, the hot ones split.
+    """
+    keys = list(keys)
+    rest = [[c for c in df.columns if c not in keys] for df in dfs]
+    taken = [c for cols in rest for c in cols]
+    if len(set(taken)) < len(taken):
+        raise ValueError("panels share columns besides the keys")
+    # The first panel's types hold for the keys, as far as they can take the others.
+    parts = [
+        df.select(*keys, F.lit(n).alias("__n"), F.struct(F.lit(True).alias("__is"), *cols).alias(f"__p{n}"))
+        for n, (df, cols) in enumerate(zip(dfs, rest))
+    ]
+    stacked, _ = written(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "panels")
+    full = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    fields = [F.col(f"__p{n}.{_quoted(c)}").alias(c) for n, cols in enumerate(rest) for c in cols]
+    hot, found = written(
+        stacked.where(full).groupBy(*keys, "__n").count().where(F.col("count") > many).select(*keys).distinct(),
+        "many",
+        rows=F.count(F.lit(1)),
+    )
+    usual = stacked.where(full)
+    if found["rows"]:
+        usual = split_join(usual, hot, keys, "left_anti")
+    gathered = usual.groupBy(*keys).agg(*[F.collect_list(f"__p{n}").alias(f"__p{n}") for n in range(len(dfs))])
+    for n in range(len(dfs)):
+        gathered = gathered.withColumn(f"__p{n}", F.explode_outer(f"__p{n}"))
+    out = [gathered.select(*keys, *fields), stacked.where(~full).select(*keys, *fields)]
+    if found["rows"]:
+        crowded, _ = written(split_join(stacked.where(full), hot, keys, "left_semi"), "crowded")
+        sides = []
+        for n in range(len(dfs)):
+            mine = crowded.where(F.col("__n") == n).select(*keys, f"__p{n}")
+            # Sources without the key stand in with an empty row, so that every join finds one.
+            sides.append(mine.unionByName(hot.join(mine.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True))
+        out.append(reduce(lambda a, b: split_join(a, b, keys), sides).select(*keys, *fields))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def natural_full_join(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -304,6 +304,61 @@ def box_units(
     return met.unionByName(within).distinct()
 
 
+def polygon_pairs(
+    left: DataFrame,
+    right: DataFrame,
+    left_unit: Sequence[str],
+    right_unit: Sequence[str],
+    tile: float = 0.25,
+) -> DataFrame:
+    """Pairs of units of two edge tables whose areas or borders meet, for any polygons.
+
+    Two units meet when a segment of one meets a segment of the other, or when a ring of one lies
+    inside the other, which any of its points decides.  Segments are compared where they
+    share a tile, by exact sides, so units that only touch are found from both walks of a border.
+    Unit columns of the two tables have different names.
+    """
+    left_unit, right_unit = list(left_unit), list(right_unit)
+
+    def tiled(edges: DataFrame, unit: list[str], side: str) -> DataFrame:
+        x0, x1 = F.least("x1", "x2"), F.greatest("x1", "x2")
+        y0, y1 = F.least("y1", "y2"), F.greatest("y1", "y2")
+        return (
+            edges.withColumn("__tx", F.explode(F.sequence(_tile(x0, tile), _tile(x1, tile))))
+            .withColumn("__ty", F.explode(F.sequence(_tile(y0, tile), _tile(y1, tile))))
+            .select(*unit, "__tx", "__ty", F.struct("x1", "y1", "x2", "y2").alias(side))
+        )
+
+    a, b = F.col("__a"), F.col("__b")
+
+    def overlap(c: str) -> Column:
+        return (F.greatest(a[f"{c}1"], a[f"{c}2"]) >= F.least(b[f"{c}1"], b[f"{c}2"])) & (
+            F.greatest(b[f"{c}1"], b[f"{c}2"]) >= F.least(a[f"{c}1"], a[f"{c}2"])
+        )
+
+    def parted(line: Column, other: Column) -> Column:
+        """Both ends of ``other`` lie on the same side of a segment's line."""
+        return orientation(line, other["x1"], other["y1"]) * orientation(line, other["x2"], other["y2"]) > 0
+
+    near = split_join(tiled(left, left_unit, "__a"), tiled(right, right_unit, "__b"), ["__tx", "__ty"])
+    met = near.where(overlap("x") & overlap("y")).where(~parted(a, b) & ~parted(b, a)).select(*left_unit, *right_unit)
+
+    def inside(rings: DataFrame, unit: list[str], edges: DataFrame, other: list[str]) -> DataFrame:
+        """One point per ring where rings are told apart, else every point."""
+        ring = [c for c in ("part", "ring") if c in rings.columns]
+        points = rings.select(*unit, F.col("x1").alias("__x"), F.col("y1").alias("__y"))
+        if len(ring) == 2:
+            points = rings.groupBy(*unit, *ring).agg(F.min(F.struct("x1", "y1")).alias("__p"))
+            points = points.select(*unit, F.col("__p.x1").alias("__x"), F.col("__p.y1").alias("__y"))
+        return assign_units(points.distinct(), edges, other, "__x", "__y", "inner", tile).select(*left_unit, *right_unit)
+
+    return (
+        met.unionByName(inside(left, left_unit, right, right_unit))
+        .unionByName(inside(right, right_unit, left, left_unit))
+        .distinct()
+    )
+
+
 def zonal_mean(
     cells: DataFrame,
     edges: DataFrame,

@@ -1,10 +1,11 @@
-"""Boundary layers: GeoJSON text to edge tables."""
+"""Boundary layers: folders of GeoJSON files, GeoJSON text to edge tables."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _POLYGON = "array<array<array<double>>>"
@@ -24,18 +25,67 @@ def _shape(body: Column) -> Column:
     )
 
 
+def _geometry(body: Column) -> Column:
+    """The geometry of a feature; other text as it is."""
+    feature = F.get_json_object(body, "$.type") == "Feature"
+    return F.when(feature, F.get_json_object(body, "$.geometry")).otherwise(body)
+
+
+def _collected(body: Column) -> Column:
+    """Like ``_shape``, geometry collections taken apart as well."""
+    members = F.from_json(F.get_json_object(body, "$.geometries"), "array<string>")
+    together = F.flatten(F.filter(F.transform(members, _shape), lambda m: m.isNotNull()))
+    return F.when(F.get_json_object(body, "$.type") == "GeometryCollection", together).otherwise(_shape(body))
+
+
 def parse_geometry(text: Column | str) -> Column:
     """GeoJSON text as one multipolygon (array of polygons of rings).
 
-    Takes polygons, multipolygons, features and collections of them.  A null text or a
-    feature without geometry is NULL; points, lines and other text raise.
+    Takes polygons, multipolygons, geometry collections, features and feature collections of them.  A null
+    text or a feature without geometry is NULL and adds nothing to a collection; points, lines and
+    other text raise.
     """
     body = F.col(text) if isinstance(text, str) else text
-    feature = F.get_json_object(body, "$.type") == "Feature"
-    body = F.when(feature, F.get_json_object(body, "$.geometry")).otherwise(body)
-    members = F.from_json(F.get_json_object(body, "$.geometries"), "array<string>")
-    together = F.flatten(F.transform(members, _shape))
-    return F.when(F.get_json_object(body, "$.type") == "GeometryCollection", together).otherwise(_shape(body))
+    features = F.from_json(F.get_json_object(body, "$.features"), "array<string>")
+    parts = F.filter(F.transform(features, lambda f: _collected(_geometry(f))), lambda m: m.isNotNull())
+    return F.when(F.get_json_object(body, "$.type") == "FeatureCollection", F.flatten(parts)).otherwise(_collected(_geometry(body)))
+
+
+def read_layer(
+    spark: SparkSession,
+    path: str,
+    properties: Mapping[str, str],
+    countries: Sequence[str] | None = None,
+    level: int | None = None,
+    pattern: str = "{country}_{level}",
+    types: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """One row per feature of a folder of GeoJSON files: the wanted properties and ``geometry`` text.
+
+    ``properties`` maps column names to property names; a property that a file lacks is NULL.
+    ``types`` casts columns, unreadable values to NULL.  Files hold one FeatureCollection or Feature each.
+
+    Files lie by country and administrative level, and their path says so: ``pattern`` stands
+    between separators (``/ _ . - =``) of the path.  ``countries`` and ``level`` choose files
+    before anything is read.
+    """
+    types = dict(types or {})
+    feature = "struct<type:string,properties:map<string,string>,geometry:string>"
+    schema = f"type string, features array<{feature}>, properties map<string,string>, geometry string"
+    files = spark.read.schema(schema).json(path, multiLine=True)
+    if countries is not None or level is not None:
+        names = "(?:" + "|".join(map(re.escape, countries)) + ")" if countries is not None else "[A-Za-z]+"
+        number = "[0-9]+" if level is None else str(level)
+        wanted = re.escape(pattern).replace(re.escape("{country}"), names).replace(re.escape("{level}"), number)
+        files = files.where(F.col("_metadata.file_path").rlike(f"[/_.=-]{wanted}(?:[/_.=-]|$)"))
+    alone = F.array(F.struct("type", "properties", "geometry").cast(feature))
+    rows = files.select(F.explode(F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(alone)).alias("f"))
+
+    def value(column: str, name: str) -> Column:
+        text = F.try_element_at("f.properties", F.lit(name))
+        return (text.try_cast(types[column]) if column in types else text).alias(column)
+
+    return rows.select(*[value(c, n) for c, n in properties.items()], F.col("f.geometry").alias("geometry"))
 
 
 def boundary_edges(layer: DataFrame, unit: Sequence[str], geometry: str = "geometry") -> DataFrame:

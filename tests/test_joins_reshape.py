@@ -114,3 +114,27 @@ def test_fallback_and_patterns(spark):
     assert R.with_fallback(df, {"iso": "NAME_0"}).columns[0] == "NAME_0"
     assert R.select_matching(df, ["gpw"], "mean", keep=["iso"]).columns == ["iso", "gpw_2000_mean"]
     assert R.select_present(df, ["iso", "missing"]).columns == ["iso"]
+
+
+def panels(spark):
+    a = spark.createDataFrame([("x", 1, 5), ("x", 1, 6), ("y", 2, 7), (None, 1, 8), ("z", 9, None)], "k string, m int, a int")
+    b = spark.createDataFrame([("x", 1, 50), ("x", 1, 60), ("x", 1, 70), (None, 1, 80), ("w", 4, 90)], "k string, m int, b int")
+    c = spark.createDataFrame([("w", 4, 900), ("y", 2, 700), ("y", 2, 701)], "k string, m int, c int")
+    return a, b, c
+
+
+@pytest.mark.parametrize("many", [1000, 2, 0])
+def test_full_join_equals_the_chain(spark, many):
+    """Duplicates, NULL keys and NULL values; gathered, and with hot keys joined apart."""
+    a, b, c = panels(spark)
+    chain = a.join(b, ["k", "m"], "full").join(c, ["k", "m"], "full")
+    assert bag(J.full_join([a, b, c], ["k", "m"], many), "k", "m", "a", "b", "c") == bag(chain, "k", "m", "a", "b", "c")
+    assert bag(J.full_join([a, b.limit(0)], ["k", "m"], many), "k", "m", "a", "b") == bag(a.join(b.limit(0), ["k", "m"], "full"), "k", "m", "a", "b")
+
+
+def test_full_join_shuffles_once(spark):
+    a, b, c = panels(spark)
+    joined = J.full_join([a, b, c], ["k", "m"])
+    assert joined._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -1,12 +1,16 @@
 """Readers and writers on files the test makes."""
 
+import json
+import uuid
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.operators.reshape import name_months
+from panelspark.plans.raster import read_raster_folder
 from panelspark.session import scratch_path, shared_root, written
-from panelspark.sources import files
+from panelspark.sources import boundaries, files
 from panelspark.sources.surveys import attach_coordinates, choose_surveys, load_chosen
 
 
@@ -58,6 +62,94 @@ def test_ragged(spark, tmp_path):
     assert df.select("source_file").distinct().count() == 2
 
 
+def test_ragged_files_are_scanned_by_header(spark, tmp_path):
+    """A thousand files of three kinds, one of them empty: three scans."""
+    kinds = ["NAME_0,x\nA,1\n", 'NAME_0,"y, quoted"\nB,2\n', "z,NAME_0\n3,C\n"]
+    for k in range(999):
+        (tmp_path / f"part {k}%.csv").write_text(kinds[k % 3])
+    (tmp_path / "empty.csv").write_text("")
+    df = files.read_ragged(spark, [str(tmp_path)], {"NAME_0": "string"})
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
+    got = df.groupBy("NAME_0", "x", "`y, quoted`", "z").count().collect()
+    assert sorted(map(tuple, got), key=str) == [("A", 1.0, None, None, 333), ("B", None, 2.0, None, 333), ("C", None, None, 3.0, 333)]
+    assert df.select("source_file").distinct().count() == 999
+
+
+def feature(name, *corners):
+    return {"type": "Feature", "properties": {"NAME_1": name, "n": 7}, "geometry": {"type": "Polygon", "coordinates": [[list(c) for c in corners]]}}
+
+
+def test_layers_by_country_and_level(spark, tmp_path):
+    square, far = [(0, 0), (1, 0), (1, 1), (0, 0)], [(5, 5), (6, 5), (6, 6), (5, 5)]
+    layers = {
+        "adm_KEN_1.json": {"type": "FeatureCollection", "features": [feature("a", *square), feature("b", *far)]},
+        "adm_KEN_2.json": {"type": "FeatureCollection", "features": [feature("a.1", *square)]},
+        "adm_UGA_1.json": feature("c", *far),
+        "adm_UGA_11.json": {"type": "FeatureCollection", "features": []},
+        "adm_TZA_1.json": "broken",
+    }
+    for name, body in layers.items():
+        (tmp_path / name).write_text(json.dumps(body, indent=1))
+    columns = {"NAME_1": "NAME_1", "n": "n", "none": "absent"}
+
+    def names(**chosen):
+        return sorted(r["NAME_1"] for r in boundaries.read_layer(spark, str(tmp_path), columns, **chosen).collect())
+
+    assert names(countries=["KEN", "UGA"], level=1) == ["a", "b", "c"]
+    assert names(countries=["KEN"]) == ["a", "a.1", "b"] and names(countries=["UGA"], level=2) == []
+    layer = boundaries.read_layer(spark, str(tmp_path), columns, ["KEN"], 1, types={"n": "int"})
+    assert [(r["n"], r["none"]) for r in layer.collect()] == [(7, None)] * 2
+    edges = boundaries.boundary_edges(layer, ["NAME_1"])
+    assert edges.count() == 6
+    whole = spark.createDataFrame([(json.dumps(layers["adm_KEN_1.json"]),)], "geometry string")
+    assert boundaries.boundary_edges(whole, []).agg(F.max("part"), F.count("*")).first()[:] == (1, 6)
+    # Files that are not chosen are not opened.
+    scan = boundaries.read_layer(spark, str(tmp_path), columns, ["KEN"], 1)
+    assert {f.rsplit("/", 1)[1] for f in scan.select(F.col("NAME_1"), F.input_file_name().alias("f")).toPandas()["f"]} == {"adm_KEN_1.json"}
+
+
+def test_raster_folder_prunes_years(spark, tmp_path):
+    for year in (1998, 1999):
+        for month in ("April", "December"):
+            (tmp_path / f"tmax.{month}.{year}.csv").write_text("cell_id,x,y,value\n1,0.5,0.5,2.5\n2,0.5,0.5,NA\n")
+    (tmp_path / "tmax.readme.csv").write_text("no cells\n")
+    schema = "cell_id long, x double, y double, value double"
+    cells = read_raster_folder(spark, str(tmp_path), "tmax.", schema, [1999])
+    assert sorted({(str(r["ymd"]), r["value"]) for r in cells.collect()}, key=str) == [("1999-04-01", 2.5), ("1999-04-01", None), ("1999-12-01", 2.5), ("1999-12-01", None)]
+    cells.write.format("noop").mode("overwrite").save()
+    read = cells._jdf.queryExecution().executedPlan().toString()
+    assert "_metadata" in read or "file_path" in read
+    assert read_raster_folder(spark, str(tmp_path), "tmax.", schema).select("ymd").distinct().count() == 4
+    assert files_read(cells) == 2
+
+
+def files_read(df):
+    """Number of files that the scan of a plan has opened."""
+    execution = df._jdf.queryExecution()
+    execution.executedPlan().executeCollect()
+    plan = execution.executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().get("numFiles").get().value()
+
+
+def test_product_keeps_its_layout_and_rewrites_one_wave(spark):
+    tag, path = f"product_{uuid.uuid4().hex}", scratch_path(spark, "product")
+    rows = [(f"c{k % 3}", f"u{k % 7}", w, float(k)) for k in range(42) for w in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "NAME_0 string, NAME_1 string, wave int, v double")
+    keys = ["NAME_0", "NAME_1"]
+    files.save_product(df, tag, path, keys, "wave", 4)
+    files.save_product(df.where("wave = 2").withColumn("v", F.col("v") + 1000), tag, path, keys, "wave", 4)
+    table = spark.table(tag)
+    assert {r["wave"]: r["s"] for r in table.groupBy("wave").agg(F.sum("v").alias("s")).collect()} == {1: 861.0, 2: 861.0 + 42_000, 3: 861.0}
+    ranked = table.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy("v")))
+    joined = ranked.join(table.groupBy(*keys).agg(F.max("v").alias("top")), keys)
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 126
+    spark.sql(f"DROP TABLE {tag}")
+    again = files.open_product(spark, tag, path, "NAME_0 string, NAME_1 string, v double, wave int", keys, "wave", 4)
+    assert again.count() == 126 and "Exchange" not in again.groupBy(*keys).count()._jdf.queryExecution().executedPlan().toString()
+
+
 def test_table_round_trip(spark):
     path = scratch_path(spark, "t")
     df = spark.createDataFrame([("A", 1), ("B", 2)], "NAME_0 string, v int")

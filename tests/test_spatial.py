@@ -257,3 +257,34 @@ def test_raster_panel_by_file_name_and_projection(spark):
     assert sorted((r["unit_id"], str(r["ymd"]), r["value"]) for r in moved.collect()) == got
     with pytest.raises(ValueError, match="metres"):
         raster_panel(metres, edges, ["unit_id"], file_name="file", sinusoidal=True)
+
+
+def crosses(a, b):
+    def side(e, x, y):
+        s = exact_side(e, x, y)
+        return (s > 0) - (s < 0)
+
+    p, q = a[1:], b[1:]
+    apart = any(max(p[k], p[k + 2]) < min(q[k], q[k + 2]) or max(q[k], q[k + 2]) < min(p[k], p[k + 2]) for k in (0, 1))
+    return not apart and side(p, *q[:2]) * side(p, *q[2:]) <= 0 and side(q, *p[:2]) * side(q, *p[2:]) <= 0
+
+
+@pytest.mark.parametrize("tile", [0.25, 1.0])
+def test_polygon_pairs(spark, tile):
+    rng = random.Random(6)
+    cells = [e for k in range(30) for e in star(f"c{k}", rng.uniform(-4, 10), rng.uniform(-4, 5), rng.choice([3, 4, 7]), rng)]
+    cells += ring("inner", [(0.5, 0.2), (0.7, 0.2), (0.6, 0.4)]) + ring("hole", [(6.5, 1.5), (6.9, 1.5), (6.7, 1.9)])
+    cells += ring("around", [(-9.0, -9.0), (12.0, -9.0), (12.0, 9.0), (-9.0, 9.0)]) + ring("touch", [(4.0, 0.0), (4.5, -1.0), (4.5, 1.0)])
+    mine = spark.createDataFrame(cells, EDGES.replace("unit_id", "cell"))
+    got = sorted(tuple(r) for r in S.polygon_pairs(mine, spark.createDataFrame(SHAPES, EDGES), ["cell"], ["unit_id"], tile).collect())
+    want = set()
+    for c in {e[0] for e in cells}:
+        for u in {e[0] for e in SHAPES}:
+            left, right = [e for e in cells if e[0] == c], [e for e in SHAPES if e[0] == u]
+            if (
+                any(crosses(a, b) for a in left for b in right)
+                or any(covers(right, *e[1:3]) for e in left)
+                or any(covers(left, *e[1:3]) for e in right)
+            ):
+                want.add((c, u))
+    assert got == sorted(want) and ("inner", "concave") in want and ("hole", "holed") not in want and ("touch", "concave") in want
