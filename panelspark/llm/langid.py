@@ -78,33 +78,41 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             if lang not in sums and len(sums) >= MAX_LANGUAGES:
                 yield from flush()
-            row = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-            row += np.bincount(features(text.as_py()), minlength=BUCKETS)
+            row = sums.setdefault(lang, np.zeros(BUCKETS + 1, dtype=np.int64))
+            row[:BUCKETS] += np.bincount(features(text.as_py()), minlength=BUCKETS)
+            row[BUCKETS] += 1
     yield from flush()
 
 
 class Model:
-    """Languages in order, and the log probability of each bucket (buckets x languages)."""
+    """Languages in order, and the log probability of each bucket (buckets x languages); the last row is the log prior."""
 
     def __init__(self, langs: list[str], log_p: np.ndarray):
         self.langs, self.log_p = langs, log_p
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Fit on all rows of ``df`` that name a language; null texts teach nothing."""
+    """Fit on all rows of ``df`` that name a language; null texts teach nothing.
+
+    The prior of a language is its share of these rows.
+    """
     bound_batches(df.sparkSession)
     rows = df.select(column(lang).alias("lang"), column(text).alias("text")).where("lang is not null and text is not null")
     parts = rows.mapInArrow(_count_task, "lang string, bucket int, n long")
     sums = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.limit(MAX_LANGUAGES * BUCKETS + 1).toPandas()
+    got = sums.limit(MAX_LANGUAGES * (BUCKETS + 1) + 1).toPandas()
     langs = sorted(got["lang"].unique())
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.full((BUCKETS, len(langs)), SMOOTHING)
+    counts = np.full((BUCKETS + 1, len(langs)), SMOOTHING)
+    counts[BUCKETS] = 0
     at = {x: k for k, x in enumerate(langs)}
     counts[got["bucket"].to_numpy(dtype=np.int64), got["lang"].map(at).to_numpy(dtype=np.int64)] += got["n"].to_numpy(dtype=float)
-    log_p = np.log(counts) - np.log(counts.sum(axis=0)) if langs else counts
-    return Model(langs, log_p.astype(np.float32))
+    if langs:
+        counts[:BUCKETS] /= counts[:BUCKETS].sum(axis=0)
+        counts[BUCKETS] /= counts[BUCKETS].sum()
+        counts = np.log(counts)
+    return Model(langs, counts.astype(np.float32))
 
 
 def _scored(texts: list, model: Model) -> list[tuple[str, float]]:
@@ -118,6 +126,7 @@ def _scored(texts: list, model: Model) -> list[tuple[str, float]]:
         if len(used) and model.langs:
             begins = np.concatenate([[0], np.cumsum(sizes[used])[:-1]])
             sums = np.add.reduceat(model.log_p[np.concatenate([block[k] for k in used])], begins, axis=0, dtype=np.float64)
+            sums += model.log_p[BUCKETS]
             best = sums.argmax(axis=1)
             share = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
             for k, b, s in zip(used, best, share):

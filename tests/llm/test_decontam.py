@@ -71,12 +71,43 @@ def test_tiling_is_the_plain_loop(spark):
     df = documents(spark, [(i, t, "en", "s") for i, t in docs])
     want = brute(docs, items)
     assert len(want) > 20 and len({k[0] for k in want}) < len(docs)
-    assert shapes(decontam.find_leaks(df, bench)) == want
-    # The same in several blocks of the benchmark.
-    assert shapes(decontam.find_leaks(df, bench, block_chars=400)) == want
+    assert shapes(decontam.find_leaks(df, bench, shorter=())) == want
+    # The same in several blocks of the benchmark, or with each item as a block of its own.
+    assert shapes(decontam.find_leaks(df, bench, block_chars=400, shorter=())) == want
+    assert shapes(decontam.find_leaks(df, bench, block_chars=4, shorter=())) == want
+    stepped = shapes(decontam.find_leaks(df, bench))
+    assert not want - stepped
     clean = decontam.without_leaks(df, bench, block_chars=400)
     assert clean.columns == df.columns
-    assert {r.doc_id for r in clean.collect()} == {i for i, _ in docs} - {k[0] for k in want}
+    assert {r.doc_id for r in clean.collect()} == {i for i, _ in docs} - {k[0] for k in stepped}
+
+
+def test_sentences_shorter_than_a_seed_in_another_order(spark):
+    rng = random.Random(5)
+    sentences = ["red birds sing", "old stones wait here", "rivers turn", "no child sleeps", "warm bread rises", "seven lamps burn low"]
+    item = ". ".join(sentences)
+    moved = sentences[:]
+    rng.shuffle(moved)
+    assert moved != sentences
+    filler = [f"w{k}" for k in range(3000)]
+    texts = [
+        (1, " ".join(filler[:500]) + " " + ". ".join(moved) + " " + " ".join(filler[500:900])),
+        (2, " ".join(f"{a} {' '.join(filler[40 * k : 40 * k + 40])}" for k, a in enumerate(sentences))),  # spread over a long text
+        (3, "red birds sing of rivers and of bread"),
+    ]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.find_leaks(documents(spark, [(i, t, "en", "s") for i, t in texts]), bench).collect()
+    assert [(r.doc_id, r.tiles > 2, r.coverage_percent > 80) for r in got] == [(1, True, True)]
+
+
+def test_long_items_and_repetitive_texts(spark):
+    """An item above the bound of a block, and texts in which every window matches every other."""
+    long = " ".join(f"t{k}" for k in range(1_300_000))
+    assert len(long) > decontam.BLOCK_CHARS
+    bench = spark.createDataFrame([(1, long), (2, "echo " * 2000), (3, "a b " * 700)], "item_id long, text string")
+    texts = [(1, " ".join(f"t{k}" for k in range(400_000, 1_100_000))), (2, "echo " * 20_000), (3, "b a " * 10_000), (4, " ".join(f"t{k}" for k in range(1000)))]
+    got = decontam.find_leaks(documents(spark, [(i, t, "en", "s") for i, t in texts]), bench).collect()
+    assert {(r.doc_id, r.item_id): r.covered for r in got} == {(1, 1): 700_000, (2, 2): 2000, (3, 3): 1400}
 
 
 def test_query_is_brute_force(spark):
@@ -92,8 +123,10 @@ def test_query_is_brute_force(spark):
         w = decontam.tokens(t)
         if any(tuple(w[k : k + 5]) in grams for k in range(len(w) - 4)):
             near.append((d, t))
-    got = queries.QUERIES["op1_decontaminate"](spark, FOLDER)
-    assert shapes(got) == brute([x for x in near if len(x[1]) < 4000], items) + brute([x for x in near if len(x[1]) >= 4000], items)
+    want = brute([x for x in near if len(x[1]) < 4000], items) + brute([x for x in near if len(x[1]) >= 4000], items)
+    folder = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    assert shapes(decontam.find_leaks(*folder, shorter=())) == want
+    assert not want - shapes(queries.QUERIES["op1_decontaminate"](spark, FOLDER))
 
 
 def test_reordered_sentences_are_caught_and_prose_is_not(spark):

@@ -161,4 +161,27 @@ def test_language_model_is_the_plain_count(spark):
     rows = [(1, "abba cab", "x", "s"), (2, "dad", "y", "s"), (3, None, "y", "s"), (4, "zzz", None, "s")]
     model = langid.train(documents(spark, rows))
     counts = np.stack([np.bincount(langid.features(t), minlength=langid.BUCKETS) for t in ("abba cab", "dad")], axis=1) + langid.SMOOTHING
-    assert np.allclose(model.log_p, np.log(counts / counts.sum(axis=0)), atol=1e-5)
+    assert np.allclose(model.log_p[:-1], np.log(counts / counts.sum(axis=0)), atol=1e-5)
+    assert np.allclose(model.log_p[-1], np.log([0.5, 0.5]), atol=1e-6)
+
+
+def test_posteriors_are_those_of_the_model(spark):
+    """Prior times likelihoods over plain counts, language by language."""
+    import math
+
+    rows = [(k, t, x, "s") for k, (t, x) in enumerate([("the cat sat", "en"), ("the dog", "en"), ("a hat the", "en"), ("der hund", "de"), ("le chat", "fr")])]
+    model = langid.train(documents(spark, rows))
+    counts, prior = {}, Counter(r[2] for r in rows)
+    for _, text, lang, _ in rows:
+        counts.setdefault(lang, Counter()).update(langid.features(text).tolist())
+    texts = ["the", "hund", "chat le", "zzz", "cat der", "x"]
+    got = {r.doc_id: r for r in langid.identify(documents(spark, [(k, t, None, "s") for k, t in enumerate(texts)]), model).collect()}
+    for k, text in enumerate(texts):
+        score = {}
+        for lang, seen in counts.items():
+            total = sum(seen.values()) + langid.SMOOTHING * langid.BUCKETS
+            score[lang] = math.log(prior[lang] / len(rows)) + sum(math.log((seen[f] + langid.SMOOTHING) / total) for f in langid.features(text).tolist())
+        best = max(sorted(score), key=score.get)
+        assert got[k].lang_pred == best
+        assert abs(got[k].score - 1 / sum(math.exp(v - score[best]) for v in score.values())) < 1e-4
+    assert got[5].lang_pred == "en"  # nothing known about it: the prior decides
