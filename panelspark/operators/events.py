@@ -43,6 +43,10 @@ from panelspark.session import written
 COMPONENT_PAIRS = 50_000
 # Pairs of one window above which the score is walked through in tiers, however few pairs there are in all.
 WINDOW_PAIRS = 1_000_000
+# Incoming sites around a bucket above which its kept sites go through the tiers.
+CROWD_PARTNERS = 64
+# Sites of one bucket that a task joins.
+BUCKET_SITES = 100_000
 # Copies of one link that are spelled out at a time.
 LINK_CHUNK = 65_536
 EARTH_KM = 6371.0088
@@ -108,53 +112,48 @@ def _km(a_lon: str, a_lat: str, b_lon: str, b_lat: str) -> Column:
     return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(h))
 
 
-def candidate_pairs(
-    earlier: DataFrame,
-    later: DataFrame,
-    km: float,
-    days: int,
-    levels: Sequence[str],
-    metres: tuple[int, int | None] = (-1, None),
-    level: int | None = None,
-) -> DataFrame:
-    """Site pairs inside the space-time window that agree on some taxonomy level.
+BUCKET = ("__day", "__row", "__col")
 
-    Sites fall into buckets as large as the window, so a partner is in the same or
-    an adjacent bucket.  The later side is copied to its 27 neighbours and the rest
-    is an equi join, with hot buckets split; longitude buckets are as wide as the
-    window at the bucket row's latitude nearest the pole.  ``metres`` (above, up to)
-    and ``level`` narrow the pairs to one tier of the score; sites then also meet on a
-    label they share, so crowded sites of unrelated categories are never compared.
+
+def _columns_of(row: Column, km: float) -> Column:
+    """Longitude buckets of a bucket row, as wide as the window at its latitude nearest the pole.
+
+    The width is a function of the row alone, so both sides of a pair agree on it.  A row within one
+    step of a pole becomes a single bucket.
     """
     lat_step = math.degrees(km / EARTH_KM) * (1 + 1e-9)
+    steep = F.least(F.lit(90.0), F.greatest(F.abs(row + 2), F.abs(row - 1)) * F.lit(lat_step))
+    half = F.lit(math.sin(km / EARTH_KM / 2)) / F.cos(F.radians(steep))
+    width = F.degrees(2 * F.asin(F.least(F.lit(1.0), half))) * F.lit(1 + 1e-9)
+    return F.greatest(F.lit(1), F.least(F.floor(F.lit(360.0) / width), F.lit(10**7))).cast("long")
 
-    # The width is a function of the bucket row alone, so both sides of a pair
-    # agree on it.  A row within one step of a pole becomes a single bucket.
-    def columns_of(row: Column) -> Column:
-        steep = F.least(
-            F.lit(90.0), F.greatest(F.abs(row + 2), F.abs(row - 1)) * F.lit(lat_step)
-        )
-        half = F.lit(math.sin(km / EARTH_KM / 2)) / F.cos(F.radians(steep))
-        width = F.degrees(2 * F.asin(F.least(F.lit(1.0), half))) * F.lit(1 + 1e-9)
-        return F.greatest(F.lit(1), F.least(F.floor(F.lit(360.0) / width), F.lit(10**7))).cast("long")
-
-    def column_at(lon: Column, row: Column) -> Column:
-        n = columns_of(row)
-        return F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("long"), n)
-
-    left = earlier.withColumn("__row", F.floor(F.col("latitude") / lat_step).cast("long")).select(
-        F.floor(F.unix_date("date") / max(days, 1)).cast("long").alias("__day"),
-        "__row",
-        column_at(F.col("longitude"), F.col("__row")).alias("__col"),
-        *[F.col(c).alias(f"a_{c}") for c in earlier.columns],
+
+def _column_at(lon: Column, row: Column, km: float) -> Column:
+    n = _columns_of(row, km)
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * n).cast("long"), n)
+
+
+def _row_at(km: float) -> Column:
+    return F.floor(F.col("latitude") / (math.degrees(km / EARTH_KM) * (1 + 1e-9))).cast("long")
+
+
+def _day_at(days: int) -> Column:
+    return F.floor(F.unix_date("date") / max(days, 1)).cast("long")
+
+
+def _bucketed(sites: DataFrame, km: float, days: int) -> DataFrame:
+    """Sites with their space-time bucket, which is as large as the window."""
+    return sites.withColumns({"__day": _day_at(days), "__row": _row_at(km)}).withColumn(
+        "__col", _column_at(F.col("longitude"), F.col("__row"), km)
     )
+
+
+def _neighbours(sites: DataFrame, km: float, days: int) -> DataFrame:
+    """Sites once for each bucket in which a partner can be: their own and the adjacent ones."""
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    right = (
-        later.withColumn("__day0", F.floor(F.unix_date("date") / max(days, 1)).cast("long"))
-        .withColumn("__row0", F.floor(F.col("latitude") / lat_step).cast("long"))
-        .withColumn("__dr", F.explode(near))
-        .withColumn("__row", F.col("__row0") + F.col("__dr"))
-        .withColumn("__n", columns_of(F.col("__row")))
+    return (
+        sites.withColumn("__row", F.explode(F.transform(near, lambda d: _row_at(km) + d)))
+        .withColumn("__n", _columns_of(F.col("__row"), km))
         # With fewer than three columns the neighbours coincide.
         .withColumn(
             "__col",
@@ -162,25 +161,42 @@ def candidate_pairs(
                 F.array_distinct(
                     F.transform(
                         near,
-                        lambda d: F.pmod(column_at(F.col("longitude"), F.col("__row")) + d, F.col("__n")),
+                        lambda d: F.pmod(_column_at(F.col("longitude"), F.col("__row"), km) + d, F.col("__n")),
                     )
                 )
             ),
         )
-        .withColumn("__dd", F.explode(near))
-        .select(
-            (F.col("__day0") + F.col("__dd")).alias("__day"),
-            "__row",
-            "__col",
-            *[F.col(c).alias(f"b_{c}") for c in later.columns],
-        )
+        .withColumn("__day", F.explode(F.transform(near, lambda d: _day_at(days) + d)))
+        .drop("__n")
     )
-    keys = ["__day", "__row", "__col"]
+
+
+def candidate_pairs(
+    earlier: DataFrame,
+    later: DataFrame,
+    km: float,
+    days: int,
+    levels: Sequence[str],
+    metres: tuple[int, int | None] = (-1, None),
+    level: int | None = None,
+    hot: bool = True,
+) -> DataFrame:
+    """Site pairs inside the space-time window that agree on some taxonomy level.
+
+    Sites fall into buckets as large as the window, so a partner is in the same or
+    an adjacent bucket.  The later side is copied to its 27 neighbours and the rest
+    is an equi join, with ``hot`` buckets split.  ``metres`` (above, up to)
+    and ``level`` narrow the pairs to one tier of the score; sites then also meet on a
+    label they share, so crowded sites of unrelated categories are never compared.
+    """
+    left = _bucketed(earlier, km, days).select(*BUCKET, *[F.col(c).alias(f"a_{c}") for c in earlier.columns])
+    right = _neighbours(later, km, days).select(*BUCKET, *[F.col(c).alias(f"b_{c}") for c in later.columns])
+    keys = list(BUCKET)
     if level is not None:
         left = left.select("*", _shared_labels([f"a_{c}" for c in levels], level))
         right = right.select("*", _shared_labels([f"b_{c}" for c in levels], level))
         keys.append("__label")
-    pairs = split_join(left, right, keys, rows_per_task=100_000)
+    pairs = split_join(left, right, keys, rows_per_task=BUCKET_SITES) if hot else left.join(right, keys)
     if level:
         # Met on their coarsest shared label only, so a pair comes once.
         coarser = [
@@ -437,8 +453,11 @@ def _less(sites: DataFrame, links: DataFrame, side: str, book: bool) -> DataFram
     )
 
 
-def _crowding(kept: DataFrame, incoming: DataFrame, km: float, days: int) -> tuple[int, int, int]:
-    """Rough number of pairs in all windows and in the fullest one, and number of sites, from counts per coarse bucket."""
+def _crowding(kept: DataFrame, incoming: DataFrame, km: float, days: int) -> tuple[int, int, int, int]:
+    """Rough number of pairs in all windows and in the fullest one, number of sites in all and in the fullest window.
+
+    From counts per coarse bucket, which combine before they move.
+    """
     cell = 2 * math.degrees(km / EARTH_KM)
 
     def counts(df: DataFrame, name: str) -> DataFrame:
@@ -449,9 +468,43 @@ def _crowding(kept: DataFrame, incoming: DataFrame, km: float, days: int) -> tup
         ).agg(F.count(F.lit(1)).cast("double").alias(name))
 
     buckets = counts(kept, "a").join(counts(incoming, "b"), ["d", "r", "c"], "full").fillna(0.0)
-    met = F.col("a") * F.col("b")
-    row = buckets.agg(F.sum(met), F.max(met), F.sum(F.col("a") + F.col("b"))).first()
-    return int(row[0] or 0), int(row[1] or 0), int(row[2] or 0)
+    met, sites = F.col("a") * F.col("b"), F.col("a") + F.col("b")
+    row = buckets.agg(F.sum(met), F.max(met), F.sum(sites), F.max(sites)).first()
+    return tuple(int(v or 0) for v in row)
+
+
+def _calm(
+    kept: DataFrame, incoming: DataFrame, km: float, days: int, levels: Sequence[str], partners: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs that no crowded bucket has a part in, and the sites of both sides that are left to the tiers.
+
+    A bucket is crowded when its kept sites have more than ``partners`` incoming sites around
+    them.  Pairs outside are few for each site and scored at once.  Those that a chain of shared sites
+    links with an incoming site beside a crowded bucket have to wait for its better pairs: they
+    are handed over with their sites.
+    """
+    keys = list(BUCKET)
+    placed, _ = written(_bucketed(kept, km, days), "placed")
+    around, _ = written(_neighbours(incoming, km, days).select(*keys, "site"), "around")
+    crowded = around.groupBy(*keys).count().where(F.col("count") > partners).select(*keys)
+    crowded, _ = written(placed.select(*keys).distinct().join(crowded, keys), "crowded")
+    dense = split_join(placed, crowded, keys, "left_semi").drop(*keys)
+    others = split_join(placed, crowded, keys, "left_anti").drop(*keys)
+    beside = split_join(around, crowded, keys, "left_semi").select("site").distinct()
+    pairs, seen = written(candidate_pairs(others, incoming, km, days, levels), "calm-pairs", rows=F.count(F.lit(1)))
+    parts = components(pairs.select(_node("a").alias("a"), _node("b").alias("b")), seen["rows"])
+    pairs, _ = written(
+        pairs.withColumn("__node", _node("a")).join(parts.withColumnRenamed("node", "__node"), "__node").drop("__node"), "calm-parts"
+    )
+    waiting = pairs.join(beside.withColumnRenamed("site", "site_b"), "site_b", "left_semi").select("root").distinct()
+    handed, _ = written(pairs.join(waiting, "root", "left_semi"), "handed-over")
+    mine = handed.select(F.col("site_a").alias("site")).union(dense.select("site")).distinct()
+    theirs = handed.select(F.col("site_b").alias("site")).union(beside).distinct()
+    return (
+        pairs.join(waiting, "root", "left_anti").drop("root"),
+        kept.join(mine, "site", "left_semi"),
+        incoming.join(theirs, "site", "left_semi"),
+    )
 
 
 def _pair_budget(sites: int) -> int:
@@ -465,17 +518,24 @@ def _match_source(
     """Match one later source against the entries kept so far.
 
     Normally all pairs of the window are scored at once.  Where many sites crowd a
-    window that would be quadratic, so the score is then walked through in tiers,
+    window that would be quadratic.  What no crowded window has a part in is still scored at
+    once; for the sites that are left the score is walked through in tiers,
     best first: by taxonomy levels apart, and within a level by growing rings around
     each site.  A tier sees only sites that better tiers left over.  Every pair of a
     tier scores above every pair of the tiers before, so the result is the same, and
     after a ring no two matchable sites closer than its radius are left.
     """
-    pairs, fullest, size = _crowding(kept, incoming, km, days)
+    pairs, fullest, size, densest = _crowding(kept, incoming, km, days)
     if pairs <= _pair_budget(size) and fullest <= WINDOW_PAIRS:
-        found = match_sites(candidate_pairs(kept, incoming, km, days, levels))
+        found = match_sites(candidate_pairs(kept, incoming, km, days, levels, hot=8 * densest > BUCKET_SITES))
         return [found], found
-    links: list[DataFrame] = []
+    calm, kept, incoming = _calm(kept, incoming, km, days, levels, CROWD_PARTNERS)
+    links = [match_sites(calm)]
+    one = F.count(F.lit(1))
+    kept, mine = written(kept, "kept", rows=one)
+    incoming, theirs = written(incoming, "incoming", rows=one)
+    if not mine["rows"] or not theirs["rows"]:
+        return links, links[0]
     for level in range(len(levels)):
         inner = -1
         for outer in _rings(km):

@@ -114,18 +114,34 @@ def test_equals_direct_matching(spark, case):
     assert got.count() == len(rows)
 
 
-def test_tiers_equal_single_step(spark, monkeypatch):
+@pytest.mark.parametrize("partners", [0, 3, 64])
+def test_tiers_equal_single_step(spark, monkeypatch, partners):
+    """All windows crowded, some, and none: what is calm is scored at once, the rest in tiers."""
     rows = crowd(160, seed=4, spread=0.06, hot=0.3)
     monkeypatch.setattr(E, "_pair_budget", lambda sites: -1)
+    monkeypatch.setattr(E, "CROWD_PARTNERS", partners)
     assert links(integrated(spark, rows)) == direct(rows)
 
 
-def test_one_crowded_window_is_enough_for_tiers(spark, monkeypatch):
-    rows, levels = crowd(160, seed=5, spread=0.06, hot=0.3), []
+def test_one_crowded_town_leaves_other_sites_out_of_the_tiers(spark, monkeypatch):
+    town = crowd(120, seed=5, spread=0.02, hot=0.3)
+    # Around the town's edge chains run into it; far away nothing does.
+    edge = [(1000 + k, d, c, t, e, x, y + 0.05) for k, (_, d, c, t, e, x, y) in enumerate(crowd(30, seed=6, spread=0.05))]
+    far = [(2000 + k, d, c, t, e, x + 40, y) for k, (_, d, c, t, e, x, y) in enumerate(crowd(200, seed=7, spread=0.8))]
+    rows = town + edge + far
+    tiered = []
     monkeypatch.setattr(E, "WINDOW_PAIRS", 3)
-    real = E._rings
-    monkeypatch.setattr(E, "_rings", lambda km: levels.append(1) or real(km))
-    assert links(integrated(spark, rows)) == direct(rows) and levels
+    monkeypatch.setattr(E, "CROWD_PARTNERS", 10)
+    real = E.candidate_pairs
+
+    def watched(kept, incoming, km, days, levels, metres=(-1, None), level=None, hot=True):
+        if level is not None:
+            tiered.extend(r[0] for df in (kept, incoming) for r in df.select("longitude").collect())
+        return real(kept, incoming, km, days, levels, metres, level, hot)
+
+    monkeypatch.setattr(E, "candidate_pairs", watched)
+    assert links(integrated(spark, rows)) == direct(rows)
+    assert tiered and max(tiered) < 10
 
 
 def test_ranks_of_copies_are_gapless(spark):
