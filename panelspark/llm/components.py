@@ -13,7 +13,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
     Large-star and small-star in turn: each step links a node's neighbours to the smallest of
     them, which halves the depth of every tree, until stars are left and nothing changes.
-    A hub's links are summed by partial minimum before they move and joined by skew-split joins.
+    A hub's links are summed by partial minimum before they move; its joins are left to the adaptive
+    skew join, which splits a hub's side by size.
     Every step is a written table.
     """
     both = links.select("a", "b").where("a <> b")

@@ -197,17 +197,19 @@ def _rare_pairs(texts: DataFrame, wanted: DataFrame, width: int, percent: int) -
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = rows.join(counts, "shingle").withColumn("place", place).where((F.col("place") <= prefix) & (F.col("low") < F.col("high")))
     rare, _ = written(ranked.select("shingle", "node", "component", "n", "place"), "rare-shingles")
-    x, y = rare.alias("x"), rare.alias("y")
+    # The longer set of a pair seeks, the shorter is found: its place has to leave room for what
+    # both must share, which is more than a shingle that a whole crowd holds ever does.
+    room = (F.col("n") - F.col("place") + 1) * (100 + percent) >= 2 * F.col("n") * percent
+    x, y = rare.alias("x"), rare.where(room).alias("y")
     on = [
         F.col("x.shingle") == F.col("y.shingle"),
-        F.col("x.node") < F.col("y.node"),
+        (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node"))),
         F.col("x.component") != F.col("y.component"),
-        F.col("x.n") * 100 >= F.col("y.n") * percent,
         F.col("y.n") * 100 >= F.col("x.n") * percent,
         # From here on the sets can share no more than what is left of the shorter rest.
         (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) + 1) * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent,
     ]
-    return x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def _table_rows(halves: DataFrame, *also: str) -> DataFrame:

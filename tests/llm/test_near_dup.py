@@ -147,3 +147,25 @@ def test_tensored_tables_meet_at_the_threshold():
         missed += not (same[: near_dup.HALVES].any() and same[near_dup.HALVES :].any())
         met += other[: near_dup.HALVES].any() and other[near_dup.HALVES :].any()
     assert missed == 0 and met == 0
+
+
+def test_crowd_below_the_threshold_makes_no_candidates(spark):
+    """Every text shares 88 of 100 words with every other: common shingles reach no index."""
+    texts = [(k, " ".join([f"s{j}" for j in range(88)] + [f"u{k}x{j}" for j in range(12)])) for k in range(300)]
+    df = spark.createDataFrame(texts, "node long, text string")
+    wanted = df.select("node", df.node.alias("component"))
+    assert near_dup._rare_pairs(df, wanted, 2, 80).count() == 0
+
+
+def test_lengths_around_the_threshold_meet(spark):
+    """Sets of many sizes that share a core: all pairs at or above the threshold are candidates."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(80):
+        core = [f"s{j}" for j in range(rng.choice([70, 80, 88, 90]))]
+        texts.append((k, " ".join(core + [f"u{rng.randrange(40)}x{j}" for j in range(rng.choice([2, 9, 16, 20]))])))
+    df = spark.createDataFrame(texts, "node long, text string")
+    got = {(r.a, r.b) for r in near_dup._rare_pairs(df, df.select("node", df.node.alias("component")), 2, 80).collect()}
+    sets = {k: near_dup.shingles(t, 2) for k, t in texts}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(want) > 100 and not want - got
