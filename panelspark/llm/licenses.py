@@ -30,8 +30,39 @@ SENTENCES = {
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
     "bsd-names": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd-ref": ["Released under the BSD License", "Licensed under the BSD License", "SPDX-License-Identifier: BSD-3-Clause"],
+    "bsd2-ref": ["SPDX-License-Identifier: BSD-2-Clause", "Licensed under the BSD 2-Clause License", "BSD 2-Clause License"],
     "gpl3-ref": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 3", "Released under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0-only"],
     "gpl-grant": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "gpl3-later-ref": ["SPDX-License-Identifier: GPL-3.0-or-later", "Licensed under the GNU General Public License, version 3 or later"],
+    "gpl2-ref": ["SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0", "Licensed under the GNU General Public License, version 2", "Released under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2"],
+    "gpl2-later-ref": ["SPDX-License-Identifier: GPL-2.0-or-later", "Licensed under the GNU General Public License, version 2 or later"],
+    "gpl2-grant": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"],
+    "free-program": ["This program is free software"],
+    "gpl2-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "gpl2-version": ["either version 2 of the License, or (at your option) any later version"],
+    "lgpl3-ref": ["SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later", "Licensed under the GNU Lesser General Public License, version 3", "Released under the GNU Lesser General Public License, version 3"],
+    "lgpl2-ref": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later", "Licensed under the GNU Lesser General Public License, version 2.1", "Released under the GNU Lesser General Public License, version 2.1"],
+    "free-library": ["This library is free software"],
+    "lgpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "lgpl2-version": ["either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-version": ["either version 3 of the License, or (at your option) any later version"],
+    "agpl-ref": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later", "Licensed under the GNU Affero General Public License, version 3", "Released under the GNU Affero General Public License, version 3"],
+    "agpl-grant": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "mpl-ref": ["SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License 2.0", "Licensed under the Mozilla Public License, version 2.0", "Mozilla Public License Version 2.0"],
+    "mpl-subject": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
+    "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+    "epl-ref": ["SPDX-License-Identifier: EPL-2.0", "Licensed under the Eclipse Public License 2.0", "Eclipse Public License - v 2.0"],
+    "epl-grant": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution"],
+    "cc0-ref": ["SPDX-License-Identifier: CC0-1.0", "CC0 1.0 Universal", "Licensed under CC0 1.0", "This work is licensed under CC0 1.0"],
+    "cc0-grant": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"],
+    "unlicense-ref": ["SPDX-License-Identifier: Unlicense", "Released under the Unlicense"],
+    "unlicense-grant": ["This is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "zlib-ref": ["SPDX-License-Identifier: Zlib", "Licensed under the zlib License"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "boost-ref": ["SPDX-License-Identifier: BSL-1.0", "Distributed under the Boost Software License, Version 1.0", "Boost Software License - Version 1.0"],
+    "isc-ref": ["SPDX-License-Identifier: ISC", "ISC License", "Licensed under the ISC License"],
     "gpl-warranty": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
     "cc-by-ref": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa-ref": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0"],
@@ -51,11 +82,37 @@ RULES = [
     ("bsd-2-clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("gpl-3.0-or-later", ["gpl-grant", "gpl-warranty"]),
     ("gpl-3.0-or-later", ["gpl-grant"]),
+    ("agpl-3.0-or-later", ["agpl-grant"]),
+    ("gpl-2.0-or-later", ["free-program", "gpl2-terms", "gpl2-version"]),
+    ("gpl-2.0-or-later", ["gpl2-grant"]),
+    ("lgpl-2.1-or-later", ["free-library", "lgpl-terms", "lgpl2-version"]),
+    ("lgpl-3.0-or-later", ["free-library", "lgpl-terms", "lgpl3-version"]),
+    ("mpl-2.0", ["mpl-subject", "mpl-copy"]),
+    ("mpl-2.0", ["mpl-subject"]),
+    ("epl-2.0", ["epl-grant"]),
+    ("cc0-1.0", ["cc0-grant"]),
+    ("unlicense", ["unlicense-grant", "unlicense-anyone"]),
+    ("unlicense", ["unlicense-grant"]),
+    ("zlib", ["zlib-as-is", "zlib-grant"]),
     ("isc", ["isc-grant"]),
     ("mit", ["mit-ref"]),
     ("apache-2.0", ["apache-ref"]),
     ("bsd", ["bsd-ref"]),
+    ("bsd-2-clause", ["bsd2-ref"]),
+    ("isc", ["isc-ref"]),
     ("gpl-3.0", ["gpl3-ref"]),
+    ("gpl-3.0-or-later", ["gpl3-later-ref"]),
+    ("gpl-2.0", ["gpl2-ref"]),
+    ("gpl-2.0-or-later", ["gpl2-later-ref"]),
+    ("lgpl-3.0", ["lgpl3-ref"]),
+    ("lgpl-2.1", ["lgpl2-ref"]),
+    ("agpl-3.0", ["agpl-ref"]),
+    ("mpl-2.0", ["mpl-ref"]),
+    ("epl-2.0", ["epl-ref"]),
+    ("cc0-1.0", ["cc0-ref"]),
+    ("unlicense", ["unlicense-ref"]),
+    ("zlib", ["zlib-ref"]),
+    ("bsl-1.0", ["boost-ref"]),
     ("cc-by-4.0", ["cc-by-ref"]),
     ("cc-by-sa-4.0", ["cc-by-sa-ref"]),
     ("cc-by-nc-4.0", ["cc-by-nc-ref"]),

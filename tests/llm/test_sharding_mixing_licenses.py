@@ -196,3 +196,33 @@ def test_no_rule_begins_inside_another():
     for name, rule in licenses.RULES:
         for other, longer in licenses.RULES:
             assert all(longer[k] != rule[0] for k in range(1, len(longer))), (name, other)
+
+
+NOTICES = {
+    "gpl-2.0-or-later": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n",
+    "lgpl-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n",
+    "agpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. More.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy it.",
+    "zlib": "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable. Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin",
+    "cc0-1.0": "SPDX-License-Identifier: CC0-1.0",
+    "isc": "// x\nSPDX-License-Identifier: ISC\ncode",
+    "gpl-2.0": "SPDX-License-Identifier: GPL-2.0-only\n",
+    "gpl-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later\n",
+    "bsd-2-clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "epl-2.0": "Eclipse Public License - v 2.0",
+    "lgpl-3.0": "SPDX-License-Identifier: LGPL-3.0-only",
+    "bsl-1.0": "Distributed under the Boost Software License, Version 1.0.",
+}
+
+
+def test_common_notices_are_known(spark):
+    names = list(NOTICES)
+    df = documents(spark, [(k, "Some text before.\n\n" + NOTICES[n], "en", "s") for k, n in enumerate(names)])
+    assert {names[r.doc_id]: r.licenses for r in licenses.scan_licenses(df).collect()} == {n: n for n in names}
+
+
+def test_wordings_have_one_identifier():
+    plain = [licenses._plain(w) for wordings in licenses.SENTENCES.values() for w in wordings]
+    assert len(set(plain)) == len(plain)
+    assert {s for _, sequence in licenses.RULES for s in sequence} <= set(licenses.SENTENCES)
