@@ -20,6 +20,7 @@ from panelspark.plans import survey as V
 from panelspark.plans.raster import raster_panel, read_raster_folder
 from panelspark.plans.survey import UNIT
 from panelspark.session import scratch_path
+from panelspark.sources import files
 
 LEVELS = ["Level_1", "Level_2", "Level_3", "Level_4_text"]
 FEEDS = ["A", "B", "C"]
@@ -233,6 +234,42 @@ def event_harmonize(i):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query(
+    "feeds_from_files",
+    """SELECT event_id, dataset, CASE WHEN base_category = 'view' AND fatalities > 0 THEN 'Riots'
+    WHEN base_category = 'view' AND fatalities < 1 THEN 'Protests' ELSE base_category END AS base_category,
+    date, CASE WHEN dataset <> 'A' THEN enddate END AS enddate, longitude, latitude FROM {evt}""",
+    doubles="longitude latitude",
+    dates="date enddate",
+)
+def feeds_from_files(i):
+    """Three feeds, each a folder of CSV files in its own columns, date form and order of columns."""
+    at = {d: scratch_path(i.spark, f"feed-{d}") for d in FEEDS}
+    evt = i.evt.withColumns({"longitude": F.col("longitude").cast("string"), "latitude": F.col("latitude").cast("string")})
+    evt.where("dataset = 'A'").select(
+        F.date_format("date", "dd/MM/yyyy").alias("EVENT_DATE"), F.col("base_category").alias("EVENT_TYPE"),
+        F.col("fatalities").alias("FATALITIES"), F.col("latitude").alias("LATITUDE"), F.col("longitude").alias("LONGITUDE"),
+        F.col("event_id").alias("EVENT_ID"), F.lit("a note, quoted").alias("NOTES"),
+    ).write.csv(at["A"], header=True)
+    evt.where("dataset = 'B'").select(
+        F.col("event_id").alias("id"), F.col("base_category").alias("type_of_violence"), "date", F.col("enddate").alias("date_end"), "latitude", "longitude",
+    ).withColumnRenamed("date", "date_start").write.csv(at["B"], header=True)
+    evt.where("dataset = 'C'").select(
+        F.col("event_id").alias("eventid"), F.date_format("date", "dd-MMM-yy").alias("startdate"), F.date_format("enddate", "dd-MMM-yy").alias("enddate"),
+        F.col("base_category").alias("etype"), "longitude", "latitude",
+    ).write.csv(at["C"], header=True, nullValue="NA")
+    a = files.read_csv(i.spark, at["A"], "EVENT_DATE string, EVENT_TYPE string, FATALITIES long, LATITUDE double, LONGITUDE double, EVENT_ID long, NOTES string")
+    b = files.read_csv(i.spark, at["B"], "id long, type_of_violence string, date_start string, date_end string, latitude double, longitude double")
+    c = files.read_csv(i.spark, at["C"], "eventid long, startdate string, enddate string, etype string, longitude double, latitude double")
+    split = E.split_by_measure("EVENT_TYPE", "FATALITIES", "view", "Riots", "Protests")
+    parts = [
+        E.harmonise(a, "A", split, "EVENT_DATE", "LONGITUDE", "LATITUDE", None, "dd/MM/yyyy", "EVENT_ID"),
+        E.harmonise(b, "B", "type_of_violence", "date_start", "longitude", "latitude", "date_end", "yyyy-MM-dd", "id"),
+        E.harmonise(c, "C", "etype", "startdate", "longitude", "latitude", "enddate", "dd-MMM-yy", "eventid"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(
     "taxonomy_split",
     """SELECT event_id, CASE WHEN base_category = 'view' AND fatalities > 0 THEN 'Riots'

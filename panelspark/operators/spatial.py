@@ -144,46 +144,41 @@ def unit_index(
     """
     unit = list(unit)
     slack = tile * 1e-9
-    segment = F.struct("x1", "y1", "x2", "y2")
-    rows = (
-        edges.withColumn(
-            "ty",
-            F.explode(
-                F.sequence(
-                    _tile(F.least("y1", "y2"), tile), _tile(F.greatest("y1", "y2"), tile)
-                )
-            ),
-        )
-        .groupBy(*unit, "ty")
-        .agg(F.collect_list(segment).alias("row_segments"))
+    bottom = F.col("ty") * F.lit(tile)
+    top = bottom + F.lit(tile)
+    segments = edges.select(*unit, "x1", "y1", "x2", "y2").withColumns(
+        {
+            "ty": F.explode(F.sequence(_tile(F.least("y1", "y2"), tile), _tile(F.greatest("y1", "y2"), tile))),
+            "t0": _tile(F.least("x1", "x2") - F.lit(slack), tile),
+            "t1": _tile(F.greatest("x1", "x2") + F.lit(slack), tile),
+        }
     )
-    spans = edges.groupBy(*unit).agg(
-        _tile(F.min(F.least("x1", "x2")), tile).alias("tx0"),
-        _tile(F.max(F.greatest("x1", "x2")), tile).alias("tx1"),
+    touching = (
+        segments.withColumn("tx", F.explode(F.sequence("t0", "t1")))
+        .groupBy(*unit, "ty", "tx")
+        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("segments"))
     )
-    left, bottom = F.col("tx") * F.lit(tile), F.col("ty") * F.lit(tile)
-    right, top = left + F.lit(tile), bottom + F.lit(tile)
-
-    def near(e: Column) -> Column:
-        return (F.greatest(e["x1"], e["x2"]) >= left - slack) & (
-            F.least(e["x1"], e["x2"]) <= right + slack
-        )
-
-    def beyond(e: Column) -> Column:
-        return F.least(e["x1"], e["x2"]) > right + slack
 
     def height(v: Column) -> Column:
         """Above the row is above every point of it; below the row never counts."""
-        return F.when(v > top + slack, F.lit(float("inf"))).otherwise(v)
+        return F.when(v > top + slack, F.lit(float("inf"))).when(v >= bottom - slack, v)
 
-    far = F.filter("row_segments", beyond)
-    ends = F.filter(
-        F.concat(F.transform(far, lambda e: height(e["y1"])), F.transform(far, lambda e: height(e["y2"]))),
-        lambda v: v >= bottom - slack,
+    # Ends cancel within a column of the row first, so only where a chain enters or leaves it one is left.
+    ends = (
+        segments.select(*unit, "ty", "t0", F.explode(F.array(height(F.col("y1")), height(F.col("y2")))).alias("h"))
+        .groupBy(*unit, "ty", "t0", "h")
+        .agg((F.count(F.lit(1)) % 2).alias("odd"))
+    )
+    left_over = F.when((F.col("odd") == 1) & F.col("h").isNotNull(), F.struct("t0", "h"))
+    rows = ends.groupBy(*unit, "ty").agg(F.collect_list(left_over).alias("ends"))
+    spans = edges.groupBy(*unit).agg(
+        _tile(F.min(F.least("x1", "x2")), tile).alias("tx0"),
+        _tile(F.max(F.greatest("x1", "x2")), tile).alias("tx1"),
     )
+    beyond = F.transform(F.filter("ends", lambda e: e["t0"] > F.col("tx")), lambda e: e["h"])
     nothing = F.array().cast("array<double>")
     odd_ends = F.aggregate(
-        F.array_sort(ends),
+        F.array_sort(beyond),
         nothing,
         lambda kept, v: F.when(
             F.try_element_at(kept, F.lit(-1)) == v, F.slice(kept, F.lit(1), F.size(kept) - 1)
@@ -192,8 +187,9 @@ def unit_index(
     tiles = (
         rows.join(spans, unit)
         .withColumn("tx", F.explode(F.sequence("tx0", "tx1")))
-        .withColumn("segments", F.filter("row_segments", near))
         .withColumn("heights", odd_ends)
+        .join(touching, [*unit, "ty", "tx"], "left")
+        .withColumn("segments", F.coalesce("segments", F.array().cast(touching.schema["segments"].dataType)))
     )
     border = F.size("segments") > 0
     middle = bottom + F.lit(tile / 2)

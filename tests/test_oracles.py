@@ -30,3 +30,10 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["NAME_0", "NAME_1", "SurveyId"] and df.count() > 0
+
+
+def test_ordered_output_is_in_order(spark):
+    """The comparison sorts rows, so the order itself is looked at here."""
+    rows = QUERIES["ordered_output"](spark, FOLDER).select("NAME_1", "SurveyId").collect()
+    keys = [tuple((v is None, v) for v in r) for r in rows]
+    assert len(keys) > 100 and keys == sorted(keys)
