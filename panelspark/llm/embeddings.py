@@ -81,6 +81,11 @@ def normed(arrays):
     return v / np.linalg.norm(v, axis=1)[:, None]
 
 
+def unit_rows(lists):
+    """The same of an Arrow column of equally long lists, without a Python object per value."""
+    return normed(lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1))
+
+
 class Model:
     """Coarse centroids and, per stretch of the residual, its codes."""
 
@@ -157,7 +162,7 @@ def _sized(model, least: float):
 
         for batch in batches:
             if batch.num_rows:
-                v = normed(batch.column(0).to_pylist())
+                v = unit_rows(batch.column(0))
                 home = _nearest(v, model.value.centres)
                 _, visited = model.value.visits(v, home, model.value.reach(least))
                 n = len(model.value.centres)
@@ -195,7 +200,7 @@ def _sent(model, least: float, parts, visitor_parts):
             if not batch.num_rows:
                 continue
             node, n_rows = (batch.column(k).to_numpy() for k in range(2))
-            v = normed(batch.column(2).to_pylist())
+            v = unit_rows(batch.column(2))
             home, codes, error = model.value.encoded(v)
             row, visited = model.value.visits(v, home, model.value.reach(least))
             every = np.arange(len(v))
@@ -325,7 +330,7 @@ def _searched(model, least: float):
                 for at in range(lo, hi, PASS):
                     part = batch.slice(at, min(PASS, hi - at))
                     node, n_rows = part.column(5).to_numpy(), part.column(6).to_numpy()
-                    v = normed(part.column(7).to_pylist())
+                    v = unit_rows(part.column(7))
                     if not keys[lo][3]:
                         codes = np.frombuffer(b"".join(part.column(8).to_pylist()), dtype=np.uint8).reshape(len(node), -1)
                         members.append((v, codes, part.column(9).to_numpy(), node, n_rows))
