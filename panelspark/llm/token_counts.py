@@ -4,7 +4,7 @@ Let ``c[i]`` be the count of the first ``i`` chunks (chunk: a run between ASCII
 No token of the vocabulary and no rule of its normaliser reaches across a blank, so
 ``c[i] = c[i-1] + tokens(chunk i)``: one forward pass of dynamic programming fills the table, each
 distinct chunk is encoded once per worker, and the table answers counts of whole texts, of
-any prefix (one partial chunk more), and the longest prefix within a budget.
+any prefix (one partial chunk more), and a long prefix within a budget, cut at a token's end.
 """
 
 from __future__ import annotations
@@ -150,8 +150,22 @@ class PrefixCounts:
         return int(self.counts[k] + chunk_counts([part], self.path)[0])
 
     def longest(self, budget: int) -> int:
-        """Code points up to the end of the last whole chunk that fits ``budget`` tokens."""
-        return int(self.ends[np.searchsorted(self.counts, budget, side="right") - 1])
+        """Code points of a long prefix that fits ``budget`` tokens: all whole chunks, then all of the next one up to a token's end.
+
+        A prefix cut inside a chunk is taken only if it counts as fitting itself.
+        """
+        k = int(np.searchsorted(self.counts, budget, side="right")) - 1
+        room = budget - int(self.counts[k])
+        if k == len(self.begins) or room <= 0:
+            return int(self.ends[k])
+        begin = int(self.begins[k])
+        chunk = self.text[begin : int(self.ends[k + 1])]
+        tokenizer = _coder(self.path).tokenizer
+        ends = [end for _, end in tokenizer.encode(chunk, add_special_tokens=False).offsets[:room]]
+        # A cut may split what the whole chunk has as one token, seldom more than one or two.
+        while ends and len(tokenizer.encode(chunk[: ends[-1]], add_special_tokens=False).ids) > room:
+            ends.pop()
+        return begin + ends[-1] if ends and ends[-1] else int(self.ends[k])
 
 
 def _counts(text: Column, path: str, limit: int) -> Column:

@@ -116,6 +116,16 @@ def test_prefix_table_answers_every_prefix(tokenizer):
             assert table.at(k) <= budget
 
 
+@pytest.mark.parametrize("text", ["数据处理系统" * 4000, "YWJjZGVm" * 3000, "a-b_c.d/" * 2000, "word " * 100 + "supercalifragilistic" * 400])
+def test_longest_prefix_of_texts_without_blanks(text, tokenizer):
+    table = token_counts.PrefixCounts(text, PATH)
+    assert table.total() > 2048 or text.startswith("word")
+    budget = min(2048, table.total() - 5)
+    k = table.longest(budget)
+    assert 0 < k < len(text) and budget - 8 <= table.at(k) <= budget
+    assert table.longest(table.total()) == len(text)
+
+
 def test_tokens_awkward_rows(spark, tokenizer):
     rows = awkward() + [(100 + k, t, "en", "s") for k, t in enumerate(AWKWARD_TEXTS)]
     df = documents(spark, rows)
