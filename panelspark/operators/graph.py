@@ -48,7 +48,7 @@ def components(links: DataFrame, count: int, per_task: int = LINKS_PER_TASK) ->
     forest = links.select("a", "b").repartition(tasks).mapInPandas(_joined, "node long, root long")
     if tasks == 1:
         return forest
-    nodes, seen = written(forest, "forest", links=F.count_if("node <> root"))
+    nodes, seen = written(forest, "forest", links=F.count_if(F.col("node") != F.col("root")))
     edges = nodes.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct()
     state = None
     while seen["links"]:
