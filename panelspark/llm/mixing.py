@@ -9,12 +9,13 @@ prefix of the next epoch's seeded order that fits.
 
 The work is DataFrame functions only.  Documents are reduced once to narrow rows; order within a leaf comes from
 the digits of a seeded digest, and only the slice of a leaf at which its budget runs out is
-ever sorted, so a leaf with a third of all rows is no burden.
+looked at again, digit by digit, so neither a leaf nor an id with a third of all rows is a burden.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,12 +90,52 @@ def domain_of(source: Column, domains: int = 4) -> Column:
     return F.when(number == "", F.lit("other")).otherwise(F.concat(F.lit("d"), (number.cast("long") % domains).cast("string")))
 
 
+# How the place where a leaf's budget ends is narrowed down: digits of the seeded digest, the
+# key, digits of the text's digest, the text, and the part of the table a repeated row stands in.
+_STEPS = ("left(order, 3)", "left(order, 6)", "concat(order, key)", "left(text_key, 3)", "text_key", "chunk")
+
+
+def _placed(rows: DataFrame, place: Column) -> DataFrame:
+    """Per leaf and ``place`` the rows, the tokens and the tokens before it; one row per place."""
+    before = Window.partitionBy(*LEVELS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*LEVELS, place.alias("place")).agg(F.sum("tokens").alias("inside"), F.count(F.lit(1)).alias("n"))
+    return sums.withColumn("before", F.coalesce(F.sum("inside").over(before), F.lit(0)))
+
+
+def _prefixes(held: DataFrame, plan: DataFrame, seed: int, keep: list[str]) -> DataFrame:
+    """Every row with ``extra``: 1 where the prefix of its leaf's last epoch holds it.
+
+    Each step keeps only the rows at the place where the budget ends, until they are one row, or
+    repeats of one row, of which as many are taken as fit.
+    """
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epochs").cast("string"), F.col("key")))
+    rows = held.join(plan.select(*LEVELS, "epochs", "part"), list(LEVELS)).withColumn("order", order)
+    fits = F.col("before") + F.col("inside") <= F.col("part")
+    cut = ~fits & (F.col("before") < F.col("part")) & (F.col("n") > 1)
+    wanted = [*keep, *LEVELS, "tokens", "epochs"]
+    extra = F.when(fits & (F.col("tokens") > 0), 1).otherwise(0).alias("extra")
+    out = []
+    for place in map(F.expr, _STEPS):
+        met = rows.withColumn("place", place).join(written(_placed(rows, place), "mixing-places")[0], [*LEVELS, "place"])
+        out.append(met.where(~cut).select(*wanted, extra))
+        left = met.where(cut).withColumn("part", F.col("part") - F.col("before")).select(*rows.columns)
+        rows, seen = written(left, "mixing-cut", rows=F.count(F.lit(1)))
+        if not seen["rows"]:
+            break
+    else:
+        # Repeats of one row in one part of the table, for each leaf.
+        nth = F.row_number().over(Window.partitionBy(*LEVELS).orderBy("tokens"))
+        taken = (nth * F.col("tokens") <= F.col("part")) & (F.col("tokens") > 0)
+        out.append(rows.withColumn("nth", nth).select(*wanted, F.when(taken, 1).otherwise(0).alias("extra")))
+    return reduce(DataFrame.unionByName, out)
+
+
 def choose(df: DataFrame, mix: Mix, domain: Column, key: Column, lang: str = "lang", source: str = "source", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:
     """Per input row its leaf, tokens and ``copies``: how often the mix takes it.
 
-    ``key`` tells rows apart; rows with the same key in a leaf stand together in its order and are all taken
-    or all left.  Tokens are words.  Rows without tokens (null and
-    empty texts) cost nothing and are taken as often as whole epochs are, never by a prefix.
+    ``key`` orders rows by a seeded digest; rows with the same key in a leaf follow one another by their texts' digests,
+    and of repeated rows as many are taken as fit, whichever they are.  Tokens are words.  Rows without
+    tokens (null and empty texts) cost nothing and are taken as often as whole epochs are, never by a prefix.
     Null language or source is a leaf of its own.  An empty table gives an empty result.
     """
     narrow = df.select(
@@ -103,7 +144,9 @@ def choose(df: DataFrame, mix: Mix, domain: Column, key: Column, lang: str = "la
         leaf_key(column(lang)).alias("language"),
         leaf_key(column(source)).alias("source"),
         F.coalesce(key.cast("string"), F.lit("null")).alias("key"),
+        F.md5(F.coalesce(column(text), F.lit(""))).alias("text_key"),
         word_count(column(text)).alias("tokens"),
+        F.spark_partition_id().alias("chunk"),
     )
     held, _ = written(narrow, "mixing")
     leaves = held.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
@@ -112,23 +155,8 @@ def choose(df: DataFrame, mix: Mix, domain: Column, key: Column, lang: str = "la
     full = F.when(F.col("leaf_tokens") > 0, F.expr("total div leaf_tokens")).otherwise(0)
     plan = budgets.select(*LEVELS, F.col("tokens").alias("leaf_tokens"), "total")
     plan = plan.withColumn("epochs", full).withColumn("part", F.col("total") - F.col("epochs") * F.col("leaf_tokens"))
-    order = F.md5(F.concat_ws("|", F.lit(str(mix.seed)), F.col("epochs").cast("string"), F.col("key")))
-    rows = held.join(plan.select(*LEVELS, "epochs", "part"), list(LEVELS)).withColumn("order", order)
-    rows = rows.withColumn("slice", F.substring("order", 1, 3))
-    # Slices of a leaf (4096 at most) with the tokens before each of them.
-    slices = rows.groupBy(*LEVELS, "slice").agg(F.sum("tokens").alias("in_slice"))
-    before = Window.partitionBy(*LEVELS).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("before", F.coalesce(F.sum("in_slice").over(before), F.lit(0)))
-    rows = rows.join(slices, [*LEVELS, "slice"])
-    whole = F.col("before") + F.col("in_slice") <= F.col("part")
-    cut = ~whole & (F.col("before") < F.col("part"))
-    # Only the slice where the budget ends needs an order; equal orders (repeated rows) go together.
-    inside = Window.partitionBy(*LEVELS).orderBy("order", "key").rangeBetween(Window.unboundedPreceding, 0)
-    outer = rows.where(~cut).withColumn("extra", F.when(whole & (F.col("tokens") > 0), 1).otherwise(0))
-    ended = rows.where(cut).withColumn("upto", F.col("before") + F.sum("tokens").over(inside))
-    ended = ended.withColumn("extra", F.when((F.col("upto") <= F.col("part")) & (F.col("tokens") > 0), 1).otherwise(0)).drop("upto")
-    both = outer.unionByName(ended)
-    return both.select(*(carry or {}), *LEVELS, "tokens", (F.col("epochs") + F.col("extra")).cast("int").alias("copies"))
+    rows = _prefixes(held, plan, mix.seed, list(carry or {}))
+    return rows.select(*(carry or {}), *LEVELS, "tokens", (F.col("epochs") + F.col("extra")).cast("int").alias("copies"))
 
 
 def mix_report(df: DataFrame, mix: Mix, domain: Column, id: str = "doc_id", **names) -> DataFrame:
@@ -138,17 +166,17 @@ def mix_report(df: DataFrame, mix: Mix, domain: Column, id: str = "doc_id", **na
     return chosen.select("doc_id", *map(bare, LEVELS), "tokens", "copies")
 
 
-def mixed(df: DataFrame, mix: Mix, domain: Column, id: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """The rows of the mix with the columns of ``df``, each as often as it is taken."""
-    parts = dict(zip(LEVELS, (domain, column(names.get("lang", "lang")), column(names.get("source", "source")))))
-    keys = {"mix_id": leaf_key(column(id)), "mix_text": F.xxhash64(column(text))}
-    chosen = choose(df, mix, domain, column(id), text=text, carry=keys, **names)
-    taken = chosen.groupBy(*keys, *LEVELS).agg(F.max("copies").alias("copies")).where("copies > 0")
-    mine = {x: fresh(df, f"own_{x}") for x in (*keys, *LEVELS)}
-    theirs = {x: fresh(df, f"taken_{x}") for x in (*mine, "copies")}
-    keyed = df.withColumns({mine[x]: c for x, c in keys.items()} | {mine[x]: leaf_key(c) for x, c in parts.items()})
-    taken = taken.select(*[F.col(x).alias(n) for x, n in theirs.items()])
-    joined = keyed.join(taken, [F.col(mine[x]) == F.col(theirs[x]) for x in mine])
+def mixed(df: DataFrame, mix: Mix, domain: Column, id: str = "doc_id", **names) -> DataFrame:
+    """The rows of the mix with the columns of ``df``, each as often as it is taken.
+
+    Rows are numbered once, in a written table, so that repeated rows can be taken one by one.
+    """
+    number = fresh(df, "row_number")
+    held, _ = written(df.withColumn(number, F.monotonically_increasing_id()), "mixing-rows")
+    theirs, copies = fresh(held, "taken_number"), fresh(held, "taken_copies")
+    chosen = choose(held, mix, domain, column(id), carry={"mix_row": column(number)}, **names).where("copies > 0")
+    taken = chosen.select(F.col("mix_row").alias(theirs), F.col("copies").alias(copies))
+    joined = held.join(taken, F.col(number) == F.col(theirs))
     if mix.max_epochs > 1:
-        joined = joined.withColumn(fresh(joined, "copy"), F.explode(F.sequence(F.lit(1), F.col(theirs["copies"]))))
+        joined = joined.withColumn(fresh(joined, "copy"), F.explode(F.sequence(F.lit(1), F.col(copies))))
     return joined.select(*[column(c) for c in df.columns])

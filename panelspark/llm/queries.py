@@ -122,7 +122,7 @@ def _mix_sql() -> str:
 
     return f"""
     WITH docs AS (SELECT doc_id, {key("CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1) = '' THEN 'other' ELSE 'd' || (regexp_extract(coalesce(source, ''), '([0-9]{1,9})$', 1)::BIGINT % 4) END")} AS domain,
-            {key("lang")} AS language, {key("source")} AS source, coalesce(doc_id::VARCHAR, 'null') AS key,
+            {key("lang")} AS language, {key("source")} AS source, coalesce(doc_id::VARCHAR, 'null') AS key, md5(coalesce(text, '')) AS text_key,
             len([w for w in string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+') if w <> ''])::BIGINT AS tokens FROM documents),
     leaves AS (SELECT domain, language, source, sum(tokens)::BIGINT AS tokens, sum(tokens)::BIGINT * {m.max_epochs} AS cap FROM docs GROUP BY ALL),
     root AS (SELECT (sum(tokens)::BIGINT * {m.budget_percent}) // 100 AS total FROM leaves),
@@ -132,7 +132,7 @@ def _mix_sql() -> str:
     plan AS (SELECT domain, language, source, tokens AS leaf_tokens, CASE WHEN tokens > 0 THEN total // tokens ELSE 0 END AS epochs,
             total - CASE WHEN tokens > 0 THEN total // tokens ELSE 0 END * tokens AS part FROM leaves JOIN three USING (domain, language, source)),
     rows_ AS (SELECT d.*, epochs, part, md5('{m.seed}|' || epochs::BIGINT || '|' || key) AS ord FROM docs d JOIN plan USING (domain, language, source)),
-    upto AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source ORDER BY ord, key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM rows_)
+    upto AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source ORDER BY ord, key, text_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM rows_)
     SELECT doc_id, CASE WHEN domain <> 'null' THEN domain[2:] END AS domain, CASE WHEN language <> 'null' THEN language[2:] END AS language,
         CASE WHEN source <> 'null' THEN source[2:] END AS source, tokens,
         (epochs + CASE WHEN c <= part AND tokens > 0 THEN 1 ELSE 0 END)::INTEGER AS copies FROM upto"""

@@ -10,7 +10,7 @@ import pytest
 
 from panelspark.llm import licenses, mixing, queries, sharding
 from panelspark.llm.common import column
-from tests.llm.helpers import FOLDER, WORD, awkward, documents
+from tests.llm.helpers import FOLDER, PROSE, WORD, awkward, documents
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
@@ -78,9 +78,9 @@ def mix_brute(rows, mix, domain):
     docs = []
     for doc_id, text, lang, source in rows:
         leaf = tuple("null" if v is None else "=" + v for v in (domain(source), lang, source))
-        docs.append((doc_id, leaf, len(WORD.findall(text or ""))))
+        docs.append((doc_id, md5((text or "").encode()).hexdigest(), leaf, len(WORD.findall(text or ""))))
     tokens = Counter()
-    for _, leaf, n in docs:
+    for *_, leaf, n in docs:
         tokens[leaf] += n
     cap = {k: n * mix.max_epochs for k, n in tokens.items()}
 
@@ -96,18 +96,14 @@ def mix_brute(rows, mix, domain):
                 budget[(d, g, s)] = b3
     out = Counter()
     for leaf, b in budget.items():
-        own = [(i, n) for i, x, n in docs if x == leaf]
+        own = [(i, h, n) for i, h, x, n in docs if x == leaf]
         epochs = b // tokens[leaf] if tokens[leaf] else 0
         part = b - epochs * tokens[leaf]
-        order = lambda r: (md5(f"{mix.seed}|{epochs}|{'null' if r[0] is None else r[0]}".encode()).hexdigest(), str(r[0]))
+        order = lambda r: (md5(f"{mix.seed}|{epochs}|{'null' if r[0] is None else r[0]}".encode()).hexdigest(), str(r[0]), r[1])
         spent = 0
-        keyed = defaultdict(list)
-        for r in own:
-            keyed[order(r)].append(r)
-        for k in sorted(keyed):
-            spent += sum(n for _, n in keyed[k])
-            for i, n in keyed[k]:
-                out[(i, *[None if v == "null" else v[1:] for v in leaf], n, epochs + (1 if spent <= part and n > 0 else 0))] += 1
+        for i, _, n in sorted(own, key=order):
+            spent += n
+            out[(i, *[None if v == "null" else v[1:] for v in leaf], n, epochs + (1 if spent <= part and n > 0 else 0))] += 1
     return out
 
 
@@ -139,6 +135,24 @@ def test_mixed_rows_are_the_copies(spark):
     assert mixing.mix_report(df.limit(0), mix, mixing.domain_of(column("source"))).count() == 0
 
 
+@pytest.mark.parametrize("percent", [40, 60, 110])
+def test_one_id_holds_most_rows(spark, percent):
+    same = [(None if k % 2 else 7, PROSE, "en", "src1") for k in range(700)]
+    rows = same + [(7, f"{PROSE} and {k}", "en", "src1") for k in range(300)] + [(k, "few words", "en", "src1") for k in range(100)]
+    df, mix = documents(spark, rows).repartition(5), mixing.Mix(budget_percent=percent, max_epochs=2)
+    want = mix_brute(rows, mix, domain)
+    got = mixing.mix_report(df, mix, mixing.domain_of(column("source"))).collect()
+    assert Counter(tuple(r) for r in got) == want
+    # No more than one document short of the budget.
+    budget = sum(r.tokens for r in got) * percent // 100
+    assert 0 <= budget - sum(r.tokens * r.copies for r in got) < max(r.tokens for r in got)
+    out = mixing.mixed(df, mix, mixing.domain_of(column("source"))).groupBy("doc_id").count().collect()
+    copies = Counter()
+    for (i, *_, n, times), rows_ in want.items():
+        copies[i] += times * rows_
+    assert Counter({r.doc_id: r["count"] for r in out}) == +copies
+
+
 def test_shortage_goes_to_siblings_first(spark):
     """A source too small for its share is made up for by its language's other source."""
     rows = [(k, "a " * 10, "en", "src1" if k < 2 else "src5") for k in range(100)] + [(200 + k, "a " * 10, "de", "src1") for k in range(100)]
