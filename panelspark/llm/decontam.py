@@ -11,8 +11,8 @@ of the document about as long as the item around its longest tile, so that sente
 than a seed are found in another order too, and chance pairs all over a long text are not.  Items
 of up to ``SHORT_ITEM`` tokens need no seed of ``MIN_MATCH`` tokens for that, one of 3 is enough.
 
-Documents are never shuffled: blocks of the benchmark of bounded size are broadcast, and the
-documents are read once per block.
+Blocks of the benchmark of bounded size are broadcast, a few in each pass over the documents; what
+a pass finds is written before the next one, so that only one pass's blocks are held.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import bound_batches, column, fresh
+from panelspark.session import written
 
 TOKEN = re.compile(r"[^\W_]+")
 MIN_MATCH = 5
@@ -36,8 +38,8 @@ MIN_COVERAGE = 50  # percent of an item's tokens
 # A shorter item may be hinted at by a shorter window; items up to the second length are stepped down to these lengths.
 SHORT_ITEM, STEPPED_ITEM, SHORTER = 32, 4096, (3, 2)
 PAIRS = 1 << 18  # pairs of windows looked at in one go
-# Characters of benchmark text that one broadcast holds.
-BLOCK_CHARS = 8_000_000
+# Characters of benchmark text that one broadcast holds, and broadcasts of one pass over the documents.
+BLOCK_CHARS, PASS_BLOCKS = 8_000_000, 2
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 
@@ -248,10 +250,22 @@ def blocks_of(benchmark: DataFrame, id: str, text: str, min_match: int, block_ch
         yield Block([(r["item_id"], r["text"]) for r in part.collect()], min_match, shorter)
 
 
-def _found(shared, min_coverage: int):
+def _passes(spark, blocks: Iterator[Block], size: int) -> Iterator[tuple[list, bool]]:
+    """Broadcasts of a few blocks at a time, and whether they are the last; others go when the next ones are asked for."""
+    group = list(islice(blocks, size))
+    while group:
+        held = [spark.sparkContext.broadcast(block) for block in group]
+        group = list(islice(blocks, size))
+        yield held, not group
+        for shared in held if group else ():
+            shared.destroy()
+
+
+def _found(held, min_coverage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [(k, *hit) for k, text in enumerate(batch.column(1)) for hit in contamination(text.as_py(), shared.value, min_coverage)]
+            texts = batch.column(1).to_pylist()
+            hits = [(k, *hit) for shared in held for k, text in enumerate(texts) for hit in contamination(text, shared.value, min_coverage)]
             rows, *rest = zip(*hits) if hits else ((),) * 5
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in rest)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "covered", "item_tokens", "tiles"])
@@ -259,6 +273,16 @@ def _found(shared, min_coverage: int):
     return run
 
 
+def _leaked(text: Column, held, min_coverage: int) -> Column:
+    """Whether an item of the blocks contaminates a text."""
+
+    @F.pandas_udf("boolean")
+    def leaked(texts):
+        return texts.map(lambda t: any(contamination(t, shared.value, min_coverage) for shared in held), na_action=None).astype(bool)
+
+    return leaked(text)
+
+
 def find_leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, min_coverage: int = MIN_COVERAGE, block_chars: int = BLOCK_CHARS, shorter: tuple[int, ...] = SHORTER) -> DataFrame:
     """One row per contaminated row of ``df`` and benchmark item.
 
@@ -270,22 +294,27 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: st
     bound_batches(spark)
     rows = df.select(column(id).cast("long").alias("doc_id"), column(text).alias("text"))
     schema = "doc_id long, item_id long, covered long, item_tokens long, tiles long"
-    found = [rows.mapInArrow(_found(spark.sparkContext.broadcast(b), min_coverage), schema) for b in blocks_of(benchmark, item_id, item_text, min_match, block_chars, shorter)]
+    found = []
+    for held, last in _passes(spark, blocks_of(benchmark, item_id, item_text, min_match, block_chars, shorter), PASS_BLOCKS):
+        hits = rows.mapInArrow(_found(held, min_coverage), schema)
+        found.append(hits if last else written(hits, "leaks")[0])
     return reduce(DataFrame.unionAll, found).withColumn("coverage_percent", F.expr("100 * covered div item_tokens"))
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", min_match: int = MIN_MATCH, min_coverage: int = MIN_COVERAGE, item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``df`` that no benchmark item contaminates, with the columns of ``df``."""
+    """The rows of ``df`` that no benchmark item contaminates, with the columns of ``df``.
+
+    A benchmark of one pass filters the rows where they are.  Earlier passes of a larger one leave
+    the digests of what they found, which the last one's rows are held against.
+    """
     spark = df.sparkSession
     bound_batches(spark)
-    out = df
-    for block in blocks_of(benchmark, item_id, item_text, min_match, block_chars):
-        shared = spark.sparkContext.broadcast(block)
-
-        @F.pandas_udf("boolean")
-        def clean(texts, shared=shared):
-            return texts.map(lambda t: not contamination(t, shared.value, min_coverage), na_action=None).astype(bool)
-
-        flag = fresh(df, "clean")
-        out = out.withColumn(flag, clean(column(text))).where(F.col(flag)).drop(flag)
-    return out
+    digest, theirs = F.md5(F.coalesce(column(text), F.lit(""))), fresh(df, "leaked_digest")
+    flag, gone, out = fresh(df, "leaked"), [], df
+    for held, last in _passes(spark, blocks_of(benchmark, item_id, item_text, min_match, block_chars), PASS_BLOCKS):
+        flagged = df.withColumn(flag, _leaked(column(text), held, min_coverage))
+        if last:
+            out = flagged.where(~F.col(flag)).drop(flag)
+        else:
+            gone.append(written(flagged.where(flag).select(digest.alias(theirs)).distinct(), "leaked")[0])
+    return out.join(reduce(DataFrame.unionAll, gone), digest == F.col(theirs), "left_anti") if gone else out

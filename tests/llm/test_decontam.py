@@ -139,3 +139,18 @@ def test_reordered_sentences_are_caught_and_prose_is_not(spark):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0
     assert decontam.without_leaks(df, bench.limit(0)).count() == df.count()
+
+
+def test_passes_over_many_blocks(spark):
+    """Small blocks in many passes find what one block finds."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(20 + k))) for k in range(12)]
+    texts = [(k, f"some prose before {items[k % 12][1]} and {items[(k + 5) % 12][1]} after it") for k in range(24)]
+    rows = [(i, t, "en", "s") for i, t in texts] + awkward()
+    df, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    want = decontam.find_leaks(df, bench)
+    parts = list(decontam.blocks_of(bench, "item_id", "text", decontam.MIN_MATCH, 400))
+    assert len(parts) > 2 * decontam.PASS_BLOCKS
+    assert sorted(decontam.find_leaks(df, bench, block_chars=400).collect()) == sorted(want.collect()) and want.count() == 48
+    clean = decontam.without_leaks(df, bench, block_chars=400)
+    assert clean.columns == df.columns
+    assert Counter(clean.collect()) == Counter(decontam.without_leaks(df, bench).collect()) and clean.count() == len(awkward())
