@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.dates import parse_date
 from panelspark.functions.nulls import as_column
 from panelspark.operators.graph import components
-from panelspark.operators.joins import lookup_join, split_join
+from panelspark.operators.joins import lookup_join, shuffled, split_join
 from panelspark.session import written
 
 # Pairs of one component that a task settles; larger components go through rounds first.
@@ -196,7 +196,7 @@ def candidate_pairs(
         left = left.select("*", _shared_labels([f"a_{c}" for c in levels], level))
         right = right.select("*", _shared_labels([f"b_{c}" for c in levels], level))
         keys.append("__label")
-    pairs = split_join(left, right, keys, rows_per_task=BUCKET_SITES) if hot else left.join(right, keys)
+    pairs = split_join(left, right, keys, rows_per_task=BUCKET_SITES) if hot else left.join(shuffled(right), keys)
     if level:
         # Met on their coarsest shared label only, so a pair comes once.
         coarser = [
@@ -262,7 +262,7 @@ def match_sites(pairs: DataFrame, most: int = COMPONENT_PAIRS) -> DataFrame:
     while seen["open"]:
         ends = live.select(_node("a").alias("a"), _node("b").alias("b"))
         parts = components(ends, seen["open"])
-        grouped = live.withColumn("__node", _node("a")).join(parts.withColumnRenamed("node", "__node"), "__node").drop("__node")
+        grouped = live.withColumn("__node", _node("a")).join(shuffled(parts.withColumnRenamed("node", "__node")), "__node").drop("__node")
         giants = None
         if seen["open"] > most:
             grouped, _ = written(grouped, "grouped-pairs")
@@ -304,7 +304,7 @@ def _round(live: DataFrame) -> DataFrame:
     best_a = live.groupBy("site_a").agg(F.min(score).alias("score")).select("score")
     best_b = live.groupBy("site_b").agg(F.min(score).alias("score")).select("score")
     won = (
-        best_a.join(best_b, "score", "left_semi")
+        best_a.join(shuffled(best_b), "score", "left_semi")
         .select("score.*")
         .withColumn("copies", F.least("free_a", "free_b"))
     )
@@ -312,8 +312,8 @@ def _round(live: DataFrame) -> DataFrame:
     spent_b = won.select("site_b", F.col("copies").alias("q_b"))
     qa, qb = F.coalesce("q_a", F.lit(0)), F.coalesce("q_b", F.lit(0))
     rest = (
-        live.join(spent_a, "site_a", "left")
-        .join(spent_b, "site_b", "left")
+        live.join(shuffled(spent_a), "site_a", "left")
+        .join(shuffled(spent_b), "site_b", "left")
         .withColumns(
             {
                 "free_a": F.col("free_a") - qa,
@@ -384,7 +384,7 @@ def ranked_copies(entries: DataFrame) -> DataFrame:
         lambda a, b: a & b,
         [numbered[c].eqNullSafe(sizes[c]) for c in (*SITE, "__chunk")],
     )
-    return numbered.join(sizes, same).select(
+    return numbered.join(shuffled(sizes), same).select(
         *[numbered[c] for c in entries.columns],
         sizes["site"],
         sizes["n_copies"],
@@ -446,7 +446,7 @@ def _less(sites: DataFrame, links: DataFrame, side: str, book: bool) -> DataFram
     q = F.coalesce("__q", F.lit(0))
     used = F.col("used") + q if book else F.col("used")
     return (
-        sites.join(spent, "site", "left")
+        sites.join(shuffled(spent), "site", "left")
         .withColumns({"free": F.col("free") - q, "used": used})
         .where("free > 0")
         .drop("__q")
@@ -467,7 +467,7 @@ def _crowding(kept: DataFrame, incoming: DataFrame, km: float, days: int) -> tup
             F.floor(F.col("longitude") / cell).alias("c"),
         ).agg(F.count(F.lit(1)).cast("double").alias(name))
 
-    buckets = counts(kept, "a").join(counts(incoming, "b"), ["d", "r", "c"], "full").fillna(0.0)
+    buckets = counts(kept, "a").join(shuffled(counts(incoming, "b")), ["d", "r", "c"], "full").fillna(0.0)
     met, sites = F.col("a") * F.col("b"), F.col("a") + F.col("b")
     row = buckets.agg(F.sum(met), F.max(met), F.sum(sites), F.max(sites)).first()
     return tuple(int(v or 0) for v in row)
@@ -487,23 +487,23 @@ def _calm(
     placed, _ = written(_bucketed(kept, km, days), "placed")
     around, _ = written(_neighbours(incoming, km, days).select(*keys, "site"), "around")
     crowded = around.groupBy(*keys).count().where(F.col("count") > partners).select(*keys)
-    crowded, _ = written(placed.select(*keys).distinct().join(crowded, keys), "crowded")
+    crowded, _ = written(placed.select(*keys).distinct().join(shuffled(crowded), keys), "crowded")
     dense = split_join(placed, crowded, keys, "left_semi").drop(*keys)
     others = split_join(placed, crowded, keys, "left_anti").drop(*keys)
     beside = split_join(around, crowded, keys, "left_semi").select("site").distinct()
     pairs, seen = written(candidate_pairs(others, incoming, km, days, levels), "calm-pairs", rows=F.count(F.lit(1)))
     parts = components(pairs.select(_node("a").alias("a"), _node("b").alias("b")), seen["rows"])
     pairs, _ = written(
-        pairs.withColumn("__node", _node("a")).join(parts.withColumnRenamed("node", "__node"), "__node").drop("__node"), "calm-parts"
+        pairs.withColumn("__node", _node("a")).join(shuffled(parts.withColumnRenamed("node", "__node")), "__node").drop("__node"), "calm-parts"
     )
-    waiting = pairs.join(beside.withColumnRenamed("site", "site_b"), "site_b", "left_semi").select("root").distinct()
-    handed, _ = written(pairs.join(waiting, "root", "left_semi"), "handed-over")
+    waiting = pairs.join(shuffled(beside.withColumnRenamed("site", "site_b")), "site_b", "left_semi").select("root").distinct()
+    handed, _ = written(pairs.join(shuffled(waiting), "root", "left_semi"), "handed-over")
     mine = handed.select(F.col("site_a").alias("site")).union(dense.select("site")).distinct()
     theirs = handed.select(F.col("site_b").alias("site")).union(beside).distinct()
     return (
-        pairs.join(waiting, "root", "left_anti").drop("root"),
-        kept.join(mine, "site", "left_semi"),
-        incoming.join(theirs, "site", "left_semi"),
+        pairs.join(shuffled(waiting), "root", "left_anti").drop("root"),
+        kept.join(shuffled(mine), "site", "left_semi"),
+        incoming.join(shuffled(theirs), "site", "left_semi"),
     )
 
 
@@ -578,10 +578,10 @@ def _expand(copies: DataFrame, links: DataFrame) -> DataFrame:
     earlier = copies.select(
         F.col("event_id").alias("duplicate_of"), F.col("dataset").alias("duplicate_of_dataset"), "site", "rank"
     )
-    pairs = taken.join(earlier, ["site", "rank"]).select(
+    pairs = taken.join(shuffled(earlier), ["site", "rank"]).select(
         F.col("__site_b").alias("site"), F.col("__rank_b").alias("rank"), "duplicate_of", "duplicate_of_dataset"
     )
-    return copies.join(pairs, ["site", "rank"], "left").drop("site", "rank", "n_copies")
+    return copies.join(shuffled(pairs), ["site", "rank"], "left").drop("site", "rank", "n_copies")
 
 
 def unique_events(integrated: DataFrame) -> DataFrame:

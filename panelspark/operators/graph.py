@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.operators.joins import split_join
+from panelspark.operators.joins import shuffled, split_join
 from panelspark.session import written
 
 # Links that one task joins in memory (16 bytes each).
@@ -67,4 +67,4 @@ def components(links: DataFrame, count: int, per_task: int = LINKS_PER_TASK) ->
         state = (seen["links"], seen["digest"])
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     every = nodes.select("node").distinct()
-    return every.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return every.join(shuffled(roots), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

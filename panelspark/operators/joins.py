@@ -27,6 +27,16 @@ def sized(df: DataFrame, name: str = "lookup") -> tuple[DataFrame, int]:
     return table, seen["rows"]
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side that grows with the input: the join moves both sides and sorts them, whatever size Spark guesses.
+
+    Spark takes a table's compressed files for its size and does not count the copies that an
+    ``explode`` makes, so left to itself it gathers in the driver, for a broadcast, what is many
+    times larger than its bound.
+    """
+    return df.hint("merge")
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
@@ -78,7 +88,7 @@ def split_join(
     )
     hot, found = sized(hot, "hot_keys")
     if not found:
-        return big.join(other, keys, how)
+        return big.join(shuffled(other), keys, how)
     # A NULL key meets nothing, so its rows may scatter freely.
     lost = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
     salts = F.coalesce("__salts", F.when(lost, F.lit(1009)), F.lit(1))
@@ -95,7 +105,7 @@ def split_join(
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)))
         .drop("__salts")
     )
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+    return left.join(shuffled(right), [*keys, "__salt"], how).drop("__salt")
 
 
 def full_join(dfs: Sequence[DataFrame], keys: Sequence[str], many: int = DUPLICATES) -> DataFrame:

@@ -8,7 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark import session
 from panelspark.operators import events as E
+from panelspark.operators import graph, joins
 
 LEVELS = ["Level_1", "Level_2"]
 TAXONOMY = {
@@ -242,3 +244,24 @@ def links_of(df):
     rows = df.where("duplicate_of is not null").select("dataset", "event_id", "duplicate_of").collect()
     assert len({r["duplicate_of"] for r in rows}) == len(rows)
     return rows
+
+
+def test_what_grows_with_the_entries_is_never_broadcast(spark, monkeypatch):
+    """Spark would broadcast these sides by the size of their compressed files; only the taxonomy, counted, may be."""
+    plans = []
+    real = session.written
+
+    def watched(df, name, **metrics):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name, **metrics)
+
+    for module in (E, graph, joins):
+        monkeypatch.setattr(module, "written", watched)
+    monkeypatch.setattr(graph.components, "__defaults__", (20,))
+    rows = crowd(160, seed=4, spread=0.06, hot=0.3)
+    for budget in (10**9, -1):
+        monkeypatch.setattr(E, "_pair_budget", lambda sites: budget)
+        got = integrated(spark, rows)
+        plans.append(("result", got._jdf.queryExecution().executedPlan().toString()))
+    assert {"copies", "pairs", "stars", "settled", "kept", "result"} <= {name for name, _ in plans}
+    assert {name for name, plan in plans if "Broadcast" in plan} == {"sites"}

@@ -50,6 +50,15 @@ def test_split_join_spreads_the_hot_key(hot):
     assert "__salt" in joined._jdf.queryExecution().analyzed().toString()
 
 
+@pytest.mark.parametrize("per_task", [10, 10**6])
+def test_split_join_does_not_broadcast_the_other_side(spark, hot, per_task):
+    """An exploded side is many times its estimate, so it is moved, not gathered in the driver."""
+    big, small = hot
+    many = small.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(27))))
+    plan = J.split_join(big, many, ["k"], rows_per_task=per_task)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == (2 if per_task == 10 else 0)
+
+
 def test_lookup_join_beyond_bound_equals_broadcast(hot):
     big, small = hot
     a = J.lookup_join(big, small, ["k"], "left")
