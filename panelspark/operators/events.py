@@ -512,6 +512,14 @@ def _pair_budget(sites: int) -> int:
     return max(200_000, 20 * sites)
 
 
+def _at_once(kept: DataFrame, incoming: DataFrame, km: float, days: int, levels: Sequence[str]) -> DataFrame | None:
+    """Links from all pairs of the window in one go; None where windows are too crowded for that."""
+    pairs, fullest, size, densest = _crowding(kept, incoming, km, days)
+    if pairs > _pair_budget(size) or fullest > WINDOW_PAIRS:
+        return None
+    return match_sites(candidate_pairs(kept, incoming, km, days, levels, hot=8 * densest > BUCKET_SITES))
+
+
 def _match_source(
     kept: DataFrame, incoming: DataFrame, km: float, days: int, levels: Sequence[str]
 ) -> tuple[list[DataFrame], DataFrame]:
@@ -523,11 +531,11 @@ def _match_source(
     best first: by taxonomy levels apart, and within a level by growing rings around
     each site.  A tier sees only sites that better tiers left over.  Every pair of a
     tier scores above every pair of the tiers before, so the result is the same, and
-    after a ring no two matchable sites closer than its radius are left.
+    after a ring no two matchable sites closer than its radius are left.  For the same
+    reason what the tiers so far left over is scored at once as soon as it is few enough.
     """
-    pairs, fullest, size, densest = _crowding(kept, incoming, km, days)
-    if pairs <= _pair_budget(size) and fullest <= WINDOW_PAIRS:
-        found = match_sites(candidate_pairs(kept, incoming, km, days, levels, hot=8 * densest > BUCKET_SITES))
+    found = _at_once(kept, incoming, km, days, levels)
+    if found is not None:
         return [found], found
     calm, kept, incoming = _calm(kept, incoming, km, days, levels, CROWD_PARTNERS)
     links = [match_sites(calm)]
@@ -536,19 +544,26 @@ def _match_source(
     incoming, theirs = written(incoming, "incoming", rows=one)
     if not mine["rows"] or not theirs["rows"]:
         return links, links[0]
-    for level in range(len(levels)):
-        inner = -1
-        for outer in _rings(km):
-            # Half a metre of margin: whole metres decide which ring a pair is in.
-            reach = km if outer is None else (outer + 0.5) / 1000
-            pairs = candidate_pairs(kept, incoming, reach, days, levels, (inner, outer), level)
-            found = match_sites(pairs)
-            inner = outer
-            links.append(found)
-            # Kept entries may serve every later source anew, so only the copies of
-            # this step count as spent on their side.
-            kept, _ = written(_less(kept, found, "site_a", book=True), "kept")
-            incoming, _ = written(_less(incoming, found, "site_b", book=True), "incoming")
+    rings = _rings(km)
+    tiers = [(level, ring) for level in range(len(levels)) for ring in zip([-1, *rings[:-1]], rings)]
+    for level, (inner, outer) in tiers:
+        # Half a metre of margin: whole metres decide which ring a pair is in.
+        reach = km if outer is None else (outer + 0.5) / 1000
+        pairs = candidate_pairs(kept, incoming, reach, days, levels, (inner, outer), level)
+        found = match_sites(pairs)
+        links.append(found)
+        if (level, (inner, outer)) == tiers[-1]:
+            break
+        # Kept entries may serve every later source anew, so only the copies of
+        # this step count as spent on their side.
+        kept, mine = written(_less(kept, found, "site_a", book=True), "kept", rows=one)
+        incoming, theirs = written(_less(incoming, found, "site_b", book=True), "incoming", rows=one)
+        if not mine["rows"] or not theirs["rows"]:
+            break
+        rest = _at_once(kept, incoming, km, days, levels)
+        if rest is not None:
+            links.append(rest)
+            break
     return links, reduce(DataFrame.unionByName, links)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from panelspark.operators.joins import shuffled, split_join
 from panelspark.session import written
 
-# Links that one task joins in memory (16 bytes each).
-LINKS_PER_TASK = 200_000
+# Links that one task joins in memory (16 bytes each, with what sorting them takes about 100).
+LINKS_PER_TASK = 2_000_000
 
 
 def _joined(batches):

@@ -265,3 +265,22 @@ def test_what_grows_with_the_entries_is_never_broadcast(spark, monkeypatch):
         plans.append(("result", got._jdf.queryExecution().executedPlan().toString()))
     assert {"copies", "pairs", "stars", "settled", "kept", "result"} <= {name for name, _ in plans}
     assert {name for name, plan in plans if "Broadcast" in plan} == {"sites"}
+
+
+def test_tiers_end_when_what_is_left_is_few(spark, monkeypatch):
+    """Crowded at first, then not: the rest is scored in one go, with the same links."""
+    rows = crowd(160, seed=4, spread=0.06, hot=0.3)
+    asked, tiers = [], []
+    real = E.candidate_pairs
+
+    def watched(kept, incoming, km, days, levels, metres=(-1, None), level=None, hot=True):
+        if level is not None:
+            tiers.append((level, metres))
+        return real(kept, incoming, km, days, levels, metres, level, hot)
+
+    # The first look and the one after the first tier find too many, the next one few enough.
+    monkeypatch.setattr(E, "_pair_budget", lambda sites: asked.append(sites) or (10**9 if len(asked) % 3 == 0 else -1))
+    monkeypatch.setattr(E, "CROWD_PARTNERS", 0)
+    monkeypatch.setattr(E, "candidate_pairs", watched)
+    assert links(integrated(spark, rows)) == direct(rows)
+    assert [level for level, _ in tiers] == [0] * 4 and len(asked) == 6
