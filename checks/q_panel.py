@@ -13,6 +13,7 @@ from panelspark.plans import climate as C
 from panelspark.plans import covariates as Y
 from panelspark.plans import survey as V
 from panelspark.plans.survey import UNIT
+from panelspark.session import written
 
 VARS = ("rain", "temp", "veg")
 # The oracles' own offsets, written out so that a wrong list in the library shows.
@@ -202,7 +203,8 @@ def interviews(i):
     from panelspark.operators.reshape import stack
 
     months = [V.wave_months(located_children(i)), V.programme_wave_months(i.surveys_agg, REGIONS, WAVES)]
-    return V.interview_months(stack(months))
+    # Written as build_panel does: the surveys' joins are not planned again with every panel that meets them.
+    return written(V.interview_months(stack(months)), "interviews")[0]
 
 
 def climate_months(i):

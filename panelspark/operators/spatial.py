@@ -27,6 +27,8 @@ SINUSOIDAL_RADIUS = 6371007.181
 # Halves the 53 bits of a double; bound of a rounded determinant's error (fixed values).
 SPLITTER = 134217729.0
 SIDE_ERROR = 3.3306690738754716e-16
+# Columns of an edge table beside its unit.
+SEGMENT = ("x1", "y1", "x2", "y2")
 # An index with more segments than this is joined by shuffle instead of broadcast.
 BROADCAST_SEGMENTS = 2_000_000
 

@@ -12,8 +12,9 @@ from panelspark.functions.dates import month_key
 from panelspark.operators import panel as P
 from panelspark.operators.aggregate import summarise_columns
 from panelspark.operators.events import classify, integrate, location_days, unique_events
-from panelspark.operators.spatial import assign_units
+from panelspark.operators.spatial import SEGMENT, assign_units
 from panelspark.plans.survey import UNIT, WAVE
+from panelspark.session import written
 
 MEASURE = "violent_events"
 # Lags in months of the panel and of the table of survey waves.
@@ -53,10 +54,16 @@ def event_panel(
     wanted_class: str = "Violent Event",
     lags: Sequence[int] = PANEL_LAGS,
 ) -> DataFrame:
-    """Zero-filled unit-month counts of one event class, with lags."""
+    """Zero-filled unit-month counts of one event class, with lags.
+
+    The counts are written, a row per unit and month: what joins the panel is then planned without
+    the entries behind it, whose plan the driver would otherwise hold and renew after every stage.
+    So are the edges, which the unit index and the skeleton read four times.
+    """
+    edges, _ = written(edges.select(*UNIT, *SEGMENT), "edges")
     points = location_days(events, F.col("Level_4_text") == wanted_class)
     located = assign_units(points, edges, UNIT, how="inner")
-    counts = zero_filled_counts(located, edges, start, end)
+    counts, _ = written(zero_filled_counts(located, edges, start, end), "unit_months")
     return P.lag_panel(counts, UNIT, "ymd", [MEASURE], lags)
 
 

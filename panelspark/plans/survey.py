@@ -18,7 +18,8 @@ from panelspark.functions import (
 from panelspark.operators.aggregate import rate_parts, rates_of
 from panelspark.operators.joins import lookup_join
 from panelspark.operators.reshape import stack
-from panelspark.operators.spatial import assign_units
+from panelspark.operators.spatial import SEGMENT, assign_units
+from panelspark.session import written
 
 UNIT = ("NAME_0", "NAME_1")
 WAVE = ("NAME_0", "NAME_1", "SurveyId")
@@ -52,7 +53,11 @@ def clean_children(children: DataFrame) -> DataFrame:
 def locate_clusters(
     clusters: DataFrame, edges: DataFrame, unit: Sequence[str] = UNIT
 ) -> DataFrame:
-    """Unit of each survey cluster: one row per (survey, cluster), located once."""
+    """Unit of each survey cluster: one row per (survey, cluster), located once.
+
+    The edges are written, so that the unit index, which reads them three times, does not plan them as often.
+    """
+    edges, _ = written(edges.select(*unit, *SEGMENT), "edges")
     places = (
         clusters.where(F.col("LATNUM").isNotNull() & F.col("LONGNUM").isNotNull())
         .groupBy("SurveyId", "CLUSTER")

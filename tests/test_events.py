@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from panelspark import session
 from panelspark.operators import events as E
-from panelspark.operators import graph, joins
+from panelspark.operators import graph, joins, spatial
+from panelspark.plans import conflict, survey
 
 LEVELS = ["Level_1", "Level_2"]
 TAXONOMY = {
@@ -284,3 +285,35 @@ def test_tiers_end_when_what_is_left_is_few(spark, monkeypatch):
     monkeypatch.setattr(E, "candidate_pairs", watched)
     assert links(integrated(spark, rows)) == direct(rows)
     assert [level for level, _ in tiers] == [0] * 4 and len(asked) == 6
+
+
+def test_panel_of_counts_is_planned_without_what_is_behind_it(spark, monkeypatch):
+    plans = {}
+
+    def noted(df, name, **metrics):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return session.written(df, name, **metrics)
+
+    monkeypatch.setattr(spatial, "written", noted)
+    # A square of two halves that are put together, and one far off.
+    corners = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    square = [("X", "U", *a, *b) for a, b in zip(corners, corners[1:] + corners[:1])]
+    far = [("X", "V", x1 + 9, y1, x2 + 9, y2) for _, _, x1, y1, x2, y2 in square]
+    kind = "NAME_0 string, NAME_1 string, x1 double, y1 double, x2 double, y2 double"
+    edges = spark.createDataFrame(square[:2] + far, kind).union(spark.createDataFrame(square[2:], kind))
+    day = dt.date(2000, 1, 5)
+    events = spark.createDataFrame(
+        [(day, 0.5, 0.5, "W"), (day, 0.5, 0.5, "W"), (day, 0.25, 0.5, "W"), (None, 0.5, 0.5, "W"), (day, 0.5, 0.5, "Z"), (day, None, None, "W"), (day, 5.0, 5.0, "W")],
+        "date date, longitude double, latitude double, Level_4_text string",
+    )
+    panel = conflict.event_panel(events, edges, "2000-01-01", "2000-02-01", "W", lags=(1,))
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("FileScan") == 1
+    got = {(r["NAME_1"], r["ymd"] and r["ymd"].month): (r["violent_events"], r["lag_violent_events_1"]) for r in panel.collect()}
+    assert got == {("U", None): (1, None), ("U", 1): (2, 1), ("U", 2): (0, 2), ("V", 1): (0, None), ("V", 2): (0, 0)}
+    assert "Union" not in plans.pop("unit_index")
+
+    clusters = spark.createDataFrame([("S", 1, 9.5, 0.5), ("S", 2, 5.0, 5.0)], "SurveyId string, CLUSTER int, LONGNUM double, LATNUM double")
+    found = {(r["CLUSTER"], r["NAME_1"]) for r in survey.locate_clusters(clusters, edges).collect()}
+    assert found == {(1, "V"), (2, None)}
+    assert "Union" not in plans["unit_index"]

@@ -4,7 +4,11 @@ import datetime as dt
 
 import pytest
 
+from checks.q_groups import REGIONS, WAVES, located_children
+from checks.q_panel import interviews
 from checks.standins import Inputs
+from panelspark.operators.reshape import stack
+from panelspark.plans import survey as V
 
 TABLES = {
     "region": ("r_regionkey long, r_name string", [(0, "AFRICA")]),
@@ -39,3 +43,13 @@ def test_tables_that_grow_are_not_broadcast(inputs, name, moved, rows):
     assert plan.count("SortMergeJoin") == moved
     assert plan.count("BroadcastHashJoin") == 2  # nations and regions
     assert df.count() == rows
+
+
+def test_interviews_bring_no_survey_joins_into_a_panel(inputs):
+    """The driver would plan them again after every stage of the panel's plan."""
+    df = interviews(inputs)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("FileScan") == 1
+    months = [V.wave_months(located_children(inputs)), V.programme_wave_months(inputs.surveys_agg, REGIONS, WAVES)]
+    rows = sorted(map(tuple, df.collect()), key=str)
+    assert rows and rows == sorted(map(tuple, V.interview_months(stack(months)).collect()), key=str)
