@@ -35,10 +35,13 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.dates import parse_date
 from panelspark.functions.nulls import as_column
+from panelspark.operators.blocks import EARTH_KM, match_by_blocks
 from panelspark.operators.graph import components
-from panelspark.operators.joins import lookup_join, shuffled, split_join
+from panelspark.operators.joins import lookup_join, shuffled, sized, split_join
 from panelspark.session import written
 
+# Sites of both sides up to which pairs are found by joins; more are settled by blocks first.
+JOINED_SITES = 200_000
 # Pairs of one component that a task settles; larger components go through rounds first.
 COMPONENT_PAIRS = 50_000
 # Pairs of one window above which the score is walked through in tiers, however few pairs there are in all.
@@ -49,9 +52,11 @@ CROWD_PARTNERS = 64
 BUCKET_SITES = 100_000
 # Copies of one link that are spelled out at a time.
 LINK_CHUNK = 65_536
-EARTH_KM = 6371.0088
 SITE = ("dataset", "base_category", "date", "enddate", "longitude", "latitude")
 COPY_CHUNKS = 3  # hex digits of the entry's hash: 4096 chunks per site
+# Entries of a bucket of sites above which its sites are ranked in chunks, and number of buckets.
+BUCKET_COPIES = 200_000
+COPY_BUCKETS = 2**16
 
 
 def harmonise(
@@ -359,12 +364,35 @@ def ranked_copies(entries: DataFrame) -> DataFrame:
 
     Sources number their entries independently, so an id alone names nothing.
 
-    The rank follows (leading hash digits, entry id).  Chunks of a site are ranked
-    separately and shifted by the sizes of the chunks before them, so no task sees
-    more than one chunk of a hot site.
+    The rank follows (leading hash digits, entry id).  Entries move once, by site; only sites in buckets
+    with more than ``BUCKET_COPIES`` entries are ranked in chunks, so no task sees more than that of a site.
     """
     chunk = F.substring(F.md5(F.col("event_id").cast("string")), 1, COPY_CHUNKS)
-    keyed = entries.withColumn("__chunk", chunk)
+    keyed = entries.withColumns({"__key": F.xxhash64(*SITE), "__chunk": chunk})
+    bucket = F.pmod("__key", F.lit(COPY_BUCKETS)).alias("__bucket")
+    hot, found = sized(keyed.groupBy(bucket).count().where(F.col("count") > BUCKET_COPIES).select("__bucket"), "hot_sites")
+    if not found:
+        return _ranked_at_once(keyed, entries.columns)
+    keyed = keyed.select("*", bucket)
+    return _ranked_at_once(lookup_join(keyed, hot, ["__bucket"], "left_anti"), entries.columns).unionByName(
+        _ranked_in_chunks(lookup_join(keyed, hot, ["__bucket"], "left_semi"), entries.columns)
+    )
+
+
+def _ranked_at_once(keyed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Copies of a site ranked by one task.  The hash leads the sort, which then seldom compares the site itself."""
+    ordered = W.partitionBy("__key", *SITE).orderBy("__chunk", "event_id")
+    site = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return keyed.select(
+        *columns,
+        F.struct(F.min("event_id").over(site).alias("id"), F.col("dataset").alias("of")).alias("site"),
+        F.count(F.lit(1)).over(site).alias("n_copies"),
+        F.row_number().over(ordered).cast("long").alias("rank"),
+    )
+
+
+def _ranked_in_chunks(keyed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Chunks of a site ranked separately and shifted by the sizes of the chunks before them."""
     sizes = keyed.groupBy(*SITE, "__chunk").agg(
         F.count(F.lit(1)).alias("__n"), F.min("event_id").alias("__first")
     )
@@ -385,7 +413,7 @@ def ranked_copies(entries: DataFrame) -> DataFrame:
         [numbered[c].eqNullSafe(sizes[c]) for c in (*SITE, "__chunk")],
     )
     return numbered.join(shuffled(sizes), same).select(
-        *[numbered[c] for c in entries.columns],
+        *[numbered[c] for c in columns],
         sizes["site"],
         sizes["n_copies"],
         (sizes["__before"] + numbered["__row"]).alias("rank"),
@@ -419,34 +447,47 @@ def integrate(
         .select("site", *SITE, "n_copies"),
         taxonomy.select("dataset", "base_category", *levels),
     )
-    sites, _ = written(
+    sites, count = written(
         sites.select(
             "site", "dataset", "date", "enddate", "longitude", "latitude", *levels,
             F.col("n_copies").alias("free"), F.lit(0).cast("long").alias("used"),
         ),
         "sites",
+        **{f"of_{n}": F.count_if(F.col("dataset") == source) for n, source in enumerate(order)},
     )
 
-    kept = sites.where(F.col("dataset") == order[0])
+    kept, size = sites.where(F.col("dataset") == order[0]), count["of_0"]
     links = []
-    for source in order[1:]:
+    for n, source in enumerate(order[1:], 1):
         incoming = sites.where(F.col("dataset") == source)
-        found, spent = _match_source(kept, incoming, km, days, levels)
+        size += count[f"of_{n}"]
+        many = size > JOINED_SITES
+        found, spent = _match_source(kept, incoming, km, days, levels, many)
         links += found
-        kept = kept.unionByName(_less(incoming, spent, "site_b", book=True))
+        if n == len(order) - 1:
+            break
+        rest = _less(incoming, spent, "site_b", book=True)
+        kept = kept.unionByName(written(rest, "kept")[0] if many else rest)
     if not links:
         nothing = {"duplicate_of": F.lit(None).cast("long"), "duplicate_of_dataset": F.lit(None).cast("string")}
         return copies.select(*columns).withColumns(nothing)
     return _expand(copies, reduce(DataFrame.unionByName, links))
 
 
+def _site_key(*columns: str) -> Column:
+    """A number that leads a join's keys: sorting by it seldom compares the site itself."""
+    return F.xxhash64(*columns)
+
+
 def _less(sites: DataFrame, links: DataFrame, side: str, book: bool) -> DataFrame:
     """Sites with the copies that links took removed; exhausted sites go."""
-    spent = links.groupBy(F.col(side).alias("site")).agg(F.sum("copies").alias("__q"))
+    spent = links.groupBy(_site_key(side).alias("__key"), F.col(side).alias("site")).agg(F.sum("copies").alias("__q"))
     q = F.coalesce("__q", F.lit(0))
     used = F.col("used") + q if book else F.col("used")
     return (
-        sites.join(shuffled(spent), "site", "left")
+        sites.withColumn("__key", _site_key("site"))
+        .join(shuffled(spent), ["__key", "site"], "left")
+        .drop("__key")
         .withColumns({"free": F.col("free") - q, "used": used})
         .where("free > 0")
         .drop("__q")
@@ -521,10 +562,25 @@ def _at_once(kept: DataFrame, incoming: DataFrame, km: float, days: int, levels:
 
 
 def _match_source(
-    kept: DataFrame, incoming: DataFrame, km: float, days: int, levels: Sequence[str]
+    kept: DataFrame, incoming: DataFrame, km: float, days: int, levels: Sequence[str], blocks: bool
 ) -> tuple[list[DataFrame], DataFrame]:
     """Match one later source against the entries kept so far.
 
+    Many sites are settled by blocks of space and time first; joins then see only sites that still wait.
+    """
+    if not blocks:
+        return _match_joined(kept, incoming, km, days, levels)
+    links, kept, incoming, waiting = match_by_blocks(kept, incoming, km, days, levels)
+    if waiting or not links:
+        links = links + _match_joined(kept, incoming, km, days, levels)[0]
+    return links, reduce(DataFrame.unionByName, links)
+
+
+def _match_joined(
+    kept: DataFrame, incoming: DataFrame, km: float, days: int, levels: Sequence[str]
+) -> tuple[list[DataFrame], DataFrame]:
+    """Match one later source against the entries kept so far, pairs found by joins.
+
     Normally all pairs of the window are scored at once.  Where many sites crowd a
     window that would be quadratic.  What no crowded window has a part in is still scored at
     once; for the sites that are left the score is walked through in tiers,
@@ -590,13 +646,18 @@ def _expand(copies: DataFrame, links: DataFrame) -> DataFrame:
         F.col("site_a").alias("site"),
         (F.col("used_a") + F.col("__k")).alias("rank"),
     )
-    earlier = copies.select(
-        F.col("event_id").alias("duplicate_of"), F.col("dataset").alias("duplicate_of_dataset"), "site", "rank"
-    )
-    pairs = taken.join(shuffled(earlier), ["site", "rank"]).select(
-        F.col("__site_b").alias("site"), F.col("__rank_b").alias("rank"), "duplicate_of", "duplicate_of_dataset"
-    )
-    return copies.join(shuffled(pairs), ["site", "rank"], "left").drop("site", "rank", "n_copies")
+    keys = ["__key", "site", "rank"]
+    keyed = copies.withColumn("__key", _site_key("site", "rank"))
+    earlier = keyed.select(*keys, F.col("event_id").alias("duplicate_of"), F.col("dataset").alias("duplicate_of_dataset"))
+    pairs = (
+        taken.withColumn("__key", _site_key("site", "rank"))
+        .join(shuffled(earlier), keys)
+        .select(
+            _site_key("__site_b", "__rank_b").alias("__key"),
+            F.col("__site_b").alias("site"), F.col("__rank_b").alias("rank"), "duplicate_of", "duplicate_of_dataset",
+        )
+    )
+    return keyed.join(shuffled(pairs), keys, "left").drop(*keys, "n_copies")
 
 
 def unique_events(integrated: DataFrame) -> DataFrame:
