@@ -76,7 +76,6 @@ def test_town_too_full_for_a_block_goes_to_the_tiers(spark, monkeypatch, many):
     """What crowds a window waits; all else is settled by blocks, chains that run into the town excepted."""
     _, joined = noted(monkeypatch)
     monkeypatch.setattr(B, "BLOCK_SITES", 25)
-    monkeypatch.setattr(B, "TURNS", 2)
     monkeypatch.setattr(E, "WINDOW_PAIRS", 3)
     monkeypatch.setattr(E, "CROWD_PARTNERS", 10)
     town = crowd(150, seed=8, spread=0.03, hot=0.2)
